@@ -16,8 +16,8 @@ DEFAULT_FORMAT = "2D"
 VERSION_WORDS = ("dabing", "titulky")
 VERSION_LABELS = {"DAB": "dabing", "TIT": "titulky"}
 DUBBED_ISO = "cs"
-REVIEW_PATTERN = r"(?i)\b(recenze|kritika|hodnocen[íi]|dojmy)\b"
-ALTERNATIVE_PATTERN = r"(?i)^Alternativn[íi] program$"
+REVIEW_PATTERN = r"(?iu)\b(recenze|kritika|hodnocen[íi]|dojmy)\b"
+ALTERNATIVE_PATTERN = r"(?iu)^Alternativn[íi] program$"
 HOME_COUNTRY_PATTERN = r"(?i)^(CZ|CZE)$"
 
 # --- fixed values: seats ----------------------------------------------------
@@ -59,7 +59,7 @@ ALERT_QUIET_MINUTES = 10
 # --- fixed values: report layout ---------------------------------------------
 WEEK_FILE_PATTERN = r"(?i)top20-(\d{4})-(\d{1,2})cz\.xlsx?$"
 ANNUAL_FILE_PATTERN = r"(?i)top50(\d{4})\.xlsx?$"
-WEEKEND_CAPTION_PATTERN = r"(?i)V[íi]kend od:\s*(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})"
+WEEKEND_CAPTION_PATTERN = r"(?iu)V[íi]kend od:\s*(\d{1,2})\.\s*(\d{1,2})\.\s*(\d{4})"
 LIFETIME_CAPTION_PATTERN = r"(?i)od prem"
 
 # --- fixed values: run model --------------------------------------------------
