@@ -1,0 +1,44 @@
+"""A table kept as one version per micro-batch.
+
+Micro-batch ``n`` reads version ``n - 1`` and overwrites version ``n``. A batch that
+is repeated after a failure therefore reads and writes exactly what it did before,
+and the table it leaves behind does not depend on how often it ran.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gatecount.sources.snapshots import read_parquet
+
+
+class EpochTable:
+    def __init__(self, root: str, name: str, schema: str):
+        self.path, self.schema = f"{root}/{name}", schema
+
+    def _version(self, epoch: int) -> str:
+        return f"{self.path}/version={epoch}"
+
+    def before(self, spark: SparkSession, epoch: int) -> DataFrame:
+        if epoch == 0:
+            return spark.createDataFrame([], self.schema)
+        return spark.read.schema(self.schema).parquet(self._version(epoch - 1))
+
+    def write(self, df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(self._version(epoch))
+        # The version before the one just read can no longer be asked for.
+        if epoch >= 2:
+            _delete(df.sparkSession, self._version(epoch - 2))
+
+    def every(self, spark: SparkSession) -> DataFrame:
+        """All versions together, for tables that only ever add rows."""
+        return read_parquet(spark, self.path, self.schema)
+
+    def append(self, df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(self._version(epoch))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
