@@ -56,7 +56,7 @@ def report_forecasts(spark, sf_dir):
 
 
 def ingest_cycle(spark, sf_dir):
-    """One cycle: half of the shows are stored, all are refreshed, some are read again."""
+    """One cycle: the earlier shows are stored, all are refreshed, the near ones are read again."""
     now = _now()
     shows = V.screenings(spark, sf_dir)
     stored_shows = shows.where("starts_at < TIMESTAMP_NTZ '1998-06-20 00:00:00'")
@@ -70,7 +70,7 @@ def ingest_cycle(spark, sf_dir):
     second = near.select("screening_key", "film_id", F.lit(2).cast("bigint").alias("seq"), (F.col("starts_at") - T.minutes(10)).alias("at_ts"), "total", (F.col("total") - F.col("film_id") % 3).alias("sold")).select(*first.columns)
     weekly = V.weekly(spark, sf_dir)
     films = E.with_identity(
-        weekly.select((F.col("film_id") + 1000).alias("film_id"), "title").where("film_id <= 1010").distinct(), "title", None
+        weekly.where("country = 'CZE'").select((F.col("film_id") + 1000).alias("film_id"), "title").distinct(), "title", None
     )
     ramp_type = "hour timestamp_ntz, film_id bigint, sold bigint"
     daily_type = "day date, film_id bigint, sold bigint, capacity bigint, screenings bigint, gross double"
@@ -165,7 +165,7 @@ ORACLES = {
         st AS (SELECT *, CASE WHEN starts_at < TIMESTAMP '{V.NOW}' - INTERVAL 30 MINUTE THEN
                  CASE WHEN captured_at IS NULL THEN 'missed' WHEN starts_at - captured_at <= INTERVAL 15 MINUTE THEN 'final' ELSE 'partial' END END AS c FROM m),
         fo AS (SELECT *, starts_at < TIMESTAMP '{V.NOW}' - INTERVAL 10 DAY AS folded FROM st)
-        SELECT 'relinked' AS measure, count(*) FILTER (film_id <= 10) AS value FROM vw
+        SELECT 'relinked' AS measure, count(*) FILTER (country = 'CZE') AS value FROM vw
         UNION ALL SELECT 'settled ' || c, count(*) FROM fo WHERE c IS NOT NULL GROUP BY c
         UNION ALL SELECT 'working set', count(*) FILTER (NOT folded) FROM fo
         UNION ALL SELECT 'working set sold', CAST(sum(sold) FILTER (NOT folded) AS BIGINT) FROM fo

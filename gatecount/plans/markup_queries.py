@@ -121,7 +121,7 @@ def feed_articles(spark, sf_dir):
     k = F.col("doc_id")
     title = F.concat(
         F.when(k % 3 == 0, F.lit("Recenze: v&#225;lka &#xe9; ")).otherwise(F.lit("Film &amp;lt; a spol. ")),
-        F.translate(F.left("text", F.lit(60)), "<>&\n", "    "), F.lit(" - "), F.col("source"),
+        F.translate("text", "<>&\n", "    "), F.lit(" - "), F.col("source"),
     )
     date = F.when(k % 7 == 0, F.lit("soon")).otherwise(
         F.date_format(F.lit("2024-01-01").cast("timestamp_ntz") + F.expr("make_dt_interval(CAST(doc_id % 300 AS INT), CAST(doc_id % 24 AS INT))"), "'Mon, 'dd MMM yyyy HH:mm:ss' GMT'")
@@ -172,7 +172,7 @@ def first_usable_hit(spark, sf_dir):
 
 def _week_cells(spark, sf_dir):
     """The weekly table laid out as sheets: captions, a two-row header at changing depth, rows, notes."""
-    rows = V.weekly(spark, sf_dir).where("film_id <= 12")
+    rows = V.weekly(spark, sf_dir)
     file = F.concat(F.lit("top20-"), F.date_format("weekend_from", "yyyyMMdd"), F.lit(".xls"))
     head = (F.lit(3) + F.dayofmonth("weekend_from") % 4).cast("int")
 
@@ -203,7 +203,7 @@ def _week_cells(spark, sf_dir):
     top = [cell(F.lit(0), 0, text=F.lit("TOP 20")), cell(F.lit(1), 0, text=caption)]
     for col, first, second in labels:
         top += [cell(head, col, text=F.lit(first)), cell(head + 1, col, text=F.lit(second))]
-    top += [cell(F.lit(90), 0, text=F.lit("(c) note")), cell(F.lit(91), 2, text=F.lit("no rank"))]
+    top += [cell(F.lit(900), 0, text=F.lit("(c) note")), cell(F.lit(901), 2, text=F.lit("no rank"))]
     files = rows.select("weekend_from").distinct()
     heads = files.select(file.alias("file"), F.explode(F.array(*top)).alias("c")).select("file", "c.*")
     return cells.unionByName(heads)
@@ -304,7 +304,7 @@ ORACLES = {
         SELECT s_suppkey, s_suppkey % 90 + CASE WHEN s_suppkey % 4 = 0 THEN 0 ELSE s_suppkey % 7 + 20 END AS capacity FROM supplier""",
     "feed_articles": """
         WITH d AS (SELECT doc_id, lang, source, CASE WHEN doc_id % 3 = 0 THEN 'Recenze: válka é ' ELSE 'Film &lt; a spol. ' END
-                          || translate(left(text, 60), '<>&' || chr(10), '    ') AS head, text FROM documents),
+                          || translate(text, '<>&' || chr(10), '    ') AS head, text FROM documents),
         t AS (SELECT *, trim(regexp_replace(head || ' - ' || source, '^\\s+', '')) AS raw FROM d),
         s AS (SELECT *, string_split(raw, ' - ') AS p FROM t),
         q AS (SELECT *, length(raw) - length(p[-1]) - 3 AS cut FROM s)
@@ -327,7 +327,7 @@ ORACLES = {
         body=""" SELECT 'top20-' || strftime(weekend_from, '%Y%m%d') || '.xls' AS file,
           CAST(3 + day(weekend_from) % 4 + 1 + rank AS INTEGER) AS row, rank, title, 'Dist' AS distributor, country, week_of_run, cinemas,
           weekend_admissions, total_admissions, weekend_gross, 0.0::DOUBLE AS total_gross, weekend_from
-        FROM vw WHERE film_id <= 12""",
+        FROM vw""",
     ),
     "annual_table": with_views(
         "va", body=" SELECT 'top50' || year || '.xls' AS file, rank, title, premiere, CAST(11 AS BIGINT) AS screenings, admissions, gross FROM va"

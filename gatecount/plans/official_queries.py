@@ -87,7 +87,7 @@ def only_new(spark, sf_dir):
         F.year(F.date_add(F.date_trunc("week", day).cast("date"), 3)).cast("bigint").alias("year"),
         F.weekofyear(day).cast("bigint").alias("week"),
     ).distinct()
-    stored = V.weekly(spark, sf_dir).where("film_id = 3 AND week % 3 <> 0").select("year", "week")
+    stored = V.weekly(spark, sf_dir).where("weekend_from < DATE '1999-01-01'").select("year", "week")
     return E.only_new(seen, stored, ["year", "week"])
 
 
@@ -315,7 +315,7 @@ ORACLES = {
     "only_new": with_views(
         "vw",
         body=""" SELECT DISTINCT CAST(isoyear(o_orderdate) AS BIGINT) AS year, CAST(weekofyear(o_orderdate) AS BIGINT) AS week FROM orders
-        EXCEPT SELECT year, week FROM vw WHERE film_id = 3 AND week % 3 <> 0""",
+        EXCEPT SELECT year, week FROM vw WHERE weekend_from < DATE '1999-01-01'""",
     ),
     "normalize_run": with_views("vw", body=_CLEAN + " SELECT film_id, run, week, adm AS admissions, total, cinemas FROM clean"),
     "hold_strength": with_views(

@@ -93,7 +93,7 @@ def deferred_capacity(spark, sf_dir):
     )
     known = (
         V.table(spark, sf_dir, "supplier")
-        .where(F.col("s_suppkey") % 9 != 0)
+        .where("s_acctbal > 0")
         .select(F.col("s_suppkey").alias("hall_key"), (F.lit(30) + F.lit(10) * (F.col("s_suppkey") % 4)).alias("capacity"))
     )
     return R.deferred_capacity(facts, known)
@@ -211,7 +211,7 @@ ORACLES = {
         r AS (
           SELECT f.*, CASE WHEN s_suppkey IS NULL THEN 'missing'
                            WHEN abs(size * free_ratio - floor(size * free_ratio + 0.5)) > 0.05 THEN 'stale' ELSE 'readable' END AS capacity_state
-          FROM f LEFT JOIN supplier ON hall_key = s_suppkey AND s_suppkey % 9 <> 0)
+          FROM f LEFT JOIN supplier ON hall_key = s_suppkey AND s_acctbal > 0)
         SELECT l_orderkey, l_linenumber, l_partkey, hall_key, free_ratio, capacity_state,
                CASE WHEN capacity_state = 'readable' THEN CAST(greatest(0, least(size, size - floor(size * free_ratio + 0.5))) AS BIGINT) END AS sold,
                CASE WHEN capacity_state = 'readable' THEN CAST(size AS BIGINT) END AS total

@@ -34,12 +34,12 @@ def _rounded(df, *names, digits=6):
 def screening_described(spark, sf_dir):
     """Halls and cinemas as dimensions; some halls and some cinemas are missing."""
     supplier = V.table(spark, sf_dir, "supplier")
-    halls = supplier.where("s_suppkey % 13 <> 0").select(
+    halls = supplier.where("s_acctbal > 0").select(
         F.col("s_suppkey").alias("hall_key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("cinema_key")
     )
     cinemas = (
         V.table(spark, sf_dir, "nation")
-        .where("n_nationkey % 7 <> 0")
+        .where("n_regionkey <> 0")
         .select(F.col("n_nationkey").alias("cinema_key"), F.col("n_name").alias("name"))
     )
     shows = V.screenings(spark, sf_dir).select("screening_key", "hall_key", "starts_at", "sold", "total")
@@ -47,12 +47,12 @@ def screening_described(spark, sf_dir):
 
 
 def metadata_fallback(spark, sf_dir):
-    part = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("film_id"), "p_name", "p_type")
+    part = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("film_id"), "p_name", "p_type", "p_size")
     ids = part.select("film_id")
-    live = part.where("film_id % 3 = 0").select(
+    live = part.where("p_size <= 20").select(
         "film_id", F.col("p_name").alias("title"), F.when(F.col("film_id") % 2 == 0, F.col("p_type")).alias("original_title")
     )
-    past = part.where("film_id % 3 <= 1").select(
+    past = part.where("p_size BETWEEN 11 AND 35").select(
         "film_id", F.concat(F.lit("old "), "p_name").alias("title"), F.col("p_type").alias("original_title")
     )
     return U.metadata_fallback(ids, live, past)
@@ -254,14 +254,14 @@ ORACLES = {
     "screening_described": with_views(
         "vs",
         body=""" SELECT screening_key, hall_key, starts_at, sold, total, coalesce(s.s_name, '') AS hall, coalesce(n.n_name, '') AS cinema
-        FROM vs LEFT JOIN supplier s ON hall_key = s.s_suppkey AND s.s_suppkey % 13 <> 0
-                LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey AND n.n_nationkey % 7 <> 0""",
+        FROM vs LEFT JOIN supplier s ON hall_key = s.s_suppkey AND s.s_acctbal > 0
+                LEFT JOIN nation n ON s.s_nationkey = n.n_nationkey AND n.n_regionkey <> 0""",
     ),
     "metadata_fallback": """
         SELECT p_partkey AS film_id,
-               CASE WHEN p_partkey % 3 = 0 THEN p_name WHEN p_partkey % 3 = 1 THEN 'old ' || p_name ELSE '#' || p_partkey END AS title,
-               CASE WHEN p_partkey % 3 = 0 THEN CASE WHEN p_partkey % 2 = 0 THEN p_type END
-                    WHEN p_partkey % 3 = 1 THEN p_type END AS original_title
+               CASE WHEN p_size <= 20 THEN p_name WHEN p_size <= 35 THEN 'old ' || p_name ELSE '#' || p_partkey END AS title,
+               CASE WHEN p_size <= 20 THEN CASE WHEN p_partkey % 2 = 0 THEN p_type END
+                    WHEN p_size <= 35 THEN p_type END AS original_title
         FROM part""",
     "day_totals": with_views(
         "vs",

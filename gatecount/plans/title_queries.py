@@ -22,9 +22,9 @@ def film_identity(spark, sf_dir):
 
 
 def _aliases(spark, sf_dir):
-    """Every eleventh part was seen before, under a film the catalogue knows."""
+    """Economy parts were seen before, under a film the catalogue knows."""
     films = V.catalogue(spark, sf_dir).select("film_id", "title")
-    part = V.table(spark, sf_dir, "part").where("p_partkey % 11 = 0")
+    part = V.table(spark, sf_dir, "part").where("p_type = 'ECONOMY'")
     title = F.initcap(F.concat(F.col("p_name"), F.lit(" "), F.col("p_size").cast("string")))
     keyed = part.select(F.concat(F.lit("a:"), F.col("p_partkey").cast("string")).alias("alias_key"), title.alias("title"))
     return keyed.join(films, "title").select("alias_key", "film_id")
@@ -57,7 +57,7 @@ def relink(spark, sf_dir):
 
 def first_wins_lookup(spark, sf_dir):
     """A listing with several entries per normalised title."""
-    listing = V.titles(spark, sf_dir).where("position % 3 = 0").select(
+    listing = V.titles(spark, sf_dir).select(
         "position", "title", F.concat(F.lit("/film/"), "alias_key").alias("path")
     )
     films = V.catalogue(spark, sf_dir).select("film_id", "title")
@@ -99,7 +99,7 @@ def remapped_ramp(spark, sf_dir):
 
 def upsert_halls(spark, sf_dir):
     supplier = V.table(spark, sf_dir, "supplier")
-    stored = supplier.where("s_suppkey % 3 <> 0").select(
+    stored = supplier.where("s_acctbal > 0").select(
         F.col("s_suppkey").alias("hall_key"),
         F.col("s_nationkey").cast("bigint").alias("cinema_key"),
         F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("name"),
@@ -112,7 +112,8 @@ def upsert_halls(spark, sf_dir):
         "l_partkey",
         "l_extendedprice",
         "l_returnflag",
-    ).where("l_returnflag = 'R' AND hall_key % 4 <> 1")
+        "l_quantity",
+    ).where("l_returnflag = 'R' AND l_quantity >= 50")
     incoming = incoming.select(
         "hall_key",
         (F.col("_p") * 1000000 + F.col("l_partkey")).alias("position"),
@@ -141,7 +142,7 @@ def _order_screenings(spark, sf_dir):
 
 def _order_changes(spark, sf_dir):
     """Two refreshes per row: the first names the language, the second moves the start."""
-    base = _order_screenings(spark, sf_dir).where("screening_key % 3 <> 0").drop("sold")
+    base = _order_screenings(spark, sf_dir).where("day >= DATE '1997-01-01'").drop("sold")
     first = base.withColumns({"position": F.col("screening_key") * 2, "lang": F.lit("dabing")})
     moved = F.col("starts_at") + F.expr("make_dt_interval(0, 0, CAST(screening_key % 2 * 600 AS INT))")
     second = base.withColumns(
@@ -159,7 +160,7 @@ def _order_changes(spark, sf_dir):
 
 
 def upsert_merge(spark, sf_dir):
-    stored = _order_screenings(spark, sf_dir).where("screening_key % 4 <> 0")
+    stored = _order_screenings(spark, sf_dir).where("day < DATE '2000-01-01'")
     out = E.upsert_screenings(stored, _order_changes(spark, sf_dir))
     return out.withColumn("formats", F.array_join("formats", "+"))
 
@@ -168,7 +169,7 @@ def upsert_replace(spark, sf_dir):
     """Cinemas are replaced as a whole by their last incoming row."""
     nation = V.table(spark, sf_dir, "nation")
     stored = nation.select(F.col("n_nationkey").cast("bigint").alias("cinema_key"), F.col("n_name").alias("name"))
-    customer = V.table(spark, sf_dir, "customer").where("c_nationkey % 3 = 0")
+    customer = V.table(spark, sf_dir, "customer").where("c_acctbal < -900")
     incoming = customer.select(
         F.col("c_nationkey").cast("bigint").alias("cinema_key"), F.col("c_name").alias("name"), F.col("c_custkey").alias("position")
     )
@@ -177,8 +178,9 @@ def upsert_replace(spark, sf_dir):
 
 def reschedule(spark, sf_dir):
     stored = _order_screenings(spark, sf_dir)
+    urgent = V.table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("screening_key"))
     shift = F.expr("make_dt_interval(0, CAST(screening_key % 5 * 7 AS INT))")
-    schedule = stored.where("screening_key % 3 = 0").select("screening_key", (F.col("starts_at") + shift).alias("new_start"))
+    schedule = stored.join(urgent, "screening_key", "left_semi").select("screening_key", (F.col("starts_at") + shift).alias("new_start"))
     return E.reschedule(stored, schedule, T.instant("1998-06-17 12:00:00"))
 
 
@@ -196,7 +198,7 @@ def flag_by_tag(spark, sf_dir):
 
 def horizon_filter(spark, sf_dir):
     events = V.screenings(spark, sf_dir).select("screening_key", "hall_key", "starts_at")
-    halls = V.table(spark, sf_dir, "supplier").where("s_suppkey % 6 <> 0").select(
+    halls = V.table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(
         F.col("s_suppkey").alias("hall_key"), F.col("s_nationkey").cast("bigint").alias("cinema_key")
     )
     return E.horizon_filter(events, halls, T.instant(V.NOW)).select("screening_key", "hall_key", "cinema_key", "starts_at")
@@ -212,10 +214,10 @@ def union_last_wins(spark, sf_dir):
     """Three scans of the orders' events, each seeing a part of them, the last one rules."""
     orders = V.table(spark, sf_dir, "orders")
     scans = [
-        orders.where(f"o_orderkey % 4 <> {i}").select(
+        orders.where(F.col("o_orderstatus") != status).select(
             (F.col("o_custkey")).alias("event_id"), F.col("o_orderkey").alias("position"), F.lit(i).cast("bigint").alias("scan"), "o_orderstatus"
         )
-        for i in range(3)
+        for i, status in enumerate("FOP")
     ]
     return E.union_last_wins(scans, "event_id")
 
@@ -225,8 +227,8 @@ def source_priority(spark, sf_dir):
     films = part.select(
         F.col("p_partkey").alias("film_id"), F.when(F.col("p_partkey") % 2 == 0, F.lit(1.0)).alias("rating")
     )
-    first = part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("film_id"), F.col("p_retailprice").alias("rating"))
-    second = part.where("p_partkey % 5 < 2").select(
+    first = part.where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("film_id"), F.col("p_retailprice").alias("rating"))
+    second = part.where("p_size < 20").select(
         F.col("p_partkey").alias("film_id"), F.col("p_size").cast("double").alias("rating")
     )
     return E.source_priority(films, [first, second], "rating").withColumn("source", F.col("source").cast("bigint"))
@@ -298,7 +300,7 @@ QUERIES = {
 
 # Batch resolution: cascade, lessons, then connected groups by transitive closure.
 _RESOLVE = """, al AS (
-  SELECT 'a:' || p_partkey AS alias_key, vc.film_id FROM part JOIN vc ON vc.local_key = lower(p_name || ' ' || p_size) WHERE p_partkey % 11 = 0),
+  SELECT 'a:' || p_partkey AS alias_key, vc.film_id FROM part JOIN vc ON vc.local_key = lower(p_name || ' ' || p_size) WHERE p_type = 'ECONOMY'),
 rw AS (SELECT vti.*, al.film_id AS alias_id FROM vti LEFT JOIN al USING (alias_key)),
 di AS (
   SELECT match_key, tight_key, local_key, min(position) AS pos, arg_min(original_title, position) FILTER (original_title IS NOT NULL) AS original_title,
@@ -370,7 +372,7 @@ ORACLES = {
     "first_wins_lookup": with_views(
         "vt",
         "vc",
-        body=""", l AS (SELECT local_key, min(position) AS p FROM vti WHERE position % 3 = 0 GROUP BY 1)
+        body=""", l AS (SELECT local_key, min(position) AS p FROM vti GROUP BY 1)
         SELECT vc.film_id, l.p AS listing_position, '/film/' || vti.alias_key AS listing_path
         FROM vc LEFT JOIN l ON l.local_key = vc.local_key LEFT JOIN vti ON vti.position = l.p""",
     ),
@@ -387,32 +389,32 @@ ORACLES = {
         WITH i AS (
           SELECT l_suppkey AS hall_key, (l_orderkey * 8 + l_linenumber) * 1000000 + l_partkey AS position, l_partkey % 25 AS cinema_key,
                  CASE WHEN l_partkey % 7 = 0 THEN 'Hall ' || l_partkey END AS name, CASE WHEN l_partkey % 3 = 0 THEN CAST(l_partkey AS VARCHAR) END AS seatplan_id
-          FROM lineitem WHERE l_returnflag = 'R' AND l_suppkey % 4 <> 1),
+          FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 50),
         n AS (SELECT hall_key, arg_max(cinema_key, position) AS cinema_key, arg_max(name, position) FILTER (name IS NOT NULL) AS name,
                      arg_max(seatplan_id, position) FILTER (seatplan_id IS NOT NULL) AS seatplan_id FROM i GROUP BY 1),
         o AS (SELECT s_suppkey AS hall_key, s_nationkey AS cinema_key, CASE WHEN s_suppkey % 2 = 0 THEN s_name END AS name,
-                     CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey + 30 END AS capacity FROM supplier WHERE s_suppkey % 3 <> 0)
+                     CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey + 30 END AS capacity FROM supplier WHERE s_acctbal > 0)
         SELECT coalesce(n.hall_key, o.hall_key) AS hall_key, CAST(coalesce(n.cinema_key, o.cinema_key) AS BIGINT) AS cinema_key,
                coalesce(n.name, o.name) AS name, capacity, seatplan_id
         FROM n FULL JOIN o ON n.hall_key = o.hall_key""",
     "upsert_merge": f"""
+        WITH o AS (SELECT *, o_orderdate >= TIMESTAMP '1997-01-01' AS seen, o_orderdate < TIMESTAMP '2000-01-01' AS known FROM orders)
         SELECT o_orderkey AS screening_key, o_custkey AS film_id, o_custkey % 100 AS hall_key,
-               CASE WHEN o_orderkey % 3 <> 0 THEN {_CHANGED} ELSE o_orderdate + INTERVAL 20 HOUR END AS starts_at,
-               CASE WHEN o_orderkey % 3 <> 0 THEN CAST({_CHANGED} - INTERVAL 5 HOUR AS DATE) ELSE CAST(o_orderdate AS DATE) END AS day,
-               CASE WHEN o_orderkey % 3 <> 0 THEN '3D+IMAX' ELSE o_orderstatus END AS formats,
-               CASE WHEN o_orderkey % 4 = 0 THEN 'dabing' END AS lang,
-               CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 2 <> 0 ELSE o_orderkey % 2 = 0 END AS sold_out,
-               CASE WHEN o_orderkey % 4 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) END AS sold
-        FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 4 <> 0""",
+               CASE WHEN seen THEN {_CHANGED} ELSE o_orderdate + INTERVAL 20 HOUR END AS starts_at,
+               CASE WHEN seen THEN CAST({_CHANGED} - INTERVAL 5 HOUR AS DATE) ELSE CAST(o_orderdate AS DATE) END AS day,
+               CASE WHEN seen THEN '3D+IMAX' ELSE o_orderstatus END AS formats, CASE WHEN NOT known THEN 'dabing' END AS lang,
+               CASE WHEN seen THEN o_orderkey % 2 <> 0 ELSE o_orderkey % 2 = 0 END AS sold_out,
+               CASE WHEN known THEN CAST(floor(o_totalprice) AS BIGINT) END AS sold
+        FROM o""",
     "upsert_replace": """
         SELECT CAST(n_nationkey AS BIGINT) AS cinema_key, coalesce(c.name, n_name) AS name
-        FROM nation LEFT JOIN (SELECT c_nationkey, arg_max(c_name, c_custkey) AS name FROM customer WHERE c_nationkey % 3 = 0 GROUP BY 1) c
+        FROM nation LEFT JOIN (SELECT c_nationkey, arg_max(c_name, c_custkey) AS name FROM customer WHERE c_acctbal < -900 GROUP BY 1) c
              ON c.c_nationkey = n_nationkey""",
     "reschedule": """
         WITH m AS (
           SELECT o_orderkey AS screening_key, o_orderdate + INTERVAL 20 HOUR AS old_start,
                  o_orderdate + INTERVAL 20 HOUR + to_hours(o_orderkey % 5 * 7) AS starts_at, TIMESTAMP '1998-06-17 12:00:00' AS now
-          FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0),
+          FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderkey % 5 <> 0),
         a AS (SELECT *, date_diff('second', now, starts_at) AS ahead,
                      (starts_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Prague' AS wall FROM m),
         c AS (SELECT *, now + CASE WHEN ahead <= 7200 THEN INTERVAL 10 MINUTE WHEN ahead <= 43200 THEN INTERVAL 30 MINUTE
@@ -427,7 +429,7 @@ ORACLES = {
     "horizon_filter": with_views(
         "vs",
         body=f""" SELECT screening_key, hall_key, CAST(s_nationkey AS BIGINT) AS cinema_key, starts_at FROM vs JOIN supplier ON s_suppkey = hall_key
-        WHERE s_suppkey % 6 <> 0 AND starts_at BETWEEN TIMESTAMP '{V.NOW}' AND TIMESTAMP '{V.NOW}' + INTERVAL 45 DAY""",
+        WHERE s_acctbal > 0 AND starts_at BETWEEN TIMESTAMP '{V.NOW}' AND TIMESTAMP '{V.NOW}' + INTERVAL 45 DAY""",
     ),
     "sample_per_key": with_views(
         "vs",
@@ -436,13 +438,13 @@ ORACLES = {
     ),
     "union_last_wins": """
         WITH u AS (SELECT o_custkey AS event_id, o_orderkey AS position, s.scan, o_orderstatus
-                   FROM orders, (SELECT unnest([0, 1, 2]) AS scan) s WHERE o_orderkey % 4 <> s.scan)
+                   FROM orders, (SELECT unnest([0, 1, 2]) AS scan) s WHERE o_orderstatus <> ['F', 'O', 'P'][s.scan + 1])
         SELECT event_id, position, CAST(scan AS BIGINT) AS scan, o_orderstatus FROM u
         QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY scan DESC, position DESC) = 1""",
     "source_priority": """
         SELECT p_partkey AS film_id,
-               CASE WHEN p_partkey % 3 = 0 THEN p_retailprice WHEN p_partkey % 5 < 2 THEN p_size::DOUBLE WHEN p_partkey % 2 = 0 THEN 1.0 END AS rating,
-               CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 WHEN p_partkey % 5 < 2 THEN 1 END AS BIGINT) AS source
+               CASE WHEN p_type = 'ECONOMY' THEN p_retailprice WHEN p_size < 20 THEN p_size::DOUBLE WHEN p_partkey % 2 = 0 THEN 1.0 END AS rating,
+               CAST(CASE WHEN p_type = 'ECONOMY' THEN 0 WHEN p_size < 20 THEN 1 END AS BIGINT) AS source
         FROM part""",
     "schema_backfill": """
         WITH u AS (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, 'NONE' AS segment, CAST(NULL AS DOUBLE) AS balance FROM nation

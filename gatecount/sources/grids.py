@@ -24,54 +24,67 @@ def cell_number() -> Column:
     return F.coalesce(F.col("num"), N.clean_number(F.col("text")))
 
 
+def sheet_heads(cells: DataFrame) -> DataFrame:
+    """One row per file with the text cells of its leading rows.
+
+    The array is bounded by the sheet's width times the leading rows; everything
+    about a file's layout is read from it without going back to the cells.
+    """
+    top = cells.where(F.col("row") <= rules.WEEK_HEADER_ROWS).select(
+        "file", F.struct("row", "col", cell_text().alias("text")).alias("c")
+    )
+    return top.groupBy("file").agg(F.sort_array(F.collect_list("c")).alias("cells"))
+
+
 def week_layout(cells: DataFrame) -> DataFrame:
-    """Rows (file, header_row, name, col): where each column of each file is.
+    """Rows (file, weekend_from, header_row, name, col): where each column of each file is.
 
     The header is the first of the leading rows that names the title column; files
     without admissions columns have no layout.
     """
     head_col, head_word = rules.WEEK_HEADER
-    top = cells.where(F.col("row") <= rules.WEEK_HEADER_ROWS).select("file", "row", "col", cell_text().alias("_t"))
-    header = (
-        top.where((F.col("row") < rules.WEEK_HEADER_ROWS) & (F.col("col") == head_col) & (F.col("_t") == head_word))
-        .groupBy("file")
-        .agg(F.min("row").alias("header_row"))
+    headers = F.filter(
+        "cells",
+        lambda c: (c["row"] < rules.WEEK_HEADER_ROWS) & (c["col"] == head_col) & (c["text"] == head_word),
     )
-    near = top.join(header, "file")
-    upper = near.where(F.col("row") == F.col("header_row")).select("file", "header_row", "col", F.col("_t").alias("_top"))
-    lower = near.where(F.col("row") == F.col("header_row") + 1).select("file", "col", F.col("_t").alias("_sub"))
-    labels = upper.join(lower, ["file", "col"], "left").fillna("", ["_sub"])
-    name = F.lit(None).cast("string")
-    for column, first, second, prefix in rules.WEEK_COLUMNS:
-        below = F.col("_sub").startswith(second) if prefix else F.col("_sub") == second
-        name = F.when((F.col("_top") == first) & below, column).otherwise(name)
-    named = labels.withColumn("name", name).where(F.col("name").isNotNull())
-    # The first cinema count is meant, of any other repeated label the last.
-    found = named.groupBy("file", "header_row", "name").agg(
-        F.when(F.col("name") == "cinemas", F.min("col")).otherwise(F.max("col")).alias("col")
+    captions = F.filter("cells", lambda c: (c["row"] < 6) & (c["col"] == 0))
+    dates = F.transform(captions, lambda c: T.caption_date(c["text"]))
+    found = (
+        sheet_heads(cells)
+        .withColumns(
+            {"header_row": F.get(headers, F.lit(0))["row"], "weekend_from": F.array_max(dates)}
+        )
+        .where(F.col("header_row").isNotNull())
     )
-    complete = (
-        found.where(F.col("name").isin("weekend_admissions", "total_admissions"))
-        .groupBy("file")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") == 2)
+    rows = found.select(
+        "file",
+        "weekend_from",
+        "header_row",
+        F.filter("cells", lambda c: c["row"] == F.col("header_row")).alias("upper"),
+        F.filter("cells", lambda c: c["row"] == F.col("header_row") + 1).alias("lower"),
     )
-    fixed = F.explode(
-        F.map_from_arrays(
-            F.array(*[F.lit(k) for k in rules.WEEK_FIXED_COLUMNS]),
-            F.array(*[F.lit(v) for v in rules.WEEK_FIXED_COLUMNS.values()]),
-        )
-    ).alias("name", "col")
-    every = found.unionByName(header.select("file", "header_row", fixed))
-    return every.join(complete, "file", "left_semi")
 
+    def place(first: str, second: str, prefix: bool, leftmost: bool) -> Column:
+        def below(c: Column) -> Column:
+            match = lambda d: (d["col"] == c["col"]) & (
+                d["text"].startswith(second) if prefix else d["text"] == second
+            )
+            return F.exists("lower", match)
 
-def weekend_captions(cells: DataFrame) -> DataFrame:
-    """(file, weekend_from) from the caption lines over the table."""
-    lines = cells.where((F.col("row") < 6) & (F.col("col") == 0)).select(
-        "file", T.caption_date(cell_text()).alias("_d")
-    )
-    return lines.groupBy("file").agg(F.max("_d").alias("weekend_from"))
+        hits = F.transform(F.filter("upper", lambda c: (c["text"] == first) & below(c)), lambda c: c["col"])
+        return F.array_min(hits) if leftmost else F.array_max(hits)
+
+    # The first cinema count is meant, of any other repeated label the last.
+    places = {
+        name: place(first, second, prefix, name == "cinemas")
+        for name, first, second, prefix in rules.WEEK_COLUMNS
+    }
+    places |= {name: F.lit(col) for name, col in rules.WEEK_FIXED_COLUMNS.items()}
+    placed = rows.select("file", "weekend_from", "header_row", *[c.alias(n) for n, c in places.items()])
+    complete = placed.where(F.col("weekend_admissions").isNotNull() & F.col("total_admissions").isNotNull())
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("int").alias("col")) for n in places])
+    long = complete.select("file", "weekend_from", "header_row", F.explode(pairs).alias("p"))
+    return long.select("file", "weekend_from", "header_row", "p.name", "p.col").where(F.col("col").isNotNull())
 
 
 def _text_of(name: str) -> Column:
@@ -86,8 +99,10 @@ def weekly_table(cells: DataFrame) -> DataFrame:
     """Report rows of every recognised weekly sheet; lines without rank or title end it."""
     layout = week_layout(cells)
     body = cells.join(layout, ["file", "col"]).where(F.col("row") >= F.col("header_row") + 2)
-    long = body.select("file", "row", "name", cell_text().alias("_text"), cell_number().alias("_num"))
-    records = long.groupBy("file", "row").agg(
+    long = body.select(
+        "file", "row", "weekend_from", "name", cell_text().alias("_text"), cell_number().alias("_num")
+    )
+    records = long.groupBy("file", "row", "weekend_from").agg(
         _number_of("rank").cast("bigint").alias("rank"),
         *[_text_of(c).alias(c) for c in ("title", "distributor", "country")],
         *[
@@ -96,9 +111,7 @@ def weekly_table(cells: DataFrame) -> DataFrame:
         ],
         *[_number_of(c).alias(c) for c in ("weekend_gross", "total_gross")],
     )
-    return records.where((F.col("rank") != 0) & (F.col("title") != "")).join(
-        weekend_captions(cells), "file", "left"
-    )
+    return records.where((F.col("rank") != 0) & (F.col("title") != ""))
 
 
 def unrecognised_files(cells: DataFrame) -> DataFrame:
