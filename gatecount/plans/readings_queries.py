@@ -9,30 +9,26 @@ from gatecount.operators import readings as R
 from gatecount.plans import views as V
 from gatecount.plans.views import with_views
 
-# The test data is small; a narrow segment makes every key cross segment borders.
-SEGMENT = 4096
-
-
 def sales_ramp(spark, sf_dir):
-    return R.sales_ramp(V.readings(spark, sf_dir), segment_rows=SEGMENT)
+    return R.sales_ramp(V.readings(spark, sf_dir))
 
 
 def hold_confirm(spark, sf_dir):
-    return R.hold_confirm(V.readings(spark, sf_dir), segment_rows=SEGMENT).select(
+    return R.hold_confirm(V.readings(spark, sf_dir)).select(
         "seq", "screening_key", "sold", "outcome"
     )
 
 
 def closed_guard(spark, sf_dir):
-    return R.closed_guard(V.readings(spark, sf_dir), segment_rows=SEGMENT).select(
+    return R.closed_guard(V.readings(spark, sf_dir)).select(
         "seq", "screening_key", "sold", "outcome"
     )
 
 
 def confirmed_ramp(spark, sf_dir):
     """Increments over recorded readings only: the held ones never enter the ramp."""
-    kept = R.hold_confirm(V.readings(spark, sf_dir), segment_rows=SEGMENT).where("outcome = 'recorded'")
-    return R.sales_ramp(kept.drop("outcome"), segment_rows=SEGMENT)
+    kept = R.hold_confirm(V.readings(spark, sf_dir)).where("outcome = 'recorded'")
+    return R.sales_ramp(kept.drop("outcome"))
 
 
 def ramp_totals(spark, sf_dir):

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from gatecount.plans import views as V
 from gatecount.plans.readings_queries import ORACLES as READINGS
-from gatecount.plans.readings_queries import SEGMENT
 from gatecount.plans.views import with_views
 from gatecount.session import checkpoint_root
 from gatecount.streaming.ramp import AlertStream, RampStream
@@ -33,13 +32,13 @@ def _readings(spark, sf_dir):
 
 
 def stream_sales_ramp(spark, sf_dir):
-    stream = RampStream(_root(spark, "ramp"), confirm=False, segment_rows=SEGMENT)
+    stream = RampStream(_root(spark, "ramp"), confirm=False)
     stream.start(_readings(spark, sf_dir)).awaitTermination()
     return stream.result(spark)
 
 
 def stream_confirmed_ramp(spark, sf_dir):
-    stream = RampStream(_root(spark, "confirmed"), segment_rows=SEGMENT)
+    stream = RampStream(_root(spark, "confirmed"))
     stream.start(_readings(spark, sf_dir)).awaitTermination()
     return stream.result(spark)
 

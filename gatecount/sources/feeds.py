@@ -9,6 +9,7 @@ from gatecount import rules
 from gatecount.functions import numbers as N
 from gatecount.functions import text as X
 from gatecount.functions import times as T
+from gatecount.functions.binding import bind
 from gatecount.sources.snapshots import read_json
 
 PRESENTATION = (
@@ -81,24 +82,21 @@ def _field(record: Column, name: str) -> Column:
 def _deref(flat: Column, value: Column) -> Column:
     """A whole number is the position of the value, anything else is the value."""
     at = F.when(_kind(value) == "BIGINT", F.try_variant_get(value, "$", "bigint"))
-    found = F.get(flat, F.when(at < F.size(flat), at).otherwise(F.lit(-1)).cast("int"))
-    return F.when(at.isNotNull() & (at >= 0) & (at < F.size(flat)), found).otherwise(value)
+    return bind(
+        at, lambda i: F.when((i >= 0) & (i < F.size(flat)), F.get(flat, i.cast("int"))).otherwise(value)
+    )
 
 
 def _text(flat: Column, value: Column) -> Column:
-    target = _deref(flat, value)
-    return F.coalesce(F.when(_kind(target) == "STRING", F.try_variant_get(target, "$", "string")), F.lit(""))
+    return bind(
+        _deref(flat, value),
+        lambda v: F.coalesce(F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string")), F.lit("")),
+    )
 
 
-def _payload(pages: DataFrame, page_id: str, html: str, pattern: str) -> DataFrame:
+def _payload(html: str, pattern: str) -> Column:
     script = F.regexp_extract(F.col(html), pattern, 1)
-    flat = F.try_variant_get(F.try_parse_json(script), "$", "array<variant>")
-    records = F.filter("flat", lambda r: _kind(r).startswith("OBJECT"))
-    return (
-        pages.select(page_id, flat.alias("flat"))
-        .where(F.col("flat").isNotNull())
-        .withColumn("records", records)
-    )
+    return F.try_variant_get(F.try_parse_json(script), "$", "array<variant>")
 
 
 def payload_events(
@@ -107,32 +105,32 @@ def payload_events(
     """Scheduled events in the index-referenced payload of a page.
 
     The payload is one flat array whose records hold positions instead of values.
-    References are followed inside the row, so a page is neither joined with itself
-    nor repeated per record. A page without a readable payload gives no rows; the
-    last record of an event id wins.
+    It is parsed once and references are followed inside the row, so a page is
+    neither joined with itself nor repeated per record. A page without a readable
+    payload gives no rows; the last record of an event id wins.
     """
-    flat = F.col("flat")
-
-    def event(r: Column) -> Column:
-        props = F.try_variant_get(_deref(flat, _field(r, "Properties")), "$", "array<variant>")
-        names = F.transform(props, lambda p: _text(flat, _field(_deref(flat, p), "Name")))
-        return F.struct(
-            _text(flat, _field(r, "EventId")).alias("event_id"),
-            _text(flat, _field(r, "Start")).alias("start"),
-            _text(flat, _field(r, "TitleId")).alias("title_id"),
-            _text(flat, _field(r, "ObjectId")).alias("hall_id"),
-            F.coalesce(
-                F.filter(names, lambda n: n != ""), F.array().cast("array<string>")
-            ).alias("properties"),
-        )
 
-    def is_event(r: Column) -> Column:
-        is_hall = _field(r, "CinemaId").isNotNull() & _field(r, "ObjectId").isNotNull()
-        return ~is_hall & _field(r, "EventId").isNotNull() & _field(r, "Start").isNotNull()
-
-    found = _payload(pages, page_id, html, pattern).select(
-        page_id, F.posexplode(F.transform(F.filter("records", is_event), event)).alias("no", "e")
-    )
+    def read(flat: Column) -> Column:
+        def event(r: Column) -> Column:
+            props = F.try_variant_get(_deref(flat, _field(r, "Properties")), "$", "array<variant>")
+            names = F.transform(props, lambda p: _text(flat, _field(_deref(flat, p), "Name")))
+            return F.struct(
+                _text(flat, _field(r, "EventId")).alias("event_id"),
+                _text(flat, _field(r, "Start")).alias("start"),
+                _text(flat, _field(r, "TitleId")).alias("title_id"),
+                _text(flat, _field(r, "ObjectId")).alias("hall_id"),
+                F.coalesce(
+                    F.filter(names, lambda n: n != ""), F.array().cast("array<string>")
+                ).alias("properties"),
+            )
+
+        def is_event(r: Column) -> Column:
+            named = _field(r, "EventId").isNotNull() & _field(r, "Start").isNotNull()
+            return named & ~(_field(r, "CinemaId").isNotNull() & _field(r, "ObjectId").isNotNull())
+
+        return F.transform(F.filter(flat, is_event), event)
+
+    found = pages.select(page_id, F.posexplode(bind(_payload(html, pattern), read)).alias("no", "e"))
     start = F.try_to_timestamp(F.col("e.start"))
     rows = found.select(
         page_id,
@@ -155,18 +153,18 @@ def payload_halls(
     pages: DataFrame, page_id: str = "page_id", html: str = "html", pattern: str = rules.PAYLOAD_SCRIPT
 ) -> DataFrame:
     """Hall -> cinema pairs of the same payload."""
-    flat = F.col("flat")
 
-    def hall(r: Column) -> Column:
-        return F.struct(
-            _text(flat, _field(r, "ObjectId")).alias("hall_id"),
-            _text(flat, _field(r, "CinemaId")).alias("cinema_id"),
+    def read(flat: Column) -> Column:
+        halls = F.filter(flat, lambda r: _field(r, "CinemaId").isNotNull() & _field(r, "ObjectId").isNotNull())
+        return F.transform(
+            halls,
+            lambda r: F.struct(
+                _text(flat, _field(r, "ObjectId")).alias("hall_id"),
+                _text(flat, _field(r, "CinemaId")).alias("cinema_id"),
+            ),
         )
 
-    is_hall = lambda r: _field(r, "CinemaId").isNotNull() & _field(r, "ObjectId").isNotNull()
-    rows = _payload(pages, page_id, html, pattern).select(
-        page_id, F.posexplode(F.transform(F.filter("records", is_hall), hall)).alias("no", "h")
-    )
+    rows = pages.select(page_id, F.posexplode(bind(_payload(html, pattern), read)).alias("no", "h"))
     named = rows.where((F.col("h.hall_id") != "") & (F.col("h.cinema_id") != ""))
     return named.groupBy(page_id, F.col("h.hall_id").alias("hall_id")).agg(
         F.max_by("h.cinema_id", "no").alias("cinema_id")
