@@ -33,7 +33,7 @@ def _ramp(spark, sf_dir):
 
 def _report(spark, sf_dir):
     settled = S.settle(V.screenings(spark, sf_dir), _now())
-    return report.live_report(
+    return report.LiveReport(
         S.working_set(settled, _now()),
         _ramp(spark, sf_dir),
         V.weekly(spark, sf_dir),
@@ -45,13 +45,13 @@ def _report(spark, sf_dir):
 
 
 def live_report(spark, sf_dir):
-    figures = report.headline_figures(_report(spark, sf_dir))
+    figures = _report(spark, sf_dir).headline_figures()
     return figures.select("section", "measure", F.round("value", 2).alias("value"))
 
 
 def report_forecasts(spark, sf_dir):
     """The log rows the report adds: this week's films, planned screens included."""
-    rows = report.forecast_snapshots(_report(spark, sf_dir), _now())
+    rows = _report(spark, sf_dir).forecast_snapshots()
     return rows.select("film_id", "as_of", "weeks", "predicted", "low", "high", F.round("screen_trend", 6).alias("screen_trend"))
 
 

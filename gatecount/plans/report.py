@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecount.functions import times as T
+from gatecount.functions.text import origin_of
 from gatecount.operators import forecast as M
 from gatecount.operators import official as O
 from gatecount.operators import readings as R
@@ -16,83 +17,134 @@ from gatecount.operators import rollup as U
 from gatecount.operators import settle as S
 
 
-def live_report(
-    screenings: DataFrame,
-    ramp: DataFrame,
-    weekly: DataFrame,
-    annual: DataFrame,
-    daily_coverage: DataFrame,
-    now: Column,
-    today: Column,
-) -> dict[str, DataFrame]:
-    """Named answers. ``screenings`` are described (names joined) and settled.
+class LiveReport:
+    """The dashboard's answers; each is planned when it is asked for.
 
-    The week's rows are filtered out of the scan once and persisted as ``base``;
-    the caller unpersists that entry when the answers are written.
+    ``screenings`` are described (names joined) and settled. The week's rows are
+    filtered out of the scan once and persisted as ``base``; ``release`` frees them
+    when the answers are written. Every other answer is its own Catalyst plan.
     """
-    rows = U.base(screenings, now, today).persist(StorageLevel.MEMORY_AND_DISK)
-    period = U.film_period(rows)
-    by_day = U.film_by_day(rows)
-    official = O.latest_totals(weekly, now)
-    runs = M.collect_runs(
-        O.run_series(weekly, now).withColumn("origin", _origin(F.col("country"))), keep=("origin",)
-    )
-    planned = U.planned_ratio(screenings, now).select("film_id", "planned_ratio")
-    listed = runs.join(period.select("film_id"), "film_id", "left_semi").join(planned, "film_id", "left")
-    return {
-        "base": rows,
-        "today": U.day_totals(rows),
-        "week": U.week_totals(rows),
-        "films": period,
-        "by_day": by_day,
-        "week_days": U.week_spine(rows, today),
-        "breakdowns": U.breakdowns(rows),
-        "cinemas": U.cinemas_per_film(rows),
-        "top_cinemas": U.top_cinemas(rows),
-        "fullest": U.fullest(rows),
-        "upcoming": U.upcoming(rows),
-        "today_list": U.todays_list(rows),
-        "ramp": R.ramp_totals(ramp),
-        "ramp_summary": R.ramp_summary(ramp, today, T.week_start(today)),
-        "official": U.official_plus_measured(official.drop("title"), by_day),
-        "forecast": M.forecast(listed, planned_ratio="planned_ratio"),
-        "forecast_trend": M.forecast_trend(listed, planned_ratio="planned_ratio"),
-        "ranking": O.all_time_ranking(weekly, annual),
-        "archive": O.archive_summary(weekly),
-        "weekend": O.newest_weekend(weekly),
-        "coverage": S.recent_coverage(screenings, daily_coverage, now),
-    }
-
-
-def _origin(country: Column) -> Column:
-    from gatecount.functions.text import origin_of
-
-    none = F.lit(None).cast("string")
-    return origin_of(country, none, none)
-
-
-def headline_figures(report: dict[str, DataFrame]) -> DataFrame:
-    """The one-row answers as (section, measure, value)."""
-    parts = []
-    for section in ("today", "week", "ramp_summary", "coverage"):
-        df = report[section]
-        pairs = F.map_from_arrays(
-            F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c).cast("double") for c in df.columns])
+
+    ANSWERS = (
+        "today week films by_day week_days breakdowns cinemas top_cinemas fullest upcoming today_list "
+        "ramp_hours ramp_summary official forecast forecast_trend ranking archive weekend coverage"
+    ).split()
+
+    def __init__(
+        self,
+        screenings: DataFrame,
+        ramp: DataFrame,
+        weekly: DataFrame,
+        annual: DataFrame,
+        daily_coverage: DataFrame,
+        now: Column,
+        today: Column,
+    ):
+        self.screenings, self.ramp, self.weekly, self.annual = screenings, ramp, weekly, annual
+        self.daily_coverage, self.now, self.day = daily_coverage, now, today
+
+    @cached_property
+    def base(self) -> DataFrame:
+        return U.base(self.screenings, self.now, self.day).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def release(self) -> None:
+        if "base" in self.__dict__:
+            self.base.unpersist()
+
+    def answers(self) -> dict[str, DataFrame]:
+        return {name: getattr(self, name)() for name in self.ANSWERS}
+
+    def today(self) -> DataFrame:
+        return U.day_totals(self.base)
+
+    def week(self) -> DataFrame:
+        return U.week_totals(self.base)
+
+    def films(self) -> DataFrame:
+        return U.film_period(self.base)
+
+    def by_day(self) -> DataFrame:
+        return U.film_by_day(self.base)
+
+    def week_days(self) -> DataFrame:
+        return U.week_spine(self.base, self.day)
+
+    def breakdowns(self) -> DataFrame:
+        return U.breakdowns(self.base)
+
+    def cinemas(self) -> DataFrame:
+        return U.cinemas_per_film(self.base)
+
+    def top_cinemas(self) -> DataFrame:
+        return U.top_cinemas(self.base)
+
+    def fullest(self) -> DataFrame:
+        return U.fullest(self.base)
+
+    def upcoming(self) -> DataFrame:
+        return U.upcoming(self.base)
+
+    def today_list(self) -> DataFrame:
+        return U.todays_list(self.base)
+
+    def ramp_hours(self) -> DataFrame:
+        return R.ramp_totals(self.ramp)
+
+    def ramp_summary(self) -> DataFrame:
+        return R.ramp_summary(self.ramp, self.day, T.week_start(self.day))
+
+    def official(self) -> DataFrame:
+        totals = O.latest_totals(self.weekly, self.now).drop("title")
+        return U.official_plus_measured(totals, self.by_day())
+
+    def _runs(self) -> DataFrame:
+        """Runs of the films on show this week, with their planned screens."""
+        none = F.lit(None).cast("string")
+        series = O.run_series(self.weekly, self.now)
+        runs = M.collect_runs(series.withColumn("origin", origin_of(F.col("country"), none, none)), keep=("origin",))
+        shown = self.base.select("film_id").distinct()
+        planned = U.planned_ratio(self.screenings, self.now).select("film_id", "planned_ratio")
+        return runs.join(shown, "film_id", "left_semi").join(planned, "film_id", "left")
+
+    def forecast(self) -> DataFrame:
+        return M.forecast(self._runs(), planned_ratio="planned_ratio")
+
+    def forecast_trend(self) -> DataFrame:
+        return M.forecast_trend(self._runs(), planned_ratio="planned_ratio")
+
+    def ranking(self) -> DataFrame:
+        return O.all_time_ranking(self.weekly, self.annual)
+
+    def archive(self) -> DataFrame:
+        return O.archive_summary(self.weekly)
+
+    def weekend(self) -> DataFrame:
+        return O.newest_weekend(self.weekly)
+
+    def coverage(self) -> DataFrame:
+        return S.recent_coverage(self.screenings, self.daily_coverage, self.now)
+
+    def headline_figures(self) -> DataFrame:
+        """The one-row answers as (section, measure, value)."""
+        parts = []
+        for section in ("today", "week", "ramp_summary", "coverage"):
+            df = getattr(self, section)()
+            pairs = F.map_from_arrays(
+                F.array(*[F.lit(c) for c in df.columns]), F.array(*[F.col(c).cast("double") for c in df.columns])
+            )
+            parts.append(df.select(F.lit(section).alias("section"), F.explode(pairs).alias("measure", "value")))
+        return reduce(DataFrame.unionByName, parts)
+
+    def forecast_snapshots(self) -> DataFrame:
+        """This run's forecasts as log rows; films without an official total are left out."""
+        totals = O.latest_totals(self.weekly, self.now).select("film_id", "as_of")
+        return self.forecast().join(totals, "film_id").select(
+            "film_id",
+            "as_of",
+            "weeks",
+            F.col("total").alias("predicted"),
+            "low",
+            "high",
+            "screen_trend",
+            self.now.alias("at_ts"),
         )
-        parts.append(df.select(F.lit(section).alias("section"), F.explode(pairs).alias("measure", "value")))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def forecast_snapshots(report: dict[str, DataFrame], at: Column) -> DataFrame:
-    """This run's forecasts as log rows; films without an official total are left out."""
-    official = report["official"].select("film_id", "as_of")
-    return report["forecast"].join(official, "film_id").select(
-        "film_id",
-        "as_of",
-        "weeks",
-        F.col("total").alias("predicted"),
-        "low",
-        "high",
-        "screen_trend",
-        at.alias("at_ts"),
-    )
