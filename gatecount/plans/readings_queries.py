@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gatecount.functions import times as T
 from gatecount.operators import readings as R
+from gatecount.operators.resolve import restrict_to
 from gatecount.plans import views as V
 from gatecount.plans.views import with_views
 
@@ -49,15 +50,13 @@ def ramp_retention(spark, sf_dir):
 
 
 def restrict_series(spark, sf_dir):
-    """The ramp of the films that have a purchase-type reading of at least 100."""
+    """The ramp of the films that have a large purchase."""
     listed = (
         V.table(spark, sf_dir, "events")
         .where((F.col("event_type") == "purchase") & (F.col("value") >= 300))
         .select((F.col("user_id") % 5).alias("film_id"))
         .distinct()
     )
-    from gatecount.operators.resolve import restrict_to
-
     return restrict_to(sales_ramp(spark, sf_dir), listed)
 
 

@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("readings_queries", "rollup_queries", "official_queries", "title_queries", "scalar_queries", "markup_queries", "stream_queries", "composite_queries")
+MODULES = (
+    "readings_queries",
+    "rollup_queries",
+    "official_queries",
+    "title_queries",
+    "scalar_queries",
+    "markup_queries",
+    "stream_queries",
+    "composite_queries",
+)
 
 
 def _collect(attribute: str) -> dict:
     found: dict = {}
     for name in MODULES:
-        try:
-            module = import_module(f"gatecount.plans.{name}")
-        except ModuleNotFoundError:
-            continue
-        entries = getattr(module, attribute)
+        entries = getattr(import_module(f"gatecount.plans.{name}"), attribute)
         clash = found.keys() & entries.keys()
         if clash:
             raise ValueError(f"registered twice: {sorted(clash)}")

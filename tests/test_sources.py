@@ -188,7 +188,7 @@ SUB = ["", None, "", "", "", "týd.", "kin", "tržby", "diváci", "tržby", "div
 
 def test_weekly_sheet(spark):
     good = [["TOP 20"], ["Víkend od: 23.07.2026"], [], ["x"], HEAD, SUB]
-    good += [[1, None, " Odyssea ", "Cinemart", "USA", 2, 210, "17 200 000,5", 86017, 51000000, "256 291", 9], [None, None, "note"], ["(c) UFD"]]
+    good += [[1, None, " Odyssea ", "Cinemart", "USA", 2, 210, "17 200 000,5", 86017, 51000000, "256 291", 9], [None, None, "note"], ["(c) note"]]
     bad = [["nothing"], [None, None, "Film"], []]
     cells = spark.createDataFrame(sheet("w.xls", good) + sheet("b.xls", bad), CELLS)
     out = grids.weekly_table(cells).collect()
