@@ -32,7 +32,9 @@ NODES = 6_000
 FILLINGS = 24
 #: Pieces of one length numbered together.
 NUMBERED_AT_ONCE = 50_000
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
+#: Letters before it stay single letters in lower case.
+FIRST_ODD_LETTER = "\u0130"
 TEXTS_AT_ONCE = 4_000_000
 
 # ---------------------------------------------------------------- tokens
@@ -52,18 +54,47 @@ class WordTokenizer:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        chunks = set().union(*split) if split else set()
-        missing = [c for c in chunks if c not in self.known]
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known.clear()
-            missing = list(chunks)
-        for at in range(0, len(missing), 20_000):
-            some = missing[at : at + 20_000]
+        # The tokenizer lowers case itself; lowering ASCII first lets spellings share an entry.
+        split = [t.encode("utf-8", "replace").lower().split() for t in texts]
+        of = self.known.get
+        ids = [[*map(of, chunks)] for chunks in split]
+        holes = [i for i, found in enumerate(ids) if None in found]
+        if holes:
+            missing = {c for i in holes for c, found in zip(split[i], ids[i]) if found is None}
+            if len(self.known) + len(missing) > CACHE_ENTRIES:
+                self.known.clear()
+                missing, holes = set().union(*split), range(len(split))
+            self.learn(missing)
+            for i in holes:
+                ids[i] = map(self.known.__getitem__, split[i])
+        return [b"".join(found) for found in ids]
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Encode chunks. A word of plain letters is one pre-token, and a run of stops after it another."""
+        words, others, ended = set(), set(), []
+        for chunk in chunks:
+            core = chunk.rstrip(b".,")
+            word = core.decode()
+            if word.isalpha() and max(word) < FIRST_ODD_LETTER:
+                words.add(word)
+                if len(core) < len(chunk):
+                    others.add(chunk[len(core) :])
+                    ended.append((chunk, core, chunk[len(core) :]))
+            else:
+                others.add(chunk)
+        listed = [*words]
+        for at in range(0, len(listed), 20_000):
+            some = listed[at : at + 20_000]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ends = np.searchsorted(found.word_ids, np.arange(len(some) + 1)).tolist()
+            ids = np.array(found.ids, "<u4").tobytes()
+            self.known.update((w.encode(), ids[a * 4 : b * 4]) for w, a, b in zip(some, ends, ends[1:]))
+        listed = [*others]
+        for at in range(0, len(listed), 20_000):
+            some = listed[at : at + 20_000]
             found = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
             self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, found))
-        of = self.known.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+        self.known.update((chunk, self.known[core] + self.known[stops]) for chunk, core, stops in ended)
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
