@@ -84,7 +84,7 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     all words where there are seeds) and a row number that no other row has."""
     t = text_or_empty(text)
     with_base = docs.select(*quoted(keep), t.alias("_t")).withColumn("_base", base(F.col("_t")))
-    loose = spans.found(F.col("_t"), 0, TOKEN, lambda m: F.lit(True), run=r"^\s")
+    loose = spans.found(F.col("_t"), 0, TOKEN, lambda m: F.lit(True), run=r"\S")
     with_loose = with_base.withColumn("_loose", spans.apart(loose, F.col("_base")))
     near = lambda found: F.transform(found, lambda s: F.struct(s.alias("span"), context(F.col("_t"), s).alias("pattern")))
     return written(

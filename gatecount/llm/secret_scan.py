@@ -1,9 +1,9 @@
 """Secret scans: fixed patterns, and two character Markov models that find random strings the patterns miss.
 
 The models are first-order chains over the characters of keys and identifiers. One is trained on what the fixed
-patterns caught in all documents (random strings), the other on identifiers outside those matches in a bounded sample
-of documents (SAMPLE_DOCS, chosen by a hash of the id; SAMPLE_WORDS of each). Only pair counts, a fixed number of rows,
-leave the training pass; smoothing fills what was not seen. Every run of LEAST or more such characters that no fixed
+patterns caught in all documents (random strings), the other on identifiers outside those matches, too short to be
+judged themselves, in a bounded sample of documents (about SAMPLE_DOCS, chosen by a hash of the id; SAMPLE_WORDS of each). Only pair counts, a fixed number of rows,
+leave the training pass; what was not seen leans on the single characters. Every run of LEAST or more such characters that no fixed
 pattern covers is scored by its log-likelihood ratio, random against ordinary, and reported from `bar` nats on. Without
 any labelled random string there is no model and only the fixed patterns speak.
 
@@ -31,6 +31,8 @@ LEAST = 20
 SAMPLE_DOCS, SAMPLE_WORDS = 4000, 500
 BAR = 15.0
 SMOOTHING = 0.5
+#: Pairs that the single characters' frequencies weigh as much as.
+LEAN = 8.0
 
 
 def value(match: Column) -> Column:
@@ -63,7 +65,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> list[f
     own = docs.select(whole.alias("t"), sampled.alias("sampled")).select("t", "sampled", base(F.col("t")).alias("base"))
     random = F.transform("base", lambda s: F.struct(F.lit(1).alias("random"), value(s["value"]).alias("word")))
     bare = spans.replaced(F.col("t"), F.col("base"), " ")
-    words = F.slice(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9+/_=-]{4,}"), 0), 1, SAMPLE_WORDS)
+    # What is long enough to be judged is no label: a secret nobody knows would vouch for itself.
+    short = F.filter(F.regexp_extract_all(bare, F.lit("[A-Za-z0-9+/_=-]{4,}"), 0), lambda w: F.char_length(w) < LEAST)
+    words = F.slice(short, 1, SAMPLE_WORDS)
     ordinary = F.when(
         F.col("sampled"), F.transform(words, lambda w: F.struct(F.lit(0).alias("random"), w.alias("word")))
     ).otherwise(F.array().cast("array<struct<random:int,word:string>>"))
@@ -76,15 +80,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> list[f
     wide = counts.groupBy("pair").agg(
         *[F.sum(F.when(F.col("random") == k, F.col("count"))).alias(f"n{k}") for k in (0, 1)]
     )
-    before = Window.partitionBy(F.floor(F.col("pair") / SIDE))
     table = every.join(wide, "pair", "left").select(
-        "pair", *[F.coalesce(f"n{k}", F.lit(0)).alias(f"n{k}") for k in (0, 1)]
-    )
-    log = [
-        F.log((F.col(f"n{k}") + SMOOTHING) / (F.sum(f"n{k}").over(before) + SMOOTHING * SIDE)).alias(f"log{k}") for k in (0, 1)
-    ]
+        "pair", F.lit(0).alias("all"), F.floor(F.col("pair") / SIDE).alias("a"), (F.col("pair") % SIDE).alias("b"),
+        *[F.coalesce(f"n{k}", F.lit(0)).alias(f"n{k}") for k in (0, 1)],
+    )
+
+    def log(k: int) -> Column:
+        """Of the pair's conditional probability, leaning on how frequent the second character is anywhere."""
+        over = lambda c: F.sum(f"n{k}").over(Window.partitionBy(c))
+        anywhere = (over("b") + SMOOTHING) / (over("all") + SMOOTHING * SIDE)
+        return F.log((F.col(f"n{k}") + LEAN * anywhere) / (over("a") + LEAN))
+
     # SIDE * SIDE rows, whatever the corpus.
-    model = table.select("pair", "n1", *log).select("pair", "n1", (F.col("log1") - F.col("log0")).alias("ratio")).collect()
+    model = table.select("pair", "n1", (log(1) - log(0)).alias("ratio")).collect()
     if not any(r["n1"] for r in model):
         return None
     return [r["ratio"] for r in sorted(model, key=lambda r: r["pair"])]

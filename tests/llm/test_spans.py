@@ -88,8 +88,9 @@ def random_strings(rng, n, size):
 def test_models_find_random_strings_and_leave_identifiers(spark):
     rng = random.Random(5)
     common = "customer order shipping address number total update record table index value".split()
-    identifier = lambda: "_".join(rng.choice(common) for _ in range(5))
-    texts = [f"token = {s} and {identifier()}" for s in random_strings(rng, 300, 40)]
+    identifier = lambda: "_".join(rng.sample(common, 2)) + "".join(rng.sample(common, 3))
+    spoken = lambda: "_".join(rng.sample(common, 2)) + " " + " ".join(rng.sample(common, 6))
+    texts = [f"token = {s} and {spoken()} {identifier()}" for s in random_strings(rng, 300, 40)]
     held = random_strings(rng, 40, 32)
     texts += [f"it was {s} here" for s in held] + [f"the {identifier()} and {identifier()} here" for _ in range(200)]
     frame = docs(spark, texts)
