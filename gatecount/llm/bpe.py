@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ from pyspark.sql import types as T
 from gatecount.llm.common import fresh, quoted, strings
 
 PIECES_AT_ONCE = 50_000
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 700_000
 LONG_PIECE = 256
+HOLE = b"?"
 #: The pattern under which a single space between two other characters starts a piece (a fixed value).
 SPACE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TEXT_AT_ONCE = 4_000_000
@@ -155,14 +157,16 @@ class Codec:
             for i, (p, _) in enumerate(some):
                 self.ids[p] = buffer[ends[i] : ends[i + 1]]
 
-    def learn_chunks(self, chunks: set[str]) -> None:
+    def learn_chunks(self, missing: set[str]) -> None:
         """Chunks of text that follow a space. None marks one at whose edge the space may belong to a run of blanks."""
-        missing = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(missing) > CACHE_ENTRIES:
-            self.chunks.clear()
-            missing = list(chunks)
-        plain = [c for c in missing if c and not c[0].isspace() and not c[-1].isspace()]
         self.chunks.update(dict.fromkeys(missing))
+        # A word of letters with stops behind it is two pieces; what else there is goes through the pattern.
+        parts = [(c, c.rstrip(".,")) for c in missing]
+        words = [(c, " " + w, c[len(w) :]) for c, w in parts if w.isalpha()]
+        self.learn({w for _, w, _ in words} | {stops for _, _, stops in words if stops})
+        of = self.ids.__getitem__
+        self.chunks.update((c, of(w) + of(stops) if stops else of(w)) for c, w, stops in words)
+        plain = [c for c, w in parts if c and not w.isalpha() and not c[0].isspace() and not c[-1].isspace()]
         for at in range(0, len(plain), PIECES_AT_ONCE):
             some = plain[at : at + PIECES_AT_ONCE]
             self.chunks.update(zip(some, self.spelled([" " + c for c in some])))
@@ -179,11 +183,19 @@ class Codec:
         if not self.by_space:
             return self.spelled(texts)
         cut = [t.split(" ") for t in texts]
-        self.learn_chunks(set().union(*(c[1:] for c in cut)) if cut else set())
-        heads = [c[0] if c[0] and not c[0][-1].isspace() else None for c in cut]
-        of = self.chunks.__getitem__
-        tails = [None if h is None else [*map(of, c[1:])] for h, c in zip(heads, cut)]
-        plain = [t is not None and None not in t for t in tails]
+        heads = [c.pop(0) for c in cut]
+        of = self.chunks.get
+        tails = [[*map(of, c, repeat(HOLE))] for c in cut]
+        holes = [i for i, found in enumerate(tails) if HOLE in found]
+        if holes:
+            missing = {c for i in holes for c, found in zip(cut[i], tails[i]) if found is HOLE}
+            if len(self.chunks) + len(missing) > CACHE_ENTRIES:
+                self.chunks.clear()
+                missing, holes = set().union(*cut), range(len(cut))
+            self.learn_chunks(missing)
+            for i in holes:
+                tails[i] = [*map(of, cut[i])]
+        plain = [bool(h) and not h[-1].isspace() and None not in t for h, t in zip(heads, tails)]
         first = self.spelled([h if p else t for t, h, p in zip(texts, heads, plain)])
         return [a + b"".join(b) if p else a for a, b, p in zip(first, tails, plain)]
 
@@ -217,17 +229,21 @@ def _in_groups(values: Iterable, size) -> Iterator[list]:
         yield group
 
 
-def _mapped(df: DataFrame, source, keep: list[str], outs: list[str], work) -> DataFrame:
+def _mapped(df: DataFrame, source, keep: list[str], outs: list[str], groups) -> DataFrame:
+    """Columns `keep` and binary columns `outs`. `groups`: Arrow column -> lists of values, a group of rows at a time,
+    so that a group's results are on their way before the next group is coded."""
     own = fresh(df, "coded")
     kept = df.select(*quoted(keep)).schema.fields
     names = [f.name for f in kept] + outs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = work(batch.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], *(pa.array(r, pa.binary()) for r in results)], names=names
-            )
+            at = 0
+            for results in groups(batch.column(0)):
+                n = len(results[0])
+                columns = [c.slice(at, n) for c in batch.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(r, pa.binary()) for r in results)], names=names)
+                at += n
 
     schema = T.StructType([*kept, *(T.StructField(o, T.BinaryType()) for o in outs)])
     return df.select(source.alias(own), *quoted(keep)).mapInArrow(run, schema)
@@ -236,19 +252,32 @@ def _mapped(df: DataFrame, source, keep: list[str], outs: list[str], work) -> Da
 def encode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text", out: str = "ids") -> DataFrame:
     """The columns `keep` and `out`: the ids of the whole text, little-endian unsigned 32-bit integers."""
 
-    def work(column):
+    def groups(column):
         tool = codec(path, pattern)
-        return [[x for group in _in_groups(strings(column), len) for x in tool.encode(group)]]
+        for texts in _in_groups(strings(column), len):
+            yield [tool.encode(texts)]
 
-    return _mapped(docs, F.col(f"`{text}`").cast("string"), keep, [out], work)
+    return _mapped(docs, F.col(f"`{text}`").cast("string"), keep, [out], groups)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, keep: list[str], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The columns `keep` and `out`: the bytes that `ids` (as `encode` gives them; null: none) spell."""
 
-    def work(column):
+    def groups(column):
+        tool = codec(path, pattern)
+        for some in _in_groups((v.as_py() or b"" for v in column), len):
+            yield [tool.decode(some)]
+
+    return _mapped(encoded, F.col(f"`{ids}`"), keep, [out], groups)
+
+
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep`, ids and decoded: `decode` of `encode` in one Python worker."""
+
+    def groups(column):
         tool = codec(path, pattern)
-        values = (v.as_py() or b"" for v in column)
-        return [[x for group in _in_groups(values, len) for x in tool.decode(group)]]
+        for texts in _in_groups(strings(column), len):
+            ids = tool.encode(texts)
+            yield [ids, tool.decode(ids)]
 
-    return _mapped(encoded, F.col(f"`{ids}`"), keep, [out], work)
+    return _mapped(docs, F.col(f"`{text}`").cast("string"), keep, ["ids", "decoded"], groups)

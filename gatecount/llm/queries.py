@@ -37,8 +37,7 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    encoded = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN, ["doc_id"])
-    decoded = bpe.decode(encoded, BYTE_RANKS, public_tokenizers.PATTERN, ["doc_id", "ids"])
+    decoded = bpe.encode_and_decode(docs, BYTE_RANKS, public_tokenizers.PATTERN, ["doc_id"])
     return decoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
