@@ -75,20 +75,32 @@ def resolve_entities(
     ``films``: film_id, match_key, tight_key, local_key, title, original_title.
     ``aliases``: alias_key, film_id.
 
-    Known aliases win. Misses match the catalogue by match, tight, then local key;
-    a film without an original title learns it, with its keys, from the first
+    Known aliases win, and of several inputs with one new alias the first decides for
+    all. Misses match the catalogue by match, tight, then local key (a film of an older
+    snapshot without a local key is found by its title, and keeps the key it is found
+    by); a film without an original title learns it, with its keys, from the first
     input that has one. What is still unmatched is grouped: identities linked by
     a shared tight or local key, directly or through others, are one new film,
     numbered on from the highest id in order of first arrival. Only distinct
-    identities take part, so many copies of one title cost one row.
+    identities take part, so many copies of one title cost one row. An input
+    without a title is an error.
     """
     known = aliases.select("alias_key", F.col("film_id").alias("_alias_id"))
-    rows = with_identity(inputs.select("position", "alias_key", "title", "original_title"))
+    no_title = F.raise_error(F.concat(F.lit("input without a title: "), F.col("position").cast("string"))).cast("string")
+    rows = inputs.select("position", "alias_key", F.coalesce("title", no_title).alias("title"), "original_title")
     rows = rows.join(known, "alias_key", "left")
+    new = rows.where(F.col("_alias_id").isNull())
+    # The first input of an alias; an input without one stands for itself.
+    asked = with_identity(
+        first_per_key(new.where(F.col("alias_key").isNotNull()), ["alias_key"], [F.col("position")])
+        .unionByName(new.where(F.col("alias_key").isNull()))
+        .drop("_alias_id")
+    )
+    title_key = X.identity(F.col("title"), F.lit(None).cast("string"))["match_key"]
+    indexed = films.withColumn("local_key", F.coalesce("local_key", title_key))
 
     distinct = (
-        rows.where(F.col("_alias_id").isNull())
-        .groupBy(*KEYS)
+        asked.groupBy(*KEYS)
         .agg(
             F.min("position").alias("first_position"),
             F.min_by("title", "position").alias("title"),
@@ -98,7 +110,7 @@ def resolve_entities(
             ).alias("original_title"),
         )
     )
-    matched = cut_lineage(cascade(distinct, films, KEYS, "_cat_id"))
+    matched = cut_lineage(cascade(distinct, indexed, KEYS, "_cat_id"))
 
     # Learning: the first input with an original title teaches a film that has none.
     open_films = films.where(F.col("original_title").isNull()).select(F.col("film_id").alias("_cat_id"))
@@ -141,10 +153,27 @@ def resolve_entities(
             labels.join(minted.select("label", F.col("film_id").alias("_cat_id")), "label").select(*KEYS, "_cat_id")
         )
     )
-    # One row per identity on the right; a hot title is a skewed left side, which
-    # the adaptive skew join splits.
-    resolved = rows.join(ids, list(KEYS), "left").select(
-        "position", "alias_key", F.coalesce("_alias_id", "_cat_id").alias("film_id")
+    # A film without a local key takes that of the first input that found it.
+    keyless = films.where(F.col("local_key").isNull()).select(F.col("film_id").alias("_cat_id"))
+    first_found = (
+        matched.select("_cat_id", "local_key", "first_position")
+        .unionByName(second.select("_cat_id", "local_key", "first_position"))
+        .join(keyless, "_cat_id", "left_semi")
+        .groupBy(F.col("_cat_id").alias("film_id"))
+        .agg(F.min_by("local_key", "first_position").alias("_new_local"))
+    )
+    learned = learned.join(first_found, "film_id", "left").select(
+        *[F.coalesce("local_key", "_new_local").alias(c) if c == "local_key" else F.col(c) for c in films.columns]
+    )
+    # One row per identity on the right, then one per alias; a hot title is a skewed
+    # left side, which the adaptive skew join splits.
+    found = asked.join(ids, list(KEYS), "left").select("position", "alias_key", "_cat_id")
+    by_alias = found.where(F.col("alias_key").isNotNull()).select("alias_key", "_cat_id")
+    by_position = found.where(F.col("alias_key").isNull()).select("position", F.col("_cat_id").alias("_own_id"))
+    resolved = (
+        rows.join(by_alias, "alias_key", "left")
+        .join(by_position, "position", "left")
+        .select("position", "alias_key", F.coalesce("_alias_id", "_cat_id", "_own_id").alias("film_id"))
     )
     catalogue = learned.unionByName(minted.select("film_id", *KEYS, "title", "original_title"), allowMissingColumns=True)
     return resolved, catalogue
@@ -193,15 +222,16 @@ def merge_films(films: DataFrame) -> DataFrame:
     lowest id that has an original title; other columns from the lowest id that
     has a value.
     """
-    mapped = films.join(duplicate_map(films), "film_id", "left").withColumn(
-        "survivor_id", F.coalesce("survivor_id", "film_id")
-    )
+    key = F.coalesce("local_key", X.identity(F.col("title"), F.lit(None).cast("string"))["match_key"])
+    own_group = F.concat(F.lit("\0"), F.col("film_id").cast("string"))
+    mapped = films.withColumn("_group", F.when(F.coalesce(key, F.lit("")) != "", key).otherwise(own_group))
     has_original = F.col("original_title").isNotNull() & (F.col("original_title") != "")
     with_original = F.when(has_original, F.col("film_id"))
     own = [c for c in ("title", "kind", "local_key") if c in films.columns]
     tied = ("original_title", "match_key", "tight_key")
     rest = [c for c in films.columns if c not in (*own, *tied, "film_id")]
-    return mapped.groupBy(F.col("survivor_id").alias("film_id")).agg(
+    return mapped.groupBy("_group").agg(
+        F.min("film_id").alias("film_id"),
         *[F.min_by(c, "film_id").alias(c) for c in own],
         *[F.coalesce(F.min_by(c, with_original), F.min_by(c, "film_id")).alias(c) for c in tied],
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("film_id"))).alias(c) for c in rest],

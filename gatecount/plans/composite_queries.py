@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gatecount import rules
 from gatecount.functions import times as T
 from gatecount.operators import readings as R
 from gatecount.operators import resolve as E
@@ -14,6 +15,7 @@ from gatecount.operators import settle as S
 from gatecount.plans import cycle, official_queries, readings_queries, report, rollup_queries
 from gatecount.plans import views as V
 from gatecount.plans.views import with_views
+from gatecount.session import cut_lineage
 
 
 def _now():
@@ -55,8 +57,13 @@ def report_forecasts(spark, sf_dir):
     return rows.select("film_id", "as_of", "weeks", "predicted", "low", "high", F.round("screen_trend", 6).alias("screen_trend"))
 
 
+def _policy():
+    film = F.col("film_id") % 3
+    return F.when(film == 0, "hold").when(film == 1, "guard").otherwise("direct")
+
+
 def ingest_cycle(spark, sf_dir):
-    """One cycle: the earlier shows are stored, all are refreshed, the near ones are read again."""
+    """Two cycles with one reading per show each: what is read second is measured against what was stored first."""
     now = _now()
     shows = V.screenings(spark, sf_dir)
     stored_shows = shows.where("starts_at < TIMESTAMP_NTZ '1998-06-20 00:00:00'")
@@ -64,44 +71,49 @@ def ingest_cycle(spark, sf_dir):
     refreshed = refreshed.withColumns(
         {c: F.lit(None).cast("bigint") for c in ("sold", "total")} | {"sold_out": ~F.col("sold_out")}
     )
-    # Two readings per show that starts within ten days of now: all seats, then the real count.
     near = shows.where("starts_at BETWEEN TIMESTAMP_NTZ '1998-06-07 12:00:00' AND TIMESTAMP_NTZ '1998-06-27 12:00:00'")
-    first = near.select("screening_key", "film_id", F.lit(1).cast("bigint").alias("seq"), (F.col("starts_at") - T.hours(6)).alias("at_ts"), (F.col("total") - F.col("hall_key") % 2).alias("sold"), "total")
-    second = near.select("screening_key", "film_id", F.lit(2).cast("bigint").alias("seq"), (F.col("starts_at") - T.minutes(10)).alias("at_ts"), "total", (F.col("total") - F.col("film_id") % 3).alias("sold")).select(*first.columns)
+
+    def readings(at, sold):
+        return near.select(
+            "screening_key", "film_id", F.lit(0).cast("bigint").alias("seq"), at.alias("at_ts"), sold.alias("sold"), "total"
+        )
+
+    first = readings(F.col("starts_at") - T.hours(6), F.col("total") - F.col("hall_key") % 2)
+    second = readings(F.col("starts_at") - T.minutes(10), F.col("total") - F.col("film_id") % 3)
     weekly = V.weekly(spark, sf_dir)
     films = E.with_identity(
         weekly.where("country = 'CZE'").select((F.col("film_id") + 1000).alias("film_id"), "title").distinct(), "title", None
     )
-    ramp_type = "hour timestamp_ntz, film_id bigint, sold bigint"
-    daily_type = "day date, film_id bigint, sold bigint, capacity bigint, screenings bigint, gross double"
-    coverage_type = "day date, total bigint, final bigint, partial bigint, missed bigint"
-    log_type = "film_id bigint, as_of date, weeks bigint, predicted bigint, low bigint, high bigint, screen_trend double, at_ts timestamp_ntz"
-    empty = lambda t: spark.createDataFrame([], t)
-    out = cycle.ingest_cycle(
-        {
-            "films": films,
-            "screenings": stored_shows,
-            "weekly": weekly,
-            "annual": V.annual(spark, sf_dir),
-            "ramp": empty(ramp_type),
-            "daily": empty(daily_type),
-            "coverage": empty(coverage_type),
-            "forecasts": empty(log_type),
-        },
-        {"screenings": refreshed, "readings": first.unionByName(second)},
-        now,
-        _today(),
+    kinds = {
+        "ramp": "hour timestamp_ntz, film_id bigint, sold bigint",
+        "daily": "day date, film_id bigint, sold bigint, capacity bigint, screenings bigint, gross double",
+        "coverage": "day date, total bigint, final bigint, partial bigint, missed bigint",
+        "forecasts": "film_id bigint, as_of date, weeks bigint, predicted bigint, low bigint, high bigint, screen_trend double, at_ts timestamp_ntz",
+    }
+    tables = {name: spark.createDataFrame([], kind) for name, kind in kinds.items()} | {
+        "films": films, "screenings": stored_shows, "weekly": weekly, "annual": V.annual(spark, sf_dir)
+    }
+    one = cycle.ingest_cycle(tables, {"screenings": refreshed, "readings": first}, now, _today(), policy=_policy())
+    # Between cycles the tables are stored; folded shows are no longer listed.
+    stored = {k: cut_lineage(one[k]) for k in ("screenings", "ramp", "daily", "coverage", "forecasts")}
+    listed = refreshed.where(F.col("starts_at") >= now - T.days(10))
+    two = cycle.ingest_cycle(
+        tables | stored | {"weekly": one["weekly"]}, {"screenings": listed, "readings": second}, now, _today(), policy=_policy()
     )
     count = lambda name, df, value=F.count(F.lit(1)): df.agg(value.cast("bigint").alias("value")).select(F.lit(name).alias("measure"), "value")
     parts = [
-        count("relinked", out["relinked"]),
-        out["settled"].select(F.concat(F.lit("settled "), "confidence").alias("measure"), F.col("screenings").alias("value")),
-        count("working set", out["screenings"]),
-        count("working set sold", out["screenings"], F.sum("sold")),
-        count("folded", out["daily"], F.sum("screenings")),
-        count("folded sold", out["daily"], F.sum("sold")),
-        count("covered", out["coverage"], F.sum("total")),
-        count("ramp sold", out["ramp"], F.coalesce(F.sum("sold"), F.lit(0))),
+        count("relinked", one["relinked"]),
+        count("relinked again", two["relinked"]),
+        one["settled"].select(F.concat(F.lit("settled "), "confidence").alias("measure"), F.col("screenings").alias("value")),
+        count("settled again", two["settled"], F.coalesce(F.sum("screenings"), F.lit(0))),
+        count("working set", two["screenings"]),
+        count("working set sold", two["screenings"], F.sum("sold")),
+        count("waiting to be confirmed", two["screenings"].where("full_seen_at IS NOT NULL")),
+        count("sale closed", two["screenings"].where("sale_closed")),
+        count("folded", two["daily"], F.sum("screenings")),
+        count("folded sold", two["daily"], F.sum("sold")),
+        count("covered", two["coverage"], F.sum("total")),
+        count("ramp sold", two["ramp"], F.coalesce(F.sum("sold"), F.lit(0))),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -153,22 +165,35 @@ ORACLES = {
         "vw",
         body=f""", near AS (SELECT * FROM vs WHERE starts_at BETWEEN TIMESTAMP '1998-06-07 12:00:00' AND TIMESTAMP '1998-06-27 12:00:00'),
         rd AS (
-          SELECT screening_key, 1 AS seq, starts_at - INTERVAL 6 HOUR AS at_ts, total - hall_key % 2 AS sold, total FROM near
-          UNION ALL SELECT screening_key, 2, starts_at - INTERVAL 10 MINUTE, total - film_id % 3, total FROM near),
-        ju AS (SELECT *, sold >= total AND NOT coalesce(lag(sold >= total) OVER (PARTITION BY screening_key ORDER BY seq), false) AS held FROM rd),
-        rc AS (SELECT *, sold - lag(sold) OVER (PARTITION BY screening_key ORDER BY seq) AS delta FROM ju WHERE NOT held),
-        lr AS (SELECT screening_key, arg_max(sold, seq) AS sold, arg_max(total, seq) AS total, arg_max(at_ts, seq) AS captured_at FROM rc GROUP BY 1),
+          SELECT screening_key, film_id, 0 AS seq, captured_at AS at_ts, sold, total FROM near WHERE starts_at < TIMESTAMP '1998-06-20'
+          UNION ALL SELECT screening_key, film_id, 1, starts_at - INTERVAL 6 HOUR, total - hall_key % 2, total FROM near
+          UNION ALL SELECT screening_key, film_id, 2, starts_at - INTERVAL 10 MINUTE, total - film_id % 3, total FROM near),
+        lk AS (SELECT *, lag(sold) OVER k AS before, coalesce(lag(sold >= total) OVER k, false) AS was_full FROM rd WINDOW k AS (PARTITION BY screening_key ORDER BY seq)),
+        sp AS (SELECT *, seq > 0 AND sold >= total AND coalesce(before, 0) < total * {rules.SELLOUT_APPROACH} AS stop FROM lk),
+        ct AS (SELECT *, count(*) FILTER (stop) OVER (PARTITION BY screening_key ORDER BY seq) AS stops FROM sp),
+        ju AS (SELECT *, CASE WHEN seq = 0 THEN 'recorded'
+                 WHEN film_id % 3 = 0 THEN CASE WHEN sold >= total AND NOT was_full THEN 'held' ELSE 'recorded' END
+                 WHEN film_id % 3 = 1 THEN CASE WHEN stops = 0 THEN 'recorded' WHEN stops = 1 AND stop THEN 'rejected' ELSE 'closed' END
+                 ELSE 'recorded' END AS outcome FROM ct),
+        rc AS (SELECT *, sold - lag(sold) OVER (PARTITION BY screening_key ORDER BY seq) AS delta FROM ju WHERE outcome = 'recorded'),
+        lr AS (SELECT screening_key, arg_max(sold, seq) AS sold FROM rc GROUP BY 1),
+        l1 AS (SELECT screening_key, arg_max(at_ts, seq) AS captured_at FROM rc WHERE seq < 2 GROUP BY 1),
+        la AS (SELECT screening_key, arg_max(outcome, seq) AS outcome FROM ju GROUP BY 1),
         m AS (
           SELECT v.screening_key, v.starts_at, coalesce(l.sold, CASE WHEN v.starts_at < TIMESTAMP '1998-06-20' THEN v.sold END) AS sold,
-                 coalesce(l.captured_at, CASE WHEN v.starts_at < TIMESTAMP '1998-06-20' THEN v.captured_at END) AS captured_at
-          FROM vs v LEFT JOIN lr l USING (screening_key)),
+                 coalesce(l1.captured_at, CASE WHEN v.starts_at < TIMESTAMP '1998-06-20' THEN v.captured_at END) AS captured_at, outcome
+          FROM vs v LEFT JOIN lr l USING (screening_key) LEFT JOIN l1 USING (screening_key) LEFT JOIN la USING (screening_key)),
         st AS (SELECT *, CASE WHEN starts_at < TIMESTAMP '{V.NOW}' - INTERVAL 30 MINUTE THEN
                  CASE WHEN captured_at IS NULL THEN 'missed' WHEN starts_at - captured_at <= INTERVAL 15 MINUTE THEN 'final' ELSE 'partial' END END AS c FROM m),
         fo AS (SELECT *, starts_at < TIMESTAMP '{V.NOW}' - INTERVAL 10 DAY AS folded FROM st)
         SELECT 'relinked' AS measure, count(*) FILTER (country = 'CZE') AS value FROM vw
+        UNION ALL SELECT 'relinked again', 0
         UNION ALL SELECT 'settled ' || c, count(*) FROM fo WHERE c IS NOT NULL GROUP BY c
+        UNION ALL SELECT 'settled again', 0
         UNION ALL SELECT 'working set', count(*) FILTER (NOT folded) FROM fo
         UNION ALL SELECT 'working set sold', CAST(sum(sold) FILTER (NOT folded) AS BIGINT) FROM fo
+        UNION ALL SELECT 'waiting to be confirmed', count(*) FILTER (outcome = 'held') FROM fo
+        UNION ALL SELECT 'sale closed', count(*) FILTER (outcome IN ('rejected', 'closed')) FROM fo
         UNION ALL SELECT 'folded', count(*) FILTER (folded) FROM fo
         UNION ALL SELECT 'folded sold', CAST(sum(coalesce(sold, 0)) FILTER (folded) AS BIGINT) FROM fo
         UNION ALL SELECT 'covered', count(*) FILTER (folded) FROM fo

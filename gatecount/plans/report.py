@@ -23,6 +23,8 @@ class LiveReport:
     ``screenings`` are described (names joined) and settled. The week's rows are
     filtered out of the scan once and persisted as ``base``; ``release`` frees them
     when the answers are written. Every other answer is its own Catalyst plan.
+    ``films`` (film_id, title, original_title) tell a film's origin where no report
+    line names its country.
     """
 
     ANSWERS = (
@@ -39,7 +41,9 @@ class LiveReport:
         daily_coverage: DataFrame,
         now: Column,
         today: Column,
+        films: DataFrame | None = None,
     ):
+        self.films_known = films
         self.screenings, self.ramp, self.weekly, self.annual = screenings, ramp, weekly, annual
         self.daily_coverage, self.now, self.day = daily_coverage, now, today
 
@@ -99,9 +103,12 @@ class LiveReport:
 
     def _runs(self) -> DataFrame:
         """Runs of the films on show this week, with their planned screens."""
-        none = F.lit(None).cast("string")
         series = O.run_series(self.weekly, self.now)
-        runs = M.collect_runs(series.withColumn("origin", origin_of(F.col("country"), none, none)), keep=("origin",))
+        if self.films_known is not None:
+            series = series.join(self.films_known.select("film_id", "title", "original_title"), "film_id", "left")
+        named = [F.col(c) if c in series.columns else F.lit(None).cast("string") for c in ("title", "original_title")]
+        origin = origin_of(F.col("country"), *named)
+        runs = M.collect_runs(series.withColumn("origin", origin), keep=("origin",))
         shown = self.base.select("film_id").distinct()
         planned = U.planned_ratio(self.screenings, self.now).select("film_id", "planned_ratio")
         return runs.join(shown, "film_id", "left_semi").join(planned, "film_id", "left")

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from gatecount import rules
 from gatecount.plans import views as V
 from gatecount.plans.readings_queries import ORACLES as READINGS
 from gatecount.plans.views import with_views
@@ -18,9 +19,10 @@ def _root(spark, name: str) -> str:
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def _readings(spark, sf_dir):
-    schema = V.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+PARTS = 4
+
+
+def _readings(events):
     return events.select(
         F.col("user_id").alias("screening_key"),
         (F.col("user_id") % 5).alias("film_id"),
@@ -31,21 +33,34 @@ def _readings(spark, sf_dir):
     )
 
 
+def _run(spark, sf_dir, root, start):
+    """The events arrive in PARTS parts by event_id; ``start`` is run to the end after each, from its checkpoint."""
+    events = V.table(spark, sf_dir, "events")
+    after = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    for part in range(PARTS):
+        arrived = events.where(F.floor(F.col("event_id") * PARTS / after) == part)
+        arrived.write.mode("append").parquet(f"{root}/in")
+        start(_readings(spark.readStream.schema(events.schema).parquet(f"{root}/in"))).awaitTermination()
+
+
 def stream_sales_ramp(spark, sf_dir):
-    stream = RampStream(_root(spark, "ramp"), confirm=False)
-    stream.start(_readings(spark, sf_dir)).awaitTermination()
+    root = _root(spark, "ramp")
+    stream = RampStream(root, confirm=False, merge_every=3)
+    _run(spark, sf_dir, root, stream.start)
     return stream.result(spark)
 
 
 def stream_confirmed_ramp(spark, sf_dir):
-    stream = RampStream(_root(spark, "confirmed"))
-    stream.start(_readings(spark, sf_dir)).awaitTermination()
+    root = _root(spark, "confirmed")
+    stream = RampStream(root, merge_every=3)
+    _run(spark, sf_dir, root, stream.start)
     return stream.result(spark)
 
 
 def stream_alert(spark, sf_dir):
-    stream = AlertStream(_root(spark, "alerts"))
-    stream.start(_readings(spark, sf_dir)).awaitTermination()
+    root = _root(spark, "alerts")
+    stream = AlertStream(root, merge_every=3)
+    _run(spark, sf_dir, root, stream.start)
     return stream.result(spark)
 
 
@@ -53,14 +68,10 @@ def stream_settle(spark, sf_dir):
     """Every user is a show with its own start; the stream settles all that are over."""
     root = _root(spark, "settle")
     start = F.lit("2024-01-02 20:00:00").cast("timestamp_ntz") + F.expr("make_dt_interval(CAST(screening_key % 40 AS INT), CAST(screening_key % 7 AS INT))")
-    rows = _readings(spark, sf_dir).select(
-        "screening_key", start.alias("starts_at"), F.col("at_ts").alias("event_at"), "seq", "sold", "total"
-    )
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, PROVIDER)
-    try:
-        query = (
+
+    def begin(readings):
+        rows = readings.select("screening_key", start.alias("starts_at"), F.col("at_ts").alias("event_at"), "seq", "sold", "total")
+        return (
             settle_stream(rows)
             .writeStream.format("parquet")
             .option("path", f"{root}/settled")
@@ -68,7 +79,12 @@ def stream_settle(spark, sf_dir):
             .trigger(availableNow=True)
             .start()
         )
-        query.awaitTermination()
+
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PROVIDER)
+    try:
+        _run(spark, sf_dir, root, begin)
     finally:
         spark.conf.set(key, before)
     out = spark.read.parquet(f"{root}/settled")
@@ -82,15 +98,28 @@ QUERIES = {f.__name__: f for f in (stream_sales_ramp, stream_confirmed_ramp, str
 ORACLES = {
     "stream_sales_ramp": READINGS["sales_ramp"],
     "stream_confirmed_ramp": READINGS["confirmed_ramp"],
-    # The whole file is one refresh: every item is seen for the first time and rings.
+    # One check per part: the first sight rings, then a rise of the step after the quiet time.
     "stream_alert": with_views(
-        "vr", body=" SELECT screening_key, arg_max(at_ts, seq) AS ring_at, arg_max(sold, seq) AS ring_value FROM vr GROUP BY 1"
+        "vr",
+        recursive=True,
+        body=f""", bt AS (
+          SELECT screening_key, seq * {PARTS} // (SELECT max(seq) + 1 FROM vr) AS part, arg_max(at_ts, seq) AS at_ts, arg_max(sold, seq) AS sold
+          FROM vr GROUP BY 1, 2),
+        fold AS (
+          SELECT 0 AS part, screening_key, NULL::TIMESTAMP AS ring_at, NULL::BIGINT AS ring_value FROM (SELECT DISTINCT screening_key FROM bt)
+          UNION ALL
+          SELECT f.part + 1, f.screening_key, CASE WHEN rings THEN at_ts ELSE ring_at END, CASE WHEN rings THEN sold ELSE ring_value END
+          FROM (
+            SELECT fold.*, at_ts, sold, at_ts IS NOT NULL AND (ring_at IS NULL OR (sold - ring_value >= {rules.ALERT_STEP}
+                   AND at_ts - ring_at >= INTERVAL {rules.ALERT_QUIET_MINUTES} MINUTE)) AS rings
+            FROM fold LEFT JOIN bt ON bt.screening_key = fold.screening_key AND bt.part = fold.part WHERE fold.part < {PARTS}) f)
+        SELECT DISTINCT screening_key, ring_at, ring_value FROM fold WHERE ring_at IS NOT NULL""",
     ),
     "stream_settle": with_views(
         "vr",
         body=""", s AS (
           SELECT DISTINCT screening_key, TIMESTAMP '2024-01-02 20:00:00' + to_days(CAST(screening_key % 40 AS INTEGER)) + to_hours(screening_key % 7) AS starts_at FROM vr),
-        o AS (SELECT * FROM s WHERE starts_at + INTERVAL 30 MINUTE < (SELECT max(at_ts) FROM vr)),
+        o AS (SELECT * FROM s WHERE starts_at + INTERVAL 30 MINUTE < (SELECT max(at_ts) - INTERVAL 2 HOUR FROM vr)),
         l AS (SELECT o.screening_key, starts_at, arg_max(sold, seq) AS sold, max(at_ts) AS at_ts
               FROM o LEFT JOIN vr ON vr.screening_key = o.screening_key AND at_ts <= starts_at + INTERVAL 30 MINUTE GROUP BY 1, 2)
         SELECT screening_key, coalesce(sold, 0) AS sold, CASE WHEN at_ts IS NULL THEN 0 ELSE 120 END::BIGINT AS total,

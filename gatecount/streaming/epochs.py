@@ -1,44 +1,85 @@
-"""A table kept as one version per micro-batch.
+"""A table kept as changes per micro-batch, with a merged copy now and then.
 
-Micro-batch ``n`` reads version ``n - 1`` and overwrites version ``n``. A batch that
-is repeated after a failure therefore reads and writes exactly what it did before,
-and the table it leaves behind does not depend on how often it ran.
+Micro-batch ``n`` writes only its own rows, as version ``n``. Every ``merge_every``
+batches the rows so far are merged into a base, and what the base replaces is deleted
+one base later. A version or base counts once its marker is written; a batch that is
+repeated after a failure finds the marker and leaves the rows alone, or writes what it
+wrote before. Readers see marked rows only, never a half-written folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
 
-from gatecount.sources.snapshots import read_parquet
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 class EpochTable:
-    def __init__(self, root: str, name: str, schema: str):
-        self.path, self.schema = f"{root}/{name}", schema
+    """``merge`` gets rows with their ``_version`` and returns the table they amount to."""
 
-    def _version(self, epoch: int) -> str:
-        return f"{self.path}/version={epoch}"
+    def __init__(self, root: str, name: str, schema: str, merge: Callable[[DataFrame], DataFrame], merge_every: int = 16):
+        self.path, self.schema, self.merge, self.merge_every = f"{root}/{name}", schema, merge, merge_every
 
-    def before(self, spark: SparkSession, epoch: int) -> DataFrame:
-        if epoch == 0:
-            return spark.createDataFrame([], self.schema)
-        return spark.read.schema(self.schema).parquet(self._version(epoch - 1))
+    def committed(self, spark: SparkSession, kind: str = "version") -> list[int]:
+        """Numbers of the marked versions or bases, ascending."""
+        return sorted(int(n.split("=")[1]) for n in _names(spark, f"{self.path}/_done") if n.startswith(f"{kind}="))
 
     def write(self, df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(self._version(epoch))
-        # The version before the one just read can no longer be asked for.
-        if epoch >= 2:
-            _delete(df.sparkSession, self._version(epoch - 2))
+        spark = df.sparkSession
+        if epoch not in self.committed(spark):
+            df.write.mode("overwrite").parquet(f"{self.path}/version={epoch}")
+            _mark(spark, f"{self.path}/_done/version={epoch}")
+        if (epoch + 1) % self.merge_every == 0 and epoch not in self.committed(spark, "base"):
+            before = self.committed(spark, "base")
+            self.after(spark, epoch).write.mode("overwrite").parquet(f"{self.path}/base={epoch}")
+            _mark(spark, f"{self.path}/_done/base={epoch}")
+            # The base before this one still serves a repeated batch; what lies before it does not.
+            for old in before[:-1]:
+                self._drop(spark, "base", old)
+            for old in self.committed(spark):
+                if before and old <= before[-1]:
+                    self._drop(spark, "version", old)
+
+    def _drop(self, spark: SparkSession, kind: str, number: int) -> None:
+        _delete(spark, f"{self.path}/_done/{kind}={number}")
+        _delete(spark, f"{self.path}/{kind}={number}")
+
+    def after(self, spark: SparkSession, epoch: int) -> DataFrame:
+        """The table as micro-batch ``epoch`` left it."""
+        base = max((b for b in self.committed(spark, "base") if b <= epoch), default=None)
+        parts = [] if base is None else [("base", base)]
+        parts += [("version", v) for v in self.committed(spark) if v <= epoch and (base is None or v > base)]
+        rows = [
+            spark.read.schema(self.schema).parquet(f"{self.path}/{kind}={n}").withColumn("_version", F.lit(n))
+            for kind, n in parts
+        ]
+        empty = spark.createDataFrame([], self.schema).withColumn("_version", F.lit(-1))
+        return self.merge(reduce(DataFrame.unionByName, rows, empty))
+
+    def before(self, spark: SparkSession, epoch: int) -> DataFrame:
+        return self.after(spark, epoch - 1)
+
+    def latest(self, spark: SparkSession) -> DataFrame:
+        return self.after(spark, max([*self.committed(spark), *self.committed(spark, "base"), -1]))
+
+
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    files, target = _path(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(target)] if files.exists(target) else []
 
-    def every(self, spark: SparkSession) -> DataFrame:
-        """All versions together, for tables that only ever add rows."""
-        return read_parquet(spark, self.path, self.schema)
 
-    def append(self, df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(self._version(epoch))
+def _mark(spark: SparkSession, path: str) -> None:
+    files, target = _path(spark, path)
+    files.create(target, True).close()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _path(spark, path)
+    files.delete(target, True)

@@ -11,8 +11,10 @@ late readings are never dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -31,24 +33,42 @@ RAMP = "hour timestamp_ntz, film_id bigint, sold bigint"
 RINGS = "screening_key bigint, ring_at timestamp_ntz, ring_value bigint"
 
 
+def _newest_rows(rows: DataFrame) -> DataFrame:
+    """Of each key the rows of its newest version (two at most)."""
+    newest = F.max("_version").over(Window.partitionBy("screening_key"))
+    return rows.withColumn("_newest", newest).where("_version = _newest").drop("_newest", "_version")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("hour", "film_id").agg(F.sum("sold").cast("bigint").alias("sold"))
+
+
 class RampStream:
     """Readings in, hourly sales out.
 
-    The readings stream has the columns of ``ROW``; ``seq`` grows with arrival.
-    ``keep_days`` bounds the remembered keys: a key without a reading for that long
-    before the newest one is forgotten.
+    The readings stream has the columns of ``ROW``; ``seq`` grows with arrival. What is
+    remembered of a key stays until the key is folded: ``folded`` returns the folded
+    keys (screening_key), and their rows go at the next merge. No clock takes part, so
+    neither a long pause nor a wrong clock loses a sale.
     """
 
     def __init__(
         self,
         root: str,
         confirm: bool = True,
-        keep_days: int | None = rules.FOLD_AFTER_DAYS,
+        folded: Callable[[SparkSession], DataFrame] | None = None,
         segment_rows: int = SEGMENT_ROWS,
+        merge_every: int = 16,
     ):
-        self.root, self.confirm, self.keep_days, self.segment_rows = root, confirm, keep_days, segment_rows
-        self.carry = EpochTable(root, "carry", CARRY)
-        self.ramp = EpochTable(root, "ramp", RAMP)
+        self.root, self.confirm, self.folded, self.segment_rows = root, confirm, folded, segment_rows
+        self.carry = EpochTable(root, "carry", CARRY, self._alive, merge_every)
+        self.ramp = EpochTable(root, "ramp", RAMP, _summed, merge_every)
+
+    def _alive(self, rows: DataFrame) -> DataFrame:
+        newest = _newest_rows(rows)
+        if self.folded is None:
+            return newest
+        return newest.join(self.folded(rows.sparkSession).select("screening_key"), "screening_key", "left_anti")
 
     def start(self, readings: DataFrame, **trigger) -> StreamingQuery:
         return (
@@ -60,12 +80,12 @@ class RampStream:
         )
 
     def result(self, spark: SparkSession) -> DataFrame:
-        sums = self.ramp.every(spark).groupBy("hour", "film_id")
-        return sums.agg(F.sum("sold").cast("bigint").alias("sold"))
+        return self.ramp.latest(spark)
 
     def _step(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        known = self.carry.before(spark, epoch).withColumnRenamed("outcome", "_known")
+        read = batch.select("screening_key").distinct()
+        known = self.carry.before(spark, epoch).join(read, "screening_key", "left_semi").withColumnRenamed("outcome", "_known")
         rows = batch.withColumn("_known", F.lit(None).cast("string")).unionByName(known)
         if self.confirm:
             judged = R.hold_confirm(rows, segment_rows=self.segment_rows)
@@ -76,23 +96,22 @@ class RampStream:
         try:
             recorded = judged.where("outcome = 'recorded'")
             fresh = R.increments(recorded, segment_rows=self.segment_rows).where("_known IS NULL AND delta > 0")
-            hourly = fresh.groupBy(T.hour_bucket(F.col("at_ts")).alias("hour"), "film_id").agg(
-                F.sum("delta").cast("bigint").alias("sold")
+            self.ramp.write(
+                fresh.groupBy(T.hour_bucket(F.col("at_ts")).alias("hour"), "film_id").agg(
+                    F.sum("delta").cast("bigint").alias("sold")
+                ),
+                epoch,
             )
-            self.ramp.append(hourly, epoch)
             self.carry.write(self._remember(judged), epoch)
         finally:
             judged.unpersist()
 
     def _remember(self, judged: DataFrame) -> DataFrame:
-        """Per key the last reading taken and the last one recorded (one row if they agree)."""
+        """Per key of the batch the last reading taken and the last one recorded (one row if they agree)."""
         row = F.struct("seq", *[c for c in ROW if c not in ("screening_key", "seq")], "outcome")
         last = judged.groupBy("screening_key").agg(
             F.max(row).alias("_taken"), F.max(F.when(F.col("outcome") == "recorded", row)).alias("_recorded")
         )
-        if self.keep_days is not None:
-            newest = judged.agg(F.max("at_ts")).scalar()
-            last = last.where(F.col("_taken.at_ts") >= newest - T.days(self.keep_days))
         kept = F.array_distinct(F.filter(F.array("_taken", "_recorded"), lambda r: r.isNotNull()))
         rows = last.select("screening_key", F.explode(kept).alias("_r"))
         return rows.select("screening_key", *[F.col(f"_r.{c}").alias(c) for c in (*ROW[1:], "outcome")])
@@ -105,10 +124,15 @@ class AlertStream:
     looks at every refresh.
     """
 
-    def __init__(self, root: str, step: int = rules.ALERT_STEP, quiet_minutes: int = rules.ALERT_QUIET_MINUTES):
+    def __init__(
+        self,
+        root: str,
+        step: int = rules.ALERT_STEP,
+        quiet_minutes: int = rules.ALERT_QUIET_MINUTES,
+        merge_every: int = 16,
+    ):
         self.root, self.step, self.quiet_minutes = root, step, quiet_minutes
-        self.last = EpochTable(root, "last_rings", RINGS)
-        self.rings = EpochTable(root, "rings", RINGS)
+        self.rings = EpochTable(root, "rings", RINGS, lambda rows: rows.drop("_version"), merge_every)
 
     def start(self, readings: DataFrame, **trigger) -> StreamingQuery:
         return (
@@ -120,21 +144,17 @@ class AlertStream:
         )
 
     def result(self, spark: SparkSession) -> DataFrame:
-        return self.rings.every(spark).select("screening_key", "ring_at", "ring_value")
+        return self.rings.latest(spark)
 
     def _check(self, batch: DataFrame, epoch: int) -> None:
         seen = batch.groupBy("screening_key").agg(
             F.max_by("at_ts", "seq").alias("_at"), F.max_by("sold", "seq").alias("_value")
         )
-        joined = self.last.before(batch.sparkSession, epoch).join(seen, "screening_key", "full_outer")
+        last = self.rings.before(batch.sparkSession, epoch).groupBy("screening_key").agg(
+            F.max("ring_at").alias("ring_at"), F.max_by("ring_value", "ring_at").alias("ring_value")
+        )
         jump = (F.col("_value") - F.col("ring_value") >= self.step) & (
             F.col("_at") - F.col("ring_at") >= T.minutes(self.quiet_minutes)
         )
-        ring = F.coalesce(F.col("_at").isNotNull() & (F.col("ring_at").isNull() | jump), F.lit(False))
-        judged = joined.withColumn("_ring", ring).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            rung = judged.where("_ring").select("screening_key", F.col("_at").alias("ring_at"), F.col("_value").alias("ring_value"))
-            self.rings.append(rung, epoch)
-            self.last.write(rung.unionByName(judged.where("NOT _ring").select("screening_key", "ring_at", "ring_value")), epoch)
-        finally:
-            judged.unpersist()
+        rung = seen.join(last, "screening_key", "left").where(F.col("ring_at").isNull() | jump)
+        self.rings.write(rung.select("screening_key", F.col("_at").alias("ring_at"), F.col("_value").alias("ring_value")), epoch)

@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from gatecount import rules
 
 OUTPUT = "screening_key bigint, sold bigint, total bigint, confidence string, captured_at timestamp, settled_at timestamp"
-STATE = "starts_us bigint, seq bigint, at_us bigint, sold bigint, total bigint, settled boolean"
+STATE = "starts_us bigint, seq bigint, at_us bigint, sold bigint, total bigint, settled boolean, listed bigint"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -34,25 +34,34 @@ class _Settle(StatefulProcessor):
         if state is not None and state[5]:
             return
         starts, seq, at, sold, total = state[:5] if state is not None else (None, -1, None, None, None)
+        listed = state[6] if state is not None else -1
         before = starts
-        # Rows come in chunks; only the newest reading inside the grace time is kept.
+        # The newest row says when the show starts; readings are judged by the start known with them.
         for chunk in rows:
-            if starts is None:
-                starts = int(chunk["starts_us"].iloc[0])
+            newest = chunk.loc[chunk["seq"].idxmax()]
+            if int(newest["seq"]) > listed:
+                listed, starts = int(newest["seq"]), int(newest["starts_us"])
             read = chunk[chunk["sold"].notna() & (chunk["at_us"] <= starts + self.grace_us) & (chunk["seq"] > seq)]
             if len(read):
                 newest = read.loc[read["seq"].idxmax()]
                 seq, at = int(newest["seq"]), int(newest["at_us"])
                 sold, total = int(newest["sold"]), int(newest["total"])
-        self.last.update((starts, seq, at, sold, total, False))
-        if before is None:
-            self.handle.registerTimer(-(-(starts + self.grace_us) // 1000))
+        if state is None and timerValues.getCurrentWatermarkInMs() >= self._due(starts) + self.ttl_ms:
+            return  # settled and forgotten long ago
+        self.last.update((starts, seq, at, sold, total, False, listed))
+        if before != starts:
+            if before is not None:
+                self.handle.deleteTimer(self._due(before))
+            self.handle.registerTimer(self._due(starts))
         return
         yield  # a generator without rows
 
+    def _due(self, starts: int) -> int:
+        return -(-(starts + self.grace_us) // 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         fired = expiredTimerInfo.getExpiryTimeInMs()
-        starts, seq, at, sold, total, settled = self.last.get()
+        starts, seq, at, sold, total, settled, listed = self.last.get()
         if settled:
             # The second timer: nothing about this item can arrive any more.
             self.last.clear()
@@ -61,7 +70,7 @@ class _Settle(StatefulProcessor):
             confidence = "missed"
         else:
             confidence = "final" if starts - at <= self.final_us else "partial"
-        self.last.update((starts, seq, at, sold, total, True))
+        self.last.update((starts, seq, at, sold, total, True, listed))
         self.handle.registerTimer(fired + self.ttl_ms)
         yield pd.DataFrame(
             {
@@ -80,24 +89,31 @@ class _Settle(StatefulProcessor):
 
 def settle_stream(
     rows: DataFrame,
-    delay: str = "0 minutes",
+    delay: str = "2 hours",
+    clock: str = "event_at",
     grace_minutes: int = rules.SETTLE_GRACE_MINUTES,
     keep_days: int = rules.FOLD_AFTER_DAYS,
 ) -> DataFrame:
     """Settled rows of a stream with screening_key, starts_at, event_at, seq, sold, total.
 
     ``event_at`` is the reading's time, or for a schedule row (sold null) the time it
-    was listed. The session must use the RocksDB state store (see ``PROVIDER``).
+    was listed. Readings count in arrival order (``seq``), the newest schedule row says
+    when a show starts, and a moved show is settled at its new time.
+
+    ``clock`` names the column that drives the timers. Spark drops rows that are behind
+    it by more than ``delay``, so where readings may come later than that, give the time
+    of arrival: it only grows, and a late reading is then folded like any other. The
+    session must use the RocksDB state store (see ``PROVIDER``).
     """
     timed = rows.select(
         "screening_key",
-        F.col("event_at").cast("timestamp").alias("event_at"),
+        F.col(clock).cast("timestamp").alias("clock"),
         F.unix_micros(F.col("starts_at").cast("timestamp")).alias("starts_us"),
         F.unix_micros(F.col("event_at").cast("timestamp")).alias("at_us"),
         "seq",
         "sold",
         "total",
-    ).withWatermark("event_at", delay)
+    ).withWatermark("clock", delay)
     processor = _Settle(grace_minutes * 60_000_000, rules.FINAL_LEAD_MINUTES * 60_000_000, keep_days * 86_400_000)
     return timed.groupBy("screening_key").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"

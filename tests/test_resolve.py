@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from gatecount.functions import times as T
@@ -46,6 +47,27 @@ def test_alias_wins_over_a_renamed_title(spark):
     assert ids == {"a:1": 4}
 
 
+def test_the_first_input_of_a_new_alias_decides(spark):
+    ids, films = resolve(spark, [("a:1", "Vlny", None), ("a:1", "Vlny (repríza)", "Waves"), ("b:1", "Vlny (repríza)", None)])
+    assert ids == {"a:1": 1, "b:1": 2} and set(films) == {1, 2}
+    inputs = spark.createDataFrame([(0, None, "Vlny", None), (1, None, "Jiné", None), (2, None, "Vlny", None)], INPUT)
+    resolved, _ = E.resolve_entities(inputs, catalogue(spark, []), spark.createDataFrame([], "alias_key string, film_id bigint"))
+    assert sorted((r["position"], r["film_id"]) for r in resolved.collect()) == [(0, 1), (1, 2), (2, 1)]
+
+
+def test_a_film_without_local_key_is_found_by_its_title_and_takes_the_key(spark):
+    films = catalogue(spark, [(7, "Gamma", "Gamma Rays")]).withColumn("local_key", F.lit(None).cast("string"))
+    inputs = spark.createDataFrame([(0, "a:1", "Gamma", None)], INPUT)
+    resolved, new = E.resolve_entities(inputs, films, spark.createDataFrame([], "alias_key string, film_id bigint"))
+    assert [r["film_id"] for r in resolved.collect()] == [7]
+    assert [(r["film_id"], r["local_key"]) for r in new.collect()] == [(7, "gamma")]
+
+
+def test_an_input_without_a_title_is_an_error(spark):
+    with pytest.raises(Exception, match="without a title"):
+        resolve(spark, [("a:1", None, None)])
+
+
 def test_a_film_learns_its_original_title(spark):
     ids, films = resolve(
         spark,

@@ -42,7 +42,7 @@ def as_set(df):
 @pytest.mark.parametrize("confirm", [False, True])
 def test_ramp_parity(spark, source, tmp_path, confirm):
     path, batch, _ = source
-    ramp = RampStream(str(tmp_path), confirm=confirm, keep_days=None, segment_rows=32)
+    ramp = RampStream(str(tmp_path), confirm=confirm, segment_rows=32, merge_every=2)
     ramp.start(stream(spark, path)).awaitTermination()
     expected = R.hold_confirm(batch).where("outcome = 'recorded'") if confirm else batch
     assert as_set(ramp.result(spark)) == as_set(R.sales_ramp(expected))
@@ -50,7 +50,7 @@ def test_ramp_parity(spark, source, tmp_path, confirm):
 
 def test_a_repeated_batch_changes_nothing(spark, source, tmp_path):
     _, batch, _ = source
-    ramp = RampStream(str(tmp_path), keep_days=None)
+    ramp = RampStream(str(tmp_path))
     halves = [batch.where("seq < 300"), batch.where("seq >= 300")]
     for epoch, half in enumerate(halves):
         ramp._step(half.select(*ROW), epoch)
@@ -59,13 +59,46 @@ def test_a_repeated_batch_changes_nothing(spark, source, tmp_path):
     assert as_set(ramp.result(spark)) == before == as_set(R.sales_ramp(R.hold_confirm(batch).where("outcome = 'recorded'")))
 
 
-def test_forgotten_keys_start_anew(spark, tmp_path):
-    ramp = RampStream(str(tmp_path), confirm=False, keep_days=1)
+def test_no_clock_and_no_pause_loses_a_sale(spark, tmp_path):
+    ramp = RampStream(str(tmp_path), confirm=False)
     row = lambda key, seq, day, sold: (key, 1, seq, START + dt.timedelta(days=day), sold, 90)
-    for epoch, rows in enumerate([[row(1, 0, 0, 5), row(2, 1, 5, 5)], [row(1, 2, 6, 50), row(2, 3, 5, 9)]]):
+    # The second key's clock is 400 days ahead; the first one is read again after a month.
+    for epoch, rows in enumerate([[row(1, 0, 0, 5), row(2, 1, 400, 5)], [row(2, 2, 400, 6)], [row(1, 3, 30, 50)]]):
         ramp._step(spark.createDataFrame(rows, SCHEMA), epoch)
-    assert [r["sold"] for r in ramp.result(spark).collect()] == [4]
-    assert ramp.carry.before(spark, 2).count() == 2
+    assert sorted(r["sold"] for r in ramp.result(spark).collect()) == [1, 45]
+
+
+def test_folded_keys_go_at_the_next_merge(spark, tmp_path):
+    gone = spark.createDataFrame([(1,)], "screening_key bigint")
+    ramp = RampStream(str(tmp_path), confirm=False, folded=lambda spark: gone, merge_every=2)
+    row = lambda key, seq, sold: (key, 1, seq, START, sold, 90)
+    for epoch, rows in enumerate([[row(1, 0, 5), row(2, 1, 5)], [row(2, 2, 9)], [row(2, 3, 11)]]):
+        ramp._step(spark.createDataFrame(rows, SCHEMA), epoch)
+    assert [r["sold"] for r in ramp.result(spark).collect()] == [6]
+    assert {r["screening_key"] for r in ramp.carry.latest(spark).collect()} == {2}
+    kept = spark.read.parquet(f"{tmp_path}/carry/base=1")
+    assert [r["screening_key"] for r in kept.collect()] == [2]
+
+
+def test_files_stay_few_and_hold_changes_only(spark, tmp_path):
+    ramp = RampStream(str(tmp_path), confirm=False, merge_every=4)
+    for epoch in range(20):
+        key = epoch % 5
+        ramp._step(spark.createDataFrame([(key, 1, epoch, START, epoch, 90)], SCHEMA), epoch)
+    folders = [p.name for p in (tmp_path / "carry").iterdir() if p.name != "_done"]
+    assert len(folders) <= 2 * 4 + 2
+    assert spark.read.parquet(f"{tmp_path}/carry/version=18").count() == 1
+    assert ramp.carry.latest(spark).count() == 5
+    assert [r["sold"] for r in ramp.result(spark).collect()] == [sum(e - (e - 5) for e in range(5, 20))]
+
+
+def test_unfinished_versions_are_not_read(spark, tmp_path):
+    ramp = RampStream(str(tmp_path), confirm=False)
+    ramp._step(spark.createDataFrame([(1, 1, 0, START, 5, 90)], SCHEMA), 0)
+    ramp._step(spark.createDataFrame([(1, 1, 1, START, 8, 90)], SCHEMA), 1)
+    half = spark.createDataFrame([(START, 1, 1000)], "hour timestamp_ntz, film_id bigint, sold bigint")
+    half.write.parquet(f"{tmp_path}/ramp/version=2")
+    assert [r["sold"] for r in ramp.result(spark).collect()] == [3]
 
 
 def test_alerts_check_once_per_batch(spark, tmp_path):
@@ -81,28 +114,51 @@ def test_alerts_check_once_per_batch(spark, tmp_path):
     assert out == {(7, 0, 10), (7, 11, 130), (7, 45, 235), (7, 60, 500), (8, 11, 1)}
 
 
-def test_settles_once_with_a_grade(spark, tmp_path):
-    day = START + dt.timedelta(hours=12)
-    schema = "screening_key bigint, starts_at timestamp_ntz, event_at timestamp_ntz, seq bigint, sold bigint, total bigint"
-    minute = lambda m: day + dt.timedelta(minutes=m)
-    batches = [
-        [(1, day, minute(-600), 0, None, None), (2, day, minute(-600), 1, None, None), (3, day, minute(-600), 2, None, None)],
-        [(1, day, minute(-60), 3, 10, 90), (2, day, minute(-300), 4, 5, 90), (4, minute(500), minute(-10), 5, 1, 9)],
-        [(1, day, minute(-10), 6, 33, 90)],
-        [(5, minute(400), minute(200), 7, 2, 9), (1, day, minute(100), 8, 77, 90)],
-    ]
+SETTLE = "screening_key bigint, starts_at timestamp_ntz, event_at timestamp_ntz, seq bigint, sold bigint, total bigint, arrived_at timestamp_ntz"
+
+
+def settled(spark, tmp_path, batches, **options):
     for rows in batches:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(rows, SETTLE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     try:
-        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        rows = spark.readStream.schema(SETTLE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         query = (
-            settle_stream(rows).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            settle_stream(rows, **options).writeStream.format("parquet").option("path", str(tmp_path / "out"))
             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         )
         query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
-    out = {r["screening_key"]: (r["sold"], r["total"], r["confidence"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    return {r["screening_key"]: (r["sold"], r["total"], r["confidence"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+
+def minute(m):
+    return START + dt.timedelta(hours=12, minutes=m)
+
+
+def test_settles_once_with_a_grade(spark, tmp_path):
+    day = minute(0)
+    batches = [
+        [(1, day, minute(-600), 0, None, None), (2, day, minute(-600), 1, None, None), (3, day, minute(-600), 2, None, None)],
+        [(1, day, minute(-60), 3, 10, 90), (2, day, minute(-300), 4, 5, 90), (4, minute(500), minute(-10), 5, 1, 9)],
+        [(1, day, minute(-10), 6, 33, 90)],
+        [(5, minute(400), minute(200), 7, 2, 9), (1, day, minute(100), 8, 77, 90)],
+    ]
+    out = settled(spark, tmp_path, [[(*r, r[2]) for r in rows] for rows in batches])
     assert out == {1: (33, 90, "final"), 2: (5, 90, "partial"), 3: (0, 0, "missed")}
+
+
+def test_late_readings_count_and_moved_shows_settle_at_their_new_time(spark, tmp_path):
+    day = minute(0)
+    batches = [  # key, start, reading at, seq, sold, total, arrived
+        [(1, day, minute(-600), 0, None, None, minute(-600)), (2, day, minute(-600), 1, None, None, minute(-600))],
+        [(1, day, minute(-200), 2, 10, 90, minute(-200)), (3, day, minute(5), 3, 1, 90, minute(5))],
+        # The show of key 2 moves by three hours; key 1's reading is four hours late.
+        [(2, minute(180), minute(10), 4, None, None, minute(10)), (1, day, minute(-230), 5, 60, 90, minute(10))],
+        [(2, minute(180), minute(100), 6, 60, 90, minute(100)), (9, minute(900), minute(101), 7, 1, 90, minute(101))],
+        [(9, minute(900), minute(400), 8, 2, 90, minute(400))],
+    ]
+    out = settled(spark, tmp_path, batches, clock="arrived_at", delay="0 minutes")
+    assert out == {1: (60, 90, "partial"), 2: (60, 90, "partial"), 3: (1, 90, "final")}
