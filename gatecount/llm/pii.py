@@ -73,10 +73,8 @@ def context(text: Column, span: Column) -> Column:
 def contexts_of_words(text: Column) -> Column:
     """The pairs of words that something follows, in lower case."""
     words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
-    return F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - 2, F.lit(1))),
-        lambda i: F.when(F.size(words) > 2, F.concat_ws(" ", F.get(words, i - 1), F.get(words, i))),
-    )
+    many = F.greatest(F.size(words) - 2, F.lit(0))
+    return F.zip_with(F.slice(words, F.lit(1), many), F.slice(words, F.lit(2), many), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
@@ -115,7 +113,7 @@ def patterns(scanned: DataFrame) -> DataFrame:
         .join(support, "pattern")
     )
     followed = (
-        scanned.select(F.explode("_words").alias("pattern")).where("pattern is not null").groupBy("pattern").count()
+        scanned.select(F.explode("_words").alias("pattern")).groupBy("pattern").count()
     )
     known = written(
         known.join(followed, "pattern", "left").select(
