@@ -9,11 +9,11 @@ Two documents link when 100 * intersection >= percent * union of their shingle s
    parts or more also has keys for these; other sets do not need them.) Components of "share a key" are disjoint
    neighbourhoods, and every link is inside one. Keys that many documents share are reduced to one row per batch before
    they are shuffled, and then read in order, with no group held.
-3. A neighbourhood of up to LEAF sets is joined in one task. A larger one is cut into Voronoi regions: pivots are chosen
-   in it, each set goes home to its nearest pivot, and is replicated, as a visitor, to every pivot at most 2 * epsilon
-   farther away. If d(x, y) <= epsilon, the triangle inequality puts y into the region where x is at home. Regions are
-   cut again by new pivots until they are small. A region that pivots cannot cut any further (all sets about equally far
-   apart) is joined block by block, each pair of blocks in a task of its own, so that nothing is left out.
+3. A neighbourhood of up to LEAF sets is one region and joined in one task. A larger one is cut into Voronoi regions:
+   pivots are chosen in it, each set goes home to its nearest pivot, and is replicated, as a visitor, to every pivot at
+   most 2 * epsilon farther away. If d(x, y) <= epsilon, the triangle inequality puts y into the region where x is at
+   home. Regions are cut again by new pivots until they are small. A region that pivots do not cut (all sets about
+   equally far apart) is joined block by block, each pair of blocks in a task of its own, so that nothing is left out.
 4. Links give components; copies come back through their class.
 
 Distances are compared exactly, in integers, where they decide a link. Shingles are 64-bit hashes.
@@ -41,11 +41,16 @@ from gatecount.llm.graph import components
 
 WIDTH = 3
 PERCENT = 90
-LEAF = 512
+#: Sets, and bytes of their shingles, that one task joins.
+LEAF = 3072
+LEAF_BYTES = 64 << 20
 PIVOTS = 16
 CHUNK = 1000
 ROUNDS = 5
-COLUMNS = 8192
+#: A region is stuck when pivots make more than so many rows of one, or leave a part with this share of it.
+STUCK_ROWS, STUCK_SHARE = 4.0, 0.7
+BLOCK = 512
+COLUMNS = 2048
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -195,6 +200,7 @@ def candidates(found: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- regions
 
 REGION = "region long, node long, home boolean, weight long, shingles binary"
+CUT = f"parent long, {REGION}"
 
 
 def distances(members: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
@@ -225,19 +231,20 @@ def cut_regions(regions: DataFrame, sizes: DataFrame, percent: int, turn: int) -
     members = regions.join(sizes, "region").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).drop("n")
 
     def run(member: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
+        names = ["parent", "region", "node", "home", "weight", "shingles"]
         if not len(member):
-            return member[["region", "node", "home", "weight", "shingles"]]
+            return pd.DataFrame(columns=names)
         pivot = pivot.sort_values("number")
         d = distances([np.frombuffer(b, "<u8") for b in member["shingles"]], [np.frombuffer(b, "<u8") for b in pivot["shingles"]])
         nearest = d.argmin(axis=1)
         rows, at = np.nonzero(d <= d.min(axis=1)[:, None] + 2 * epsilon + 1e-9)
-        out = member.iloc[rows][["region", "node", "home", "weight", "shingles"]].reset_index(drop=True)
+        out = member.iloc[rows].reset_index(drop=True).assign(parent=member["region"].iloc[0])
         out["home"] = out["home"].to_numpy(bool) & (at == nearest[rows])
         seed = np.array([int(member["region"].iloc[0])], np.int64).view(np.uint64) * _A + np.array([turn + 1], np.uint64)
         out["region"] = mixed(seed + (at.astype(np.uint64) + np.uint64(1)) * _B).view(np.int64)
-        return out
+        return out[names]
 
-    return members.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInPandas(run, REGION)
+    return members.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInPandas(run, CUT)
 
 
 def links_of(members: pd.DataFrame, percent: int, across: bool = False) -> pd.DataFrame:
@@ -258,8 +265,10 @@ def links_of(members: pd.DataFrame, percent: int, across: bool = False) -> pd.Da
         x = np.zeros((len(of), COLUMNS), np.float32)
         x[row[a:b], column[a:b] - at] = 1.0
         common += x @ x.T
-    common = common.astype(np.int64)
-    link = 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+    link = np.empty(common.shape, bool)
+    for i in range(len(of)):
+        both = common[i].astype(np.int64)
+        link[i] = 100 * both >= percent * (sizes[i] + sizes - both)
     np.fill_diagonal(link, False)
     if across:
         side = members["side"].to_numpy()
@@ -286,29 +295,49 @@ def joined(members: DataFrame, percent: int) -> DataFrame:
         found = more if found is None else found.unionByName(more)
 
     inside = lambda group: links_of(group, percent)
-    for turn in range(ROUNDS):
-        sizes = written(regions.groupBy("region").agg(F.count("*").alias("n")), "sizes")
-        small = regions.join(sizes.where(F.col("n") <= LEAF).select("region"), "region", "left_semi")
+    for turn in range(ROUNDS + 1):
+        sizes = regions.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+        sizes = written(sizes, "sizes")
+        fits = (F.col("n") <= LEAF) & (F.col("bytes") <= LEAF_BYTES)
+        small = regions.join(sizes.where(fits).select("region"), "region", "left_semi")
         add(written(small.groupBy("region").applyInPandas(inside, LINKS), "links"))
-        large = sizes.where(F.col("n") > LEAF)
+        large = sizes.where(~fits).select("region", "n")
         if large.isEmpty():
             return found
-        regions = written(cut_regions(regions.join(large.select("region"), "region", "left_semi"), large, percent, turn), "regions")
-    # What pivots did not cut: blocks of half a leaf, each with itself and with each other.
-    sizes = written(regions.groupBy("region").agg(F.count("*").alias("n")), "sizes")
-    blocks = F.ceil(F.col("n") / (LEAF // 2)).cast("int")
-    placed = regions.join(sizes, "region").withColumn("many", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other")
-    paired = placed.select("region", "node", "home", "weight", "shingles", "block", other).select(
+        regions = written(regions.join(large.select("region"), "region", "left_semi"), "regions")
+        if turn == ROUNDS:
+            add(blockwise(regions, large, percent))
+            return found
+        cut = written(cut_regions(regions, large, percent, turn), "regions")
+        parts = cut.groupBy("parent", "region").agg(F.count("*").alias("part"))
+        stuck = (
+            parts.groupBy("parent")
+            .agg(F.sum("part").alias("rows"), F.max("part").alias("largest"))
+            .join(large.withColumnRenamed("region", "parent"), "parent")
+            .where((F.col("rows") > STUCK_ROWS * F.col("n")) | (F.col("largest") > STUCK_SHARE * F.col("n")))
+            .select("parent")
+        )
+        stuck = written(stuck, "stuck")
+        held = stuck.withColumnRenamed("parent", "region")
+        add(blockwise(regions.join(held, "region", "left_semi"), large.join(held, "region", "left_semi"), percent))
+        regions = cut.join(stuck, "parent", "left_anti").drop("parent")
+    return found
+
+
+def blockwise(regions: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """node, links, to of regions that pivots do not cut: blocks of sets, each with itself and with each other."""
+    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
+    placed = regions.join(sizes, "region").withColumn("many", blocks)
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
+    paired = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other")).select(
         "region", "node", "home", "weight", "shingles", F.col("block").alias("side"),
         F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
     )
 
-    def blockwise(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pd.DataFrame) -> pd.DataFrame:
         return links_of(group, percent, across=int(group["i"].iloc[0]) != int(group["j"].iloc[0]))
 
-    add(written(paired.groupBy("region", "i", "j").applyInPandas(blockwise, LINKS), "links"))
-    return found
+    return written(paired.groupBy("region", "i", "j").applyInPandas(run, LINKS), "links")
 
 
 def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -49,9 +49,10 @@ def near_copies(rng, groups, size):
     return texts
 
 
-@pytest.mark.parametrize("leaf,pivots,rounds", [(512, 16, 5), (6, 3, 5), (6, 2, 1), (8, 1, 0)])
-def test_equals_all_pairs(spark, monkeypatch, leaf, pivots, rounds):
-    for name, value in (("LEAF", leaf), ("PIVOTS", pivots), ("ROUNDS", rounds), ("CHUNK", 10)):
+@pytest.mark.parametrize("leaf,pivots,rounds,stuck", [(512, 16, 5, 4.0), (6, 3, 2, 100.0), (6, 3, 3, 1.5), (8, 1, 0, 4.0)])
+def test_equals_all_pairs(spark, monkeypatch, leaf, pivots, rounds, stuck):
+    changes = {"LEAF": leaf, "PIVOTS": pivots, "ROUNDS": rounds, "CHUNK": 10, "STUCK_ROWS": stuck, "STUCK_SHARE": stuck, "BLOCK": 12}
+    for name, value in changes.items():
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(7)
     texts = near_copies(rng, 12, 18) + odd_texts(rng)
