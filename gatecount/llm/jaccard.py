@@ -131,7 +131,8 @@ SETS = T.StructType(
 def sets(docs: DataFrame, width: int, percent: int, id_col: str, text: str) -> DataFrame:
     """doc_id, n_shingles, node (fingerprint of the set, null without one), keys, near.
 
-    Of the rows of a batch that share a key, the smallest node keeps it; the others have that node in `near`.
+    Rows of a batch that share keys, directly or through others, are reduced to one: the smallest node has all their
+    keys, the others have that node in `near`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,15 +148,16 @@ def sets(docs: DataFrame, width: int, percent: int, id_col: str, text: str) -> D
             many = np.array([len(k) for k in all_keys], np.int64)
             key = np.concatenate([*all_keys, np.empty(0, np.uint64)]).view(np.int64)
             row = np.repeat(np.arange(len(size)), many)
-            order = np.lexsort((node[row], key))
-            key, row = key[order], row[order]
-            first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-            head = node[row[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]] if len(key) else node[:0]
+            label = neighbours(node, row, key)
+            # A neighbourhood's keys go on with its smallest node, whose row is the first that has it.
+            nodes_seen, first_row = np.unique(node, return_index=True)
+            head = first_row[np.searchsorted(nodes_seen, label[row])]
+            far = np.flatnonzero(label != node)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0), pa.array(size), pa.array(node, mask=size == 0),
-                    _grouped(row[first], key[first], len(size), distinct=False),
-                    _grouped(row[~first], head[~first], len(size), distinct=True),
+                    _grouped(head, key, len(size)),
+                    _grouped(far, label[far], len(size)),
                 ],
                 names=SETS.names,
             )
@@ -165,10 +167,32 @@ def sets(docs: DataFrame, width: int, percent: int, id_col: str, text: str) -> D
     ).mapInArrow(run, SETS)
 
 
-def _grouped(row: np.ndarray, value: np.ndarray, rows: int, distinct: bool) -> pa.Array:
+def neighbours(node: np.ndarray, row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """For each row of a batch the smallest node that shared keys lead to. `row` and `key`: who has which key."""
+    label = node.copy()
+    order = np.argsort(key, kind="stable")
+    row, key = row[order], key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+    group = np.cumsum(new) - 1
+    shared = (np.bincount(group) > 1)[group] if len(key) else new
+    row, new = row[shared], new[shared]
+    if not len(row):
+        return label
+    begin, group = np.flatnonzero(new), np.cumsum(new) - 1
+    while True:
+        lowest = np.minimum.reduceat(label[row], begin)
+        lower = label.copy()
+        np.minimum.at(lower, row, lowest[group])
+        if (lower == label).all():
+            return label
+        label = lower
+
+
+def _grouped(row: np.ndarray, value: np.ndarray, rows: int) -> pa.Array:
+    """Lists of distinct values, by row."""
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
-    if distinct and len(row):
+    if len(row):
         keep = np.concatenate(([True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])))
         row, value = row[keep], value[keep]
     ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int32)
@@ -366,7 +390,8 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
     wanted = reps.select(F.col("rep").alias("_rep"), "node", "region", "weight")
-    with_text = wanted.join(texts, F.col("_rep").eqNullSafe(F.col("rep"))).select("node", "region", "weight", "text")
+    # What is wanted grows with the corpus: no broadcast, however small it is here.
+    with_text = wanted.hint("merge").join(texts, F.col("_rep").eqNullSafe(F.col("rep"))).select("node", "region", "weight", "text")
     members = written(with_text.mapInArrow(read, REGION).dropDuplicates(["node"]), "regions")
     links = written(joined(members, percent), "all-links")
     linked = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
