@@ -6,9 +6,9 @@ into one task. Here the arrival number cuts each key into segments of at most
 each segment inherits comes from a table with one row per (key, segment), built
 by a map-side combined aggregate. Only that small table is windowed per key.
 
-The raw rows are dealt out once, on (key, segment), before the aggregate and the
-window branch off: both read the same exchange, so the input is scanned once, and
-the join that brings in the inherited value needs no other.
+The raw rows are shuffled once, on (key, segment); the join that brings in the
+inherited value reuses that partitioning and order. The aggregate reads the input a
+second time, only the columns it needs, and combines before its own small shuffle.
 
 The bound holds where arrival numbers are dense. For sparse ones, such as
 microseconds, pass ``segment_rows=arrival_width(...)``, which measures the density.
@@ -26,9 +26,8 @@ SEGMENT_ROWS = 1 << 20
 _SEGMENT = "_segment"
 
 
-def _segmented(df: DataFrame, order: str, segment_rows: int, keys: Sequence[str] = ()) -> DataFrame:
-    cut = df.withColumn(_SEGMENT, F.floor(F.col(order) / F.lit(segment_rows)).cast("bigint"))
-    return cut.repartition(*keys, _SEGMENT)
+def _segmented(df: DataFrame, order: str, segment_rows: int) -> DataFrame:
+    return df.withColumn(_SEGMENT, F.floor(F.col(order) / F.lit(segment_rows)).cast("bigint"))
 
 
 def arrival_width(df: DataFrame, order: str, rows: int = SEGMENT_ROWS) -> int:
@@ -51,7 +50,7 @@ def with_previous(
     null where the row exists; a null result means there was no row before.
     """
     keys, values = list(keys), list(values)
-    rows = _segmented(df, order, segment_rows, keys)
+    rows = _segmented(df, order, segment_rows)
     inside = Window.partitionBy(*keys, _SEGMENT).orderBy(order)
     across = Window.partitionBy(*keys).orderBy(_SEGMENT)
 
@@ -86,7 +85,7 @@ def with_running(
         "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
     }
     aggregate, merge = combine[how]
-    rows = _segmented(df.withColumn("_value", value), order, segment_rows, keys)
+    rows = _segmented(df.withColumn("_value", value), order, segment_rows)
     inside = Window.partitionBy(*keys, _SEGMENT).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(_SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gatecount import rules
 from gatecount.functions import text as X
 from gatecount.functions import times as T
+from gatecount.operators import official as O
 from gatecount.plans import views as V
 from gatecount.plans.views import with_views
 from gatecount.sources import feeds, grids, markup
@@ -74,9 +75,7 @@ def payload_deref(spark, sf_dir):
         F.lit('<html><script type="application/json" data-x="1" id="__NUXT_DATA__">'), broken, F.lit("</script></html>")
     )
     pages = line.select(k.alias("page_id"), html.alias("html"))
-    events = feeds.payload_events(pages)
-    halls = feeds.payload_halls(pages)
-    return events.join(halls, ["page_id", "hall_id"]).select(
+    return feeds.payload_screenings(pages).select(
         "page_id", "event_id", "starts_at", "title_id", "hall_id", F.array_join("properties", "+").alias("properties"), "cinema_id"
     )
 
@@ -173,7 +172,7 @@ def first_usable_hit(spark, sf_dir):
 def _week_cells(spark, sf_dir):
     """The weekly table laid out as sheets: captions, a two-row header at changing depth, rows, notes."""
     rows = V.weekly(spark, sf_dir)
-    file = F.concat(F.lit("top20-"), F.date_format("weekend_from", "yyyyMMdd"), F.lit(".xls"))
+    file = F.concat(F.date_format("weekend_from", "yyyyMMdd"), F.lit("/top20-"), F.year("weekend_from"), F.lit("-"), F.month("weekend_from"), F.lit("cz.xls"))
     head = (F.lit(3) + F.dayofmonth("weekend_from") % 4).cast("int")
 
     def cell(row, col, text=None, num=None):
@@ -213,6 +212,17 @@ def header_anchored_table(spark, sf_dir):
     return grids.weekly_table(_week_cells(spark, sf_dir))
 
 
+def sheets_to_archive(spark, sf_dir):
+    """From sheets straight to the archive's lines: the file names date the reports."""
+    table = header_anchored_table(spark, sf_dir)
+    lines = table.withColumn("week_key", O.week_key(F.col("year"), F.col("week")))
+    return lines.groupBy("year", "week_key").agg(
+        F.count_distinct("weekend_from").alias("reports"),
+        F.sum("weekend_admissions").alias("admissions"),
+        F.max_by("title", F.struct("weekend_admissions", "weekend_from", "title")).alias("top_title"),
+    )
+
+
 def annual_table(spark, sf_dir):
     """Annual lists as sheets, their lifetime block found by its caption."""
     rows = V.annual(spark, sf_dir)
@@ -240,7 +250,7 @@ def annual_table(spark, sf_dir):
     )
     heads = rows.select("year").distinct().select(file.alias("file"), F.explode(top).alias("c")).select("file", "c.*")
     out = grids.annual_table(cells.unionByName(heads))
-    return out.select("file", "rank", "title", "premiere", "screenings", "admissions", "gross")
+    return out.select("file", "year", "rank", "title", "premiere", "screenings", "admissions", "gross")
 
 
 QUERIES = {
@@ -258,6 +268,7 @@ QUERIES = {
         embedded_rating,
         first_usable_hit,
         header_anchored_table,
+        sheets_to_archive,
         annual_table,
     )
 }
@@ -324,12 +335,20 @@ ORACLES = {
         WHERE votes >= 20 AND v <> 0 QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY pr) = 1""",
     "header_anchored_table": with_views(
         "vw",
-        body=""" SELECT 'top20-' || strftime(weekend_from, '%Y%m%d') || '.xls' AS file,
+        body=""" SELECT strftime(weekend_from, '%Y%m%d') || '/top20-' || year(weekend_from) || '-' || month(weekend_from) || 'cz.xls' AS file,
+          year(weekend_from) AS year, month(weekend_from) AS week,
           CAST(3 + day(weekend_from) % 4 + 1 + rank AS INTEGER) AS row, rank, title, 'Dist' AS distributor, country, week_of_run, cinemas,
           weekend_admissions, total_admissions, weekend_gross, 0.0::DOUBLE AS total_gross, weekend_from
         FROM vw""",
     ),
+    "sheets_to_archive": with_views(
+        "vw",
+        body=""" SELECT year(weekend_from) AS year, year(weekend_from) || '-W' || lpad(month(weekend_from)::VARCHAR, 2, '0') AS week_key,
+          count(DISTINCT weekend_from) AS reports, CAST(sum(weekend_admissions) AS BIGINT) AS admissions,
+          arg_max(title, (weekend_admissions, weekend_from, title)) AS top_title
+        FROM vw GROUP BY 1, 2""",
+    ),
     "annual_table": with_views(
-        "va", body=" SELECT 'top50' || year || '.xls' AS file, rank, title, premiere, CAST(11 AS BIGINT) AS screenings, admissions, gross FROM va"
+        "va", body=" SELECT 'top50' || year || '.xls' AS file, CAST(year AS BIGINT) AS year, rank, title, premiere, CAST(11 AS BIGINT) AS screenings, admissions, gross FROM va"
     ),
 }

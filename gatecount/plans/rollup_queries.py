@@ -138,7 +138,7 @@ def official_plus_measured(spark, sf_dir):
     from gatecount.operators import official as O
 
     official = O.latest_totals(V.weekly(spark, sf_dir), T.instant("1998-06-13 12:00:00"), 40).drop("title")
-    daily = U.film_by_day(V.screenings(spark, sf_dir).withColumn("admissions", F.col("sold")).where("day < DATE '1998-07-01'"))
+    daily = U.film_by_day(V.screenings(spark, sf_dir).withColumn("admissions", F.col("sold")))
     return U.official_plus_measured(official, daily).select("film_id", "admissions", "as_of", "since_admissions", "total")
 
 
@@ -153,17 +153,13 @@ def settle_rows(spark, sf_dir):
 
 def fold_history(spark, sf_dir):
     settled = S.settle(V.screenings(spark, sf_dir), _now())
-    stored = (
-        V.weekly(spark, sf_dir)
-        .where("weekend_from < DATE '1996-01-01'")
-        .select(
-            F.col("weekend_from").alias("day"),
-            "film_id",
-            F.col("weekend_admissions").alias("sold"),
-            (F.col("weekend_admissions") * 2).alias("capacity"),
-            F.col("cinemas").alias("screenings"),
-            F.col("weekend_gross").alias("gross"),
-        )
+    stored = V.weekly(spark, sf_dir).select(
+        F.col("weekend_from").alias("day"),
+        "film_id",
+        F.col("weekend_admissions").alias("sold"),
+        (F.col("weekend_admissions") * 2).alias("capacity"),
+        F.col("cinemas").alias("screenings"),
+        F.col("weekend_gross").alias("gross"),
     )
     return _rounded(S.fold_daily(settled, _now(), stored), "gross", digits=2)
 
@@ -356,7 +352,7 @@ ORACLES = {
           QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY total_admissions DESC, weekend_from, title) = 1)
         SELECT o.film_id, admissions, as_of, CAST(coalesce(sum(sold) FILTER (day >= as_of + 4), 0) AS BIGINT) AS since_admissions,
                CAST(admissions + coalesce(sum(sold) FILTER (day >= as_of + 4), 0) AS BIGINT) AS total
-        FROM o LEFT JOIN vs ON vs.film_id = o.film_id AND day < DATE '1998-07-01' GROUP BY 1, 2, 3"""
+        FROM o LEFT JOIN vs ON vs.film_id = o.film_id GROUP BY 1, 2, 3"""
     ),
     "settle": with_views("vs", body=" SELECT confidence, count(*) AS screenings FROM vset WHERE confidence IS NOT NULL GROUP BY 1"),
     "settle_rows": with_views(
@@ -368,7 +364,7 @@ ORACLES = {
         body=f""", u AS (
           SELECT day, film_id, sold, total AS capacity, 1 AS screenings, sold * coalesce(price_min, 205.0) AS gross FROM vset WHERE {_FOLD}
           UNION ALL
-          SELECT weekend_from, film_id, weekend_admissions, weekend_admissions * 2, cinemas, weekend_gross FROM vw WHERE weekend_from < DATE '1996-01-01')
+          SELECT weekend_from, film_id, weekend_admissions, weekend_admissions * 2, cinemas, weekend_gross FROM vw)
         SELECT day, film_id, CAST(sum(sold) AS BIGINT) AS sold, CAST(sum(capacity) AS BIGINT) AS capacity,
                CAST(sum(screenings) AS BIGINT) AS screenings, round(sum(gross), 2) AS gross FROM u GROUP BY 1, 2""",
     ),

@@ -99,38 +99,37 @@ def _payload(html: str, pattern: str) -> Column:
     return F.try_variant_get(F.try_parse_json(script), "$", "array<variant>")
 
 
-def payload_events(
-    pages: DataFrame, page_id: str = "page_id", html: str = "html", pattern: str = rules.PAYLOAD_SCRIPT
-) -> DataFrame:
-    """Scheduled events in the index-referenced payload of a page.
+def _events_in(flat: Column) -> Column:
+    def event(r: Column) -> Column:
+        props = F.try_variant_get(_deref(flat, _field(r, "Properties")), "$", "array<variant>")
+        names = F.transform(props, lambda p: _text(flat, _field(_deref(flat, p), "Name")))
+        return F.struct(
+            _text(flat, _field(r, "EventId")).alias("event_id"),
+            _text(flat, _field(r, "Start")).alias("start"),
+            _text(flat, _field(r, "TitleId")).alias("title_id"),
+            _text(flat, _field(r, "ObjectId")).alias("hall_id"),
+            F.coalesce(F.filter(names, lambda n: n != ""), F.array().cast("array<string>")).alias("properties"),
+        )
 
-    The payload is one flat array whose records hold positions instead of values.
-    It is parsed once and references are followed inside the row, so a page is
-    neither joined with itself nor repeated per record. A page without a readable
-    payload gives no rows; the last record of an event id wins.
-    """
+    def is_event(r: Column) -> Column:
+        named = _field(r, "EventId").isNotNull() & _field(r, "Start").isNotNull()
+        return named & ~(_field(r, "CinemaId").isNotNull() & _field(r, "ObjectId").isNotNull())
+
+    return F.transform(F.filter(flat, is_event), event)
+
+
+def _halls_in(flat: Column) -> Column:
+    halls = F.filter(flat, lambda r: _field(r, "CinemaId").isNotNull() & _field(r, "ObjectId").isNotNull())
+    return F.transform(
+        halls,
+        lambda r: F.struct(
+            _text(flat, _field(r, "ObjectId")).alias("hall_id"), _text(flat, _field(r, "CinemaId")).alias("cinema_id")
+        ),
+    )
 
-    def read(flat: Column) -> Column:
-        def event(r: Column) -> Column:
-            props = F.try_variant_get(_deref(flat, _field(r, "Properties")), "$", "array<variant>")
-            names = F.transform(props, lambda p: _text(flat, _field(_deref(flat, p), "Name")))
-            return F.struct(
-                _text(flat, _field(r, "EventId")).alias("event_id"),
-                _text(flat, _field(r, "Start")).alias("start"),
-                _text(flat, _field(r, "TitleId")).alias("title_id"),
-                _text(flat, _field(r, "ObjectId")).alias("hall_id"),
-                F.coalesce(
-                    F.filter(names, lambda n: n != ""), F.array().cast("array<string>")
-                ).alias("properties"),
-            )
-
-        def is_event(r: Column) -> Column:
-            named = _field(r, "EventId").isNotNull() & _field(r, "Start").isNotNull()
-            return named & ~(_field(r, "CinemaId").isNotNull() & _field(r, "ObjectId").isNotNull())
-
-        return F.transform(F.filter(flat, is_event), event)
-
-    found = pages.select(page_id, F.posexplode(bind(_payload(html, pattern), read)).alias("no", "e"))
+
+def _last_events(found: DataFrame, page_id: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """``found``: page_id, no, e (an event) and ``more``. The last record of an event id wins."""
     start = F.try_to_timestamp(F.col("e.start"))
     rows = found.select(
         page_id,
@@ -140,31 +139,52 @@ def payload_events(
         "e.title_id",
         "e.hall_id",
         "e.properties",
+        *more,
     ).where((F.col("event_id") != "") & F.col("starts_at").isNotNull())
-    last = rows.groupBy(page_id, "event_id").agg(
-        F.max(F.struct("no", "starts_at", "title_id", "hall_id", "properties")).alias("_last")
+    kept = ("starts_at", "title_id", "hall_id", "properties", *more)
+    last = rows.groupBy(page_id, "event_id").agg(F.max(F.struct("no", *kept)).alias("_last"))
+    return last.select(page_id, "event_id", *[F.col(f"_last.{c}") for c in kept])
+
+
+def payload_events(
+    pages: DataFrame, page_id: str = "page_id", html: str = "html", pattern: str = rules.PAYLOAD_SCRIPT
+) -> DataFrame:
+    """Scheduled events in the index-referenced payload of a page.
+
+    The payload is one flat array whose records hold positions instead of values.
+    It is parsed once and references are followed inside the row, so a page is
+    neither joined with itself nor repeated per record. A page without a readable
+    payload gives no rows; the last record of an event id wins.
+    """
+    found = pages.select(page_id, F.posexplode(bind(_payload(html, pattern), _events_in)).alias("no", "e"))
+    return _last_events(found, page_id)
+
+
+def payload_screenings(
+    pages: DataFrame, page_id: str = "page_id", html: str = "html", pattern: str = rules.PAYLOAD_SCRIPT
+) -> DataFrame:
+    """Events with the cinema of their hall, from one parse of each page and without a join.
+
+    The last record that names a hall's cinema counts; an event in another hall is left out.
+    """
+    both = bind(
+        _payload(html, pattern),
+        lambda flat: F.struct(_events_in(flat).alias("events"), _halls_in(flat).alias("halls")),
     )
-    return last.select(
-        page_id, "event_id", *[F.col(f"_last.{c}") for c in ("starts_at", "title_id", "hall_id", "properties")]
+    parsed = pages.select(page_id, both.alias("p")).select(
+        page_id, F.col("p.halls").alias("_halls"), F.posexplode("p.events").alias("no", "e")
     )
+    named = F.filter("_halls", lambda h: (h["hall_id"] == F.col("e.hall_id")) & (h["cinema_id"] != ""))
+    cinema = F.try_element_at(named, F.lit(-1))["cinema_id"]
+    found = parsed.select(page_id, "no", "e", F.when(F.col("e.hall_id") != "", cinema).alias("cinema_id"))
+    return _last_events(found, page_id, ("cinema_id",)).where(F.col("cinema_id").isNotNull())
 
 
 def payload_halls(
     pages: DataFrame, page_id: str = "page_id", html: str = "html", pattern: str = rules.PAYLOAD_SCRIPT
 ) -> DataFrame:
     """Hall -> cinema pairs of the same payload."""
-
-    def read(flat: Column) -> Column:
-        halls = F.filter(flat, lambda r: _field(r, "CinemaId").isNotNull() & _field(r, "ObjectId").isNotNull())
-        return F.transform(
-            halls,
-            lambda r: F.struct(
-                _text(flat, _field(r, "ObjectId")).alias("hall_id"),
-                _text(flat, _field(r, "CinemaId")).alias("cinema_id"),
-            ),
-        )
-
-    rows = pages.select(page_id, F.posexplode(bind(_payload(html, pattern), read)).alias("no", "h"))
+    rows = pages.select(page_id, F.posexplode(bind(_payload(html, pattern), _halls_in)).alias("no", "h"))
     named = rows.where((F.col("h.hall_id") != "") & (F.col("h.cinema_id") != ""))
     return named.groupBy(page_id, F.col("h.hall_id").alias("hall_id")).agg(
         F.max_by("h.cinema_id", "no").alias("cinema_id")

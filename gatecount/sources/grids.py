@@ -14,6 +14,7 @@ from gatecount import rules
 from gatecount.functions import numbers as N
 from gatecount.functions import text as X
 from gatecount.functions import times as T
+from gatecount.operators.official import parse_annual_file, parse_week_file
 
 
 def cell_text() -> Column:
@@ -95,8 +96,13 @@ def _number_of(name: str) -> Column:
     return F.coalesce(F.max(F.when(F.col("name") == name, F.col("_num"))), F.lit(0.0))
 
 
-def weekly_table(cells: DataFrame) -> DataFrame:
-    """Report rows of every recognised weekly sheet; lines without rank or title end it."""
+def weekly_table(cells: DataFrame, strict: bool = True) -> DataFrame:
+    """Report rows of every weekly sheet, with year and week of the file name (null for another name).
+
+    Lines without rank or title are not report rows. A file whose columns cannot be
+    found is an error; with ``strict`` off it is left out, and ``unrecognised_files``
+    names it.
+    """
     layout = week_layout(cells)
     body = cells.join(layout, ["file", "col"]).where(F.col("row") >= F.col("header_row") + 2)
     long = body.select(
@@ -111,7 +117,16 @@ def weekly_table(cells: DataFrame) -> DataFrame:
         ],
         *[_number_of(c).alias(c) for c in ("weekend_gross", "total_gross")],
     )
-    return records.where((F.col("rank") != 0) & (F.col("title") != ""))
+    found = records.where((F.col("rank") != 0) & (F.col("title") != ""))
+    if strict:
+        # The condition needs the layout's side of the join, so no file is judged before it.
+        known = week_layout(cells).select("file").distinct().withColumn("_known", F.lit(True))
+        problem = F.raise_error(F.concat(F.lit("no weekly table in "), F.col("file"))).cast("boolean")
+        every = cells.select("file").distinct().join(known, "file", "left")
+        rejects = every.where(F.when(F.col("_known").isNull(), problem).otherwise(F.lit(False))).select("file")
+        found = found.unionByName(rejects, allowMissingColumns=True)
+    named = found.withColumn("_named", parse_week_file(F.col("file")))
+    return named.select("*", F.col("_named.year").alias("year"), F.col("_named.week").alias("week")).drop("_named")
 
 
 def unrecognised_files(cells: DataFrame) -> DataFrame:
@@ -147,7 +162,7 @@ def annual_layout(cells: DataFrame) -> DataFrame:
 
 
 def annual_table(cells: DataFrame) -> DataFrame:
-    """Rows of annual sheets, with the figures of the lifetime block."""
+    """Rows of annual sheets, with the figures of the lifetime block and the year of the file name."""
     body = cells.join(annual_layout(cells), "file").where(F.col("row") > F.col("header_row"))
     name = F.lit(None).cast("string")
     for column, col in rules.ANNUAL_COLUMNS.items():
@@ -166,4 +181,4 @@ def annual_table(cells: DataFrame) -> DataFrame:
         _number_of("admissions").cast("bigint").alias("admissions"),
         _number_of("gross").alias("gross"),
     )
-    return records.where((F.col("rank") != 0) & (F.col("title") != ""))
+    return records.where((F.col("rank") != 0) & (F.col("title") != "")).withColumn("year", parse_annual_file(F.col("file")))

@@ -158,3 +158,56 @@ def test_threshold_alert_equals_the_loop(spark):
         expected |= {(key, t, v) for t, v in alert_loop(series)}
     out = R.threshold_alert(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r["screening_key"], r["ring_at"], r["ring_value"]) for r in out} == expected
+
+
+def test_cycles_equal_one_run_over_all_readings(spark):
+    """Readings judged cycle by cycle against the stored state come out as if judged at once."""
+    from gatecount.plans.cycle import apply_readings, with_memory
+
+    rng = random.Random(17)
+    start = dt.datetime(2026, 8, 1, 20)
+    shows = [(k, start, *((rng.randrange(0, 50), 50, start - dt.timedelta(days=1)) if k % 2 else (None, None, None)), None, None)
+             for k in range(24)]
+    schema = "screening_key bigint, starts_at timestamp_ntz, sold bigint, total bigint, captured_at timestamp_ntz, next_look_at timestamp_ntz, price_min double"
+    rows = []
+    for seq in range(8):
+        for k in range(24):
+            if rng.random() < 0.8:
+                at = start - dt.timedelta(hours=20 - 2 * seq)
+                sold = 50 if rng.random() < 0.4 else rng.randrange(20, 50)
+                rows.append((k, k % 5, seq, at, sold, 50, float(seq) if rng.random() < 0.5 else None))
+    kinds = "screening_key bigint, film_id bigint, seq bigint, at_ts timestamp_ntz, sold bigint, total bigint, price_min double"
+    readings = spark.createDataFrame(rows, kinds)
+    policy = F.element_at(F.array(*map(F.lit, R.POLICIES)), (F.col("screening_key") % 3 + 1).cast("int"))
+    state = with_memory(spark.createDataFrame(shows, schema))
+    key = lambda df: {(r["screening_key"], r["seq"]): (r["outcome"], r["delta"]) for r in df.collect()}
+    whole = R.judge(readings, state, policy)
+    together = apply_readings(state, whole).collect()
+    found = {}
+    for low, high in ((0, 1), (1, 2), (2, 5), (5, 8)):
+        judged = R.judge(readings.where((F.col("seq") >= low) & (F.col("seq") < high)), state, policy)
+        found |= key(judged)
+        after = apply_readings(state, judged).collect()
+        state = spark.createDataFrame(after, state.schema)
+    assert found == key(whole)
+    assert {"held", "recorded", "rejected", "closed"} == {o for o, _ in found.values()}
+    assert sorted(map(str, state.collect())) == sorted(map(str, together))
+
+
+def test_one_reading_per_cycle_counts_and_sets_the_next_look(spark):
+    from gatecount.plans.cycle import apply_readings
+
+    start, at = dt.datetime(2026, 8, 1, 20), dt.datetime(2026, 8, 1, 12)
+    stored = spark.createDataFrame(
+        [(1, start, 100, 120, at - dt.timedelta(hours=3), None, 150.0)],
+        "screening_key bigint, starts_at timestamp_ntz, sold bigint, total bigint, captured_at timestamp_ntz, next_look_at timestamp_ntz, price_min double",
+    )
+    reading = spark.createDataFrame(
+        [(1, 3, 0, at, 108, 120, 180.0)],
+        "screening_key bigint, film_id bigint, seq bigint, at_ts timestamp_ntz, sold bigint, total bigint, price_min double",
+    )
+    judged = R.judge(reading, stored, F.lit("hold"))
+    assert [(r["outcome"], r["delta"]) for r in judged.collect()] == [("recorded", 8)]
+    row = apply_readings(stored, judged).first()
+    assert (row["sold"], row["price_min"], row["captured_at"]) == (108, 180.0, at)
+    assert at < row["next_look_at"] < start

@@ -191,12 +191,14 @@ def test_weekly_sheet(spark):
     good += [[1, None, " Odyssea ", "Cinemart", "USA", 2, 210, "17 200 000,5", 86017, 51000000, "256 291", 9], [None, None, "note"], ["(c) note"]]
     bad = [["nothing"], [None, None, "Film"], []]
     cells = spark.createDataFrame(sheet("w.xls", good) + sheet("b.xls", bad), CELLS)
-    out = grids.weekly_table(cells).collect()
+    out = grids.weekly_table(cells, strict=False).collect()
     assert len(out) == 1
     r = out[0]
     assert (r["rank"], r["title"], r["weekend_from"], r["week_of_run"], r["cinemas"]) == (1, "Odyssea", dt.date(2026, 7, 23), 2, 210)
     assert (r["weekend_gross"], r["weekend_admissions"], r["total_admissions"]) == (17200000.5, 86017, 256291)
     assert [f["file"] for f in grids.unrecognised_files(cells).collect()] == ["b.xls"]
+    with pytest.raises(Exception, match="no weekly table in b.xls"):
+        grids.weekly_table(cells).collect()
 
 
 def test_annual_sheet(spark):
