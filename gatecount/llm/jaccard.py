@@ -33,7 +33,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gatecount.llm.common import strings, written
@@ -117,56 +116,61 @@ def keys(of: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
-SETS = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_shingles", T.LongType()),
-        T.StructField("node", T.LongType()),
-        T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("near", T.ArrayType(T.LongType())),
-    ]
-)
+SETS = "doc_id long, n_shingles long, node long"
+KEYS = "key long, node long, head long"
 
 
-def sets(docs: DataFrame, width: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint of the set, null without one), keys, near.
+def _batch_sets(texts: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    of = [shingles(text, width) for text in strings(texts)]
+    return of, np.array([xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0 for s in of], np.uint64).view(np.int64)
 
-    Rows of a batch that share keys, directly or through others, are reduced to one: the smallest node has all their
-    keys, the others have that node in `near`.
-    """
+
+def sets(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
+    """doc_id, n_shingles, node (fingerprint of the set, null without one)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, all_keys = [], [], []
-            for text in strings(batch.column(1)):
-                s = shingles(text, width)
-                sizes.append(len(s))
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes()) if len(s) else 0)
-                all_keys.append(keys(s, percent))
-            size = np.array(sizes, np.int64)
-            node = np.array(nodes, np.uint64).view(np.int64)
-            many = np.array([len(k) for k in all_keys], np.int64)
-            key = np.concatenate([*all_keys, np.empty(0, np.uint64)]).view(np.int64)
-            row = np.repeat(np.arange(len(size)), many)
-            label = neighbours(node, row, key)
-            # A neighbourhood's keys go on with its smallest node, whose row is the first that has it.
-            nodes_seen, first_row = np.unique(node, return_index=True)
-            head = first_row[np.searchsorted(nodes_seen, label[row])]
-            far = np.flatnonzero(label != node)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(size), pa.array(node, mask=size == 0),
-                    _grouped(head, key, len(size)),
-                    _grouped(far, label[far], len(size)),
-                ],
-                names=SETS.names,
-            )
+            of, node = _batch_sets(batch.column(1), width)
+            size = np.array([len(s) for s in of], np.int64)
+            columns = [batch.column(0), pa.array(size), pa.array(node, mask=size == 0)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node"])
 
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
     ).mapInArrow(run, SETS)
 
 
+def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
+    """key, node, and head where the row is no key but says that node and head met in a batch.
+
+    Rows of a batch that share keys, directly or through others, are reduced to one: the smallest node has all their
+    keys, the others only name it. The keys, several per shingle at low similarities, are never written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, node = _batch_sets(batch.column(0), width)
+            found = [keys(s, percent) for s in of]
+            key = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
+            row = np.repeat(np.arange(len(of)), [len(k) for k in found]).astype(np.int64)
+            label = neighbours(node, row, key)
+            head = label[row]
+            order = np.lexsort((head, key))
+            key, head = key[order], head[order]
+            new = np.concatenate(([True], (key[1:] != key[:-1]) | (head[1:] != head[:-1]))) if len(key) else np.empty(0, bool)
+            key, head = key[new], head[new]
+            met = np.unique(np.stack([node, label])[:, node != label], axis=1)
+            # Pairs that met travel with the keys, spread by their node.
+            columns = [
+                pa.array(np.concatenate([key, mixed(met[0].view(np.uint64)).view(np.int64)])),
+                pa.array(np.concatenate([head, met[0]])),
+                pa.array(np.concatenate([head, met[1]]), mask=np.arange(len(key) + met.shape[1]) < len(key)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", "head"])
+
+    return docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, KEYS)
+
+
 def neighbours(node: np.ndarray, row: np.ndarray, key: np.ndarray) -> np.ndarray:
     """For each row of a batch the smallest node that shared keys lead to. `row` and `key`: who has which key."""
     label = node.copy()
@@ -188,28 +192,18 @@ def neighbours(node: np.ndarray, row: np.ndarray, key: np.ndarray) -> np.ndarray
         label = lower
 
 
-def _grouped(row: np.ndarray, value: np.ndarray, rows: int) -> pa.Array:
-    """Lists of distinct values, by row."""
-    order = np.lexsort((value, row))
-    row, value = row[order], value[order]
-    if len(row):
-        keep = np.concatenate(([True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])))
-        row, value = row[keep], value[keep]
-    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=rows)))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(value.astype(np.int64)))
-
-
-def candidates(found: DataFrame) -> DataFrame:
-    """Edges a, b between nodes that share a key: each node with the smallest of its key."""
-    local = found.select(F.col("node").alias("a"), F.explode("near").alias("b"))
-    rows = found.select(F.explode("keys").alias("key"), "node")
+def candidates(rows: DataFrame) -> DataFrame:
+    """Edges a, b between nodes that share a key (`rows` as `keyed` gives them): each node with the smallest of its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_key = head = None  # sorted by key, then node: the first node of a key is its smallest
         for batch in batches:
-            if not batch.num_rows:
+            is_key = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+            met = batch.filter(pa.array(~is_key))
+            yield pa.RecordBatch.from_arrays([met.column(1), met.column(2)], names=["a", "b"])
+            key, node = np.asarray(batch.column(0))[is_key], np.asarray(batch.column(1))[is_key]
+            if not len(key):
                 continue
-            key, node = np.asarray(batch.column(0)), np.asarray(batch.column(1))
             first = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
             at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
             smallest = np.where(at < 0, node[0] if head is None else head, node[at])
@@ -217,8 +211,8 @@ def candidates(found: DataFrame) -> DataFrame:
             pairs = np.unique(np.stack([node, smallest])[:, node != smallest], axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
 
-    met = rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
-    return local.where("a <> b").unionByName(met).distinct()
+    sorted_ = rows.repartition("key").sortWithinPartitions("key", "node")
+    return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
 # ---------------------------------------------------------------- regions
@@ -366,9 +360,9 @@ def blockwise(regions: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, for every row of `docs`."""
-    found = written(sets(docs, width, percent, id_col, text), "sets")
+    found = written(sets(docs, width, id_col, text), "sets")
     copies = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    hoods = components(candidates(found))
+    hoods = components(candidates(keyed(docs, width, percent, text)))
     reps = written(hoods.join(copies, "node").select("node", F.col("label").alias("region"), "rep", "weight"), "members")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
