@@ -24,6 +24,7 @@ a repeated id is a document; a null id joins its class, and the component is the
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -48,6 +49,8 @@ CHUNK = 1000
 ROUNDS = 5
 #: A region is stuck when pivots make more than so many rows of one, or leave a part with this share of it.
 STUCK_ROWS, STUCK_SHARE = 4.0, 0.7
+#: Keys per shingle in one slice, about.
+SLICE_KEYS = 0.15
 BLOCK = 512
 COLUMNS = 2048
 
@@ -140,8 +143,14 @@ def sets(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
     ).mapInArrow(run, SETS)
 
 
-def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
-    """key, node, and head where the row is no key but says that node and head met in a batch.
+def slices_of(percent: int) -> int:
+    """In how many slices the keys are shuffled, one after the other: one per SLICE_KEYS keys of a shingle."""
+    per_shingle = 2 * 2 * (100 - percent) / (100 + percent)
+    return max(1, round(per_shingle / SLICE_KEYS))
+
+
+def keyed(docs: DataFrame, width: int, percent: int, text: str, slice_: int = 0, slices: int = 1) -> DataFrame:
+    """key, node, and head where the row is no key but says that node and head met in a batch; the keys of one slice.
 
     Rows of a batch that share keys, directly or through others, are reduced to one: the smallest node has all their
     keys, the others only name it. The keys, several per shingle at low similarities, are never written.
@@ -159,7 +168,9 @@ def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
             key, head = key[order], head[order]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (head[1:] != head[:-1]))) if len(key) else np.empty(0, bool)
             key, head = key[new], head[new]
-            met = np.unique(np.stack([node, label])[:, node != label], axis=1)
+            mine = key.view(np.uint64) % np.uint64(slices) == slice_
+            key, head = key[mine], head[mine]
+            met = np.unique(np.stack([node, label])[:, (node != label) & (slice_ == 0)], axis=1)
             # Pairs that met travel with the keys, spread by their node.
             columns = [
                 pa.array(np.concatenate([key, mixed(met[0].view(np.uint64)).view(np.int64)])),
@@ -215,6 +226,19 @@ def candidates(rows: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
+def met(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
+    """All candidate edges. At low similarities a shingle has several keys; they are shuffled slice by slice, each
+    slice's edges written and its shuffle let go before the next, so that the peak on disk stays that of one slice."""
+    slices, edges = slices_of(percent), None
+    for i in range(slices):
+        more = written(candidates(keyed(docs, width, percent, text, i, slices)), "candidates")
+        edges = more if edges is None else edges.unionByName(more)
+        if i + 1 < slices:
+            gc.collect()
+            docs.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner frees shuffles that nothing refers to
+    return edges
+
+
 # ---------------------------------------------------------------- regions
 
 REGION = "region long, node long, home boolean, weight long, shingles binary"
@@ -362,7 +386,7 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
     """doc_id, n_shingles, component_id, n_links, for every row of `docs`."""
     found = written(sets(docs, width, id_col, text), "sets")
     copies = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    hoods = components(candidates(keyed(docs, width, percent, text)))
+    hoods = components(met(docs, width, percent, text))
     reps = written(hoods.join(copies, "node").select("node", F.col("label").alias("region"), "rep", "weight"), "members")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
