@@ -51,7 +51,7 @@ ROUNDS = 5
 STUCK_ROWS, STUCK_SHARE = 4.0, 0.7
 #: Keys per shingle in one slice, about.
 SLICE_KEYS = 0.15
-BLOCK = 512
+BLOCK = 3072
 COLUMNS = 2048
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -242,7 +242,7 @@ def met(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
 # ---------------------------------------------------------------- regions
 
 REGION = "region long, node long, home boolean, weight long, shingles binary"
-CUT = f"parent long, {REGION}"
+CUT = "parent long, region long, node long, home boolean"
 
 
 def distances(members: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray:
@@ -258,7 +258,7 @@ def distances(members: list[np.ndarray], pivots: list[np.ndarray]) -> np.ndarray
 
 
 def cut_regions(regions: DataFrame, sizes: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Voronoi regions of regions, with boundary sets replicated. `sizes`: region, n."""
+    """Voronoi regions of regions, with boundary sets replicated: parent, region, node, home. `sizes`: region, n."""
     epsilon = 1.0 - percent / 100.0
     by_hash = Window.partitionBy("region").orderBy(F.xxhash64("node", F.lit(turn)), "node")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
@@ -273,7 +273,7 @@ def cut_regions(regions: DataFrame, sizes: DataFrame, percent: int, turn: int) -
     members = regions.join(sizes, "region").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).drop("n")
 
     def run(member: pd.DataFrame, pivot: pd.DataFrame) -> pd.DataFrame:
-        names = ["parent", "region", "node", "home", "weight", "shingles"]
+        names = ["parent", "region", "node", "home"]
         if not len(member):
             return pd.DataFrame(columns=names)
         pivot = pivot.sort_values("number")
@@ -343,14 +343,15 @@ def joined(members: DataFrame, percent: int) -> DataFrame:
         fits = (F.col("n") <= LEAF) & (F.col("bytes") <= LEAF_BYTES)
         small = regions.join(sizes.where(fits).select("region"), "region", "left_semi")
         add(written(small.groupBy("region").applyInPandas(inside, LINKS), "links"))
-        large = sizes.where(~fits).select("region", "n")
+        large = sizes.where(~fits)
         if large.isEmpty():
             return found
         regions = written(regions.join(large.select("region"), "region", "left_semi"), "regions")
         if turn == ROUNDS:
             add(blockwise(regions, large, percent))
             return found
-        cut = written(cut_regions(regions, large, percent, turn), "regions")
+        # Without the sets first: what turns out stuck would carry them many times over.
+        cut = written(cut_regions(regions, large.select("region", "n"), percent, turn), "cut")
         parts = cut.groupBy("parent", "region").agg(F.count("*").alias("part"))
         stuck = (
             parts.groupBy("parent")
@@ -362,13 +363,14 @@ def joined(members: DataFrame, percent: int) -> DataFrame:
         stuck = written(stuck, "stuck")
         held = stuck.withColumnRenamed("parent", "region")
         add(blockwise(regions.join(held, "region", "left_semi"), large.join(held, "region", "left_semi"), percent))
-        regions = cut.join(stuck, "parent", "left_anti").drop("parent")
+        whole = regions.select(F.col("region").alias("parent"), "node", "weight", "shingles")
+        regions = cut.join(stuck, "parent", "left_anti").join(whole, ["parent", "node"]).drop("parent")
     return found
 
 
 def blockwise(regions: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """node, links, to of regions that pivots do not cut: blocks of sets, each with itself and with each other."""
-    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / (BLOCK // 2)), F.ceil(F.col("bytes") / (LEAF_BYTES // 2))).cast("int")
     placed = regions.join(sizes, "region").withColumn("many", blocks)
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("many")).cast("int"))
     paired = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("other")).select(
