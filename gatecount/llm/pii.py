@@ -3,13 +3,15 @@
 `base` finds e-mail addresses, IPv4 addresses, card numbers and phone numbers. They are the seeds. A pattern is the two
 words to the left; an instance is a token that looks like an identifier (an at sign, or four digits or more) and that no
 seed covers. Spark scores the graph of patterns and instances in rounds: a pattern is worth the confidence of what
-followed it over everything that followed it in the documents that hold seeds, an instance as much as its best pattern,
-seeds count in full. Patterns that end with CONFIDENCE or more and have followed SUPPORT distinct seeds at least
+followed it over everything that followed it in any document, an instance as much as its best pattern, seeds count in
+full. Patterns that end with CONFIDENCE or more and have followed SUPPORT distinct seeds at least
 discover the instances after them, in all documents; the kind is that of most of the pattern's seeds.
 
-All of it is DataFrame expressions and joins. The texts are read once: spans and contexts go to a written table, which
-the rounds and the result read. Hot patterns ("of the") are pre-aggregated before any shuffle and joined to one row per
-pattern, so the adaptive skew join may split them.
+All of it is DataFrame expressions and joins. The texts are read twice: spans and contexts go to a written table, which
+the rounds and the result read; then the pairs of words of all texts are counted that may be a seed's pattern. A table
+of bits, of bounded size, drops nearly all others before anything moves; the join that follows is exact. Hot patterns
+("of the") are pre-aggregated before any shuffle and joined to one row per pattern, so the adaptive skew join may split
+them.
 
 Defined cases: a null text is empty and has no spans; each row of a repeated id is scanned; context words are compared
 in lower case; an entity at the start of a text has an empty context, which is no pattern; empty tables give no rows.
@@ -17,6 +19,8 @@ in lower case; an entity at the start of a text has an empty context, which is n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,8 @@ CONFIDENCE = 0.8
 SUPPORT = 3
 #: Characters looked at to the left of an entity for its two words.
 LEFT = 120
+#: Bits of the table that tells which pairs of words may be patterns: so many per pattern, and at most.
+BITS_EACH, BITS = 16, 1 << 22
 
 
 def _digits(match: Column) -> Column:
@@ -78,8 +84,8 @@ def contexts_of_words(text: Column) -> Column:
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """A written table: the columns `keep`, and base, seeds and loose (spans with their contexts), words (contexts of
-    all words where there are seeds) and a row number that no other row has."""
+    """A written table: the columns `keep`, and base, seeds and loose (spans with their contexts) and a row number that
+    no other row has."""
     t = text_or_empty(text)
     with_base = docs.select(*quoted(keep), t.alias("_t")).withColumn("_base", base(F.col("_t")))
     loose = spans.found(F.col("_t"), 0, TOKEN, lambda m: F.lit(True), run=r"\S")
@@ -92,13 +98,32 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
             F.col("_base"),
             near(F.col("_base")).alias("_seeds"),
             near(F.col("_loose")).alias("_loose"),
-            F.when(F.size("_base") > 0, contexts_of_words(F.col("_t"))).alias("_words"),
         ),
         "pii",
     )
 
 
-def patterns(scanned: DataFrame) -> DataFrame:
+def maybe(patterns: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for every one of `patterns` (one row each) and for few other texts."""
+    bits = 64
+    while bits < BITS and bits < BITS_EACH * patterns.count():
+        bits *= 2
+    place = lambda text: F.pmod(F.xxhash64(text), F.lit(bits))
+    in_longs = patterns.select(place(F.col("pattern")).alias("at")).selectExpr(
+        "cast(at div 64 as int) as long", "shiftleft(1L, cast(at % 64 as int)) as bit"
+    )
+    # At most BITS / 64 rows, whatever the corpus.
+    held = {r["long"]: r["bits"] for r in in_longs.groupBy("long").agg(F.bit_or("bit").alias("bits")).collect()}
+    table = F.split(F.lit(",".join(str(held.get(i, 0)) for i in range(bits // 64))), ",").cast("array<bigint>")
+
+    def test(text: Column) -> Column:
+        at = place(text)
+        return F.getbit(F.element_at(table, F.floor(at / 64).cast("int") + 1), (at % 64).cast("int")) == 1
+
+    return test
+
+
+def patterns(scanned: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """pattern, kind: what the rounds trust in the end."""
     seeds = (
         scanned.select(F.explode("_seeds").alias("s"))
@@ -112,8 +137,14 @@ def patterns(scanned: DataFrame) -> DataFrame:
         .agg(F.sum("n").alias("seeds"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
         .join(support, "pattern")
     )
+    known = written(known, "seeded")
+    seeded = maybe(known)
+    # In every document: what a pattern meets where there are no seeds speaks against it.
     followed = (
-        scanned.select(F.explode("_words").alias("pattern")).groupBy("pattern").count()
+        docs.select(F.explode(contexts_of_words(text_or_empty(text))).alias("pattern"))
+        .where(seeded(F.col("pattern")))
+        .groupBy("pattern")
+        .count()
     )
     known = written(
         known.join(followed, "pattern", "left").select(
@@ -122,10 +153,9 @@ def patterns(scanned: DataFrame) -> DataFrame:
         "patterns",
     )
     loose = (
-        scanned.where("_words is not null")
-        .select(F.explode("_loose").alias("s"))
+        scanned.select(F.explode("_loose").alias("s"))
         .select("s.pattern", F.lower("s.span.value").alias("instance"))
-        .where("pattern <> ''")
+        .where((F.col("pattern") != "") & seeded(F.col("pattern")))
     )
     edges = written(
         loose.groupBy("pattern", "instance").agg(F.count("*").alias("n")).join(known.select("pattern"), "pattern"), "edges"
@@ -146,7 +176,7 @@ def patterns(scanned: DataFrame) -> DataFrame:
 def found(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep`, base_spans and all_spans."""
     scanned = scan(docs, keep, text)
-    trusted = written(patterns(scanned), "trusted").withColumnRenamed("kind", "_kind")
+    trusted = written(patterns(scanned, docs, text), "trusted").withColumnRenamed("kind", "_kind")
     more = (
         scanned.select("_row", F.explode("_loose").alias("s"))
         .select("_row", "s.pattern", "s.span")

@@ -125,6 +125,38 @@ def test_contexts_discover_what_patterns_miss(spark):
     assert all(len(found[i][0]) == 1 for i in range(40))
 
 
+def discovered(spark, texts):
+    found = by_id(pii.found(docs(spark, texts), ["doc_id"]), "all_spans")
+    return {i: v for i, (e,) in found.items() if (v := [s["value"] for s in e if s["kind"] >= pii.SEED_KINDS])}
+
+
+def test_patterns_are_judged_over_documents_without_seeds_too(spark):
+    rng = random.Random(4)
+    seeded = [f"{words(rng, 8)} write to me{i}@mail.example.com {words(rng, 4)}" for i in range(5)]
+    bare = [f"{words(rng, 8)} write to somebody else {words(rng, 4)}" for _ in range(40)]
+    assert discovered(spark, seeded + bare + ["we write to 12345678 now"]) == {}
+    assert discovered(spark, seeded + ["we write to 12345678 now"]) == {5: ["12345678"]}
+
+
+def test_instances_in_documents_without_seeds_vouch_for_patterns(spark):
+    rng = random.Random(4)
+    texts = [f"{words(rng, 8)} write to me{i}@mail.example.com {words(rng, 4)}" for i in range(30)]
+    texts += [f"{words(rng, 8)} reply at you{i}@mail.example.com {words(rng, 4)}" for i in range(3)]
+    texts += [f"{lead} user{i}1234(at)home {words(rng, 4)}" for i in range(7) for lead in ("so write to", "or reply at")]
+    texts += ["or reply at user9999(at)work"]
+    assert discovered(spark, texts).keys() == set(range(33, 48))
+
+
+def test_table_of_bits_holds_every_pattern(spark, monkeypatch):
+    held = spark.createDataFrame([(f"word {i}",) for i in range(500)], "pattern string")
+    others = spark.createDataFrame([(f"other {i}",) for i in range(2000)], "pattern string")
+    test = pii.maybe(held)(F.col("pattern"))
+    assert held.where(test).count() == 500 and others.where(test).count() < 400
+    assert others.where(pii.maybe(held.limit(0))(F.col("pattern"))).isEmpty()
+    monkeypatch.setattr(pii, "BITS", 128)
+    assert held.where(pii.maybe(held)(F.col("pattern"))).count() == 500
+
+
 def test_empty_tables(spark):
     assert pii.found(docs(spark, []), ["doc_id"]).collect() == []
     assert secret_scan.scanned(docs(spark, []), None, "b", "e").collect() == []
