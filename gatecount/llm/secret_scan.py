@@ -3,8 +3,8 @@
 The models are first-order chains over the characters of keys and identifiers. One is trained on what the fixed
 patterns caught in all documents (random strings), the other on identifiers outside those matches, too short to be
 judged themselves, in a bounded sample of documents (about SAMPLE_DOCS, chosen by a hash of the id; SAMPLE_WORDS of each). Only pair counts, a fixed number of rows,
-leave the training pass; what was not seen leans on the single characters. Every run of LEAST or more such characters that no fixed
-pattern covers is scored by its log-likelihood ratio, random against ordinary, and reported from `bar` nats on. Without
+leave the training pass; what was not seen leans on the single characters. Of every run of such characters, each part of LEAST or more
+that no fixed pattern covers is scored by its log-likelihood ratio, random against ordinary, and reported from `bar` nats on. Without
 any labelled random string there is no model and only the fixed patterns speak.
 
 All of it is DataFrame expressions. Defined cases: a null text is empty and has no spans; each row of a repeated id is
@@ -115,7 +115,8 @@ def added(text: Column, base: Column, model: list[float] | None, bar: float = BA
         return spans.nothing()
     pattern = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
     long = spans.found(text, 3, pattern, lambda m: F.lit(True), run="A-Za-z0-9+/_=-")
-    return F.filter(spans.apart(long, base), lambda s: ratio(s["value"], model) >= bar)
+    left = F.filter(spans.remainders(long, base), lambda s: s["end"] - s["start"] >= LEAST)
+    return F.filter(left, lambda s: ratio(s["value"], model) >= bar)
 
 
 def scanned(docs: DataFrame, model: list[float] | None, base_name: str, all_name: str, text: str = "text") -> DataFrame:

@@ -62,6 +62,32 @@ def apart(spans: Column, others: Column) -> Column:
     return F.filter(spans, lambda s: ~F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])))
 
 
+def remainders(spans: Column, others: Column) -> Column:
+    """What `others` (they may overlap) leave of each span, in pieces."""
+    ordered = F.array_sort(others)
+
+    def pieces(s: Column) -> Column:
+        cuts = F.filter(ordered, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"]))
+
+        def piece(start: Column, end: Column) -> Column:
+            own = F.substring(s["value"], start - s["start"] + 1, F.greatest(end - start, F.lit(0)))
+            return F.struct(start.alias("start"), s["kind"].alias("kind"), end.alias("end"), own.alias("value"))
+
+        def step(state: Column, o: Column) -> Column:
+            grown = F.concat(state["out"], F.array(piece(state["at"], o["start"])))
+            out = F.when(o["start"] > state["at"], grown).otherwise(state["out"])
+            return F.struct(F.greatest(state["at"], o["end"]).alias("at"), out.alias("out"))
+
+        def close(state: Column) -> Column:
+            last = F.concat(state["out"], F.array(piece(state["at"], s["end"])))
+            return F.when(state["at"] < s["end"], last).otherwise(state["out"])
+
+        walked = F.aggregate(cuts, F.struct(s["start"].alias("at"), nothing().alias("out")), step, close)
+        return F.when(F.exists(others, lambda o: (s["start"] < o["end"]) & (o["start"] < s["end"])), walked).otherwise(F.array(s))
+
+    return F.flatten(F.transform(spans, pieces))
+
+
 def replaced(text: Column, spans: Column, by: str) -> Column:
     """The text with each span (they may overlap) replaced."""
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
