@@ -19,7 +19,8 @@ Two documents link when 100 * intersection >= percent * union of their shingle s
 Distances are compared exactly, in integers, where they decide a link. Shingles are 64-bit hashes.
 
 Defined cases: a null text has no words; without words there is no set, no link, and a component of its own; each row of
-a repeated id is a document; a null id joins its class, and the component is the smallest id that is not null.
+a repeated id is a document; a null id joins its class, and the component is the smallest id that is not null. Of each
+component one row stays, also where its rows share an id or have none; a row without words stays.
 """
 
 from __future__ import annotations
@@ -34,9 +35,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 from pyspark.sql.window import Window
 
-from gatecount.llm.common import strings, written
+from gatecount.llm.common import fresh, quoted, strings, written
 from gatecount.llm.graph import components
 
 WIDTH = 3
@@ -386,6 +388,11 @@ def blockwise(regions: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, n_links, for every row of `docs`."""
+    return grouped(docs, percent, width, id_col, text).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def grouped(docs: DataFrame, percent: int, width: int, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """What `classes` gives, with node and with group: one number per component (null without a set)."""
     found = written(sets(docs, width, id_col, text), "sets")
     copies = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
     hoods = components(met(docs, width, percent, text))
@@ -417,23 +424,58 @@ def classes(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col:
     linked = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
     lowest = linked.join(reps, "node").groupBy("label").agg(F.min("rep").alias("component"))
     per_node = (
-        copies.join(linked.join(lowest, "label").select("node", "component"), "node", "left")
+        copies.join(linked.join(lowest, "label").select("node", "component", "label"), "node", "left")
         .join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
         .select(
-            "node", F.coalesce("component", "rep").alias("component"),
+            "node", F.coalesce("label", "node").alias("group"), F.coalesce("component", "rep").alias("component"),
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"),
         )
     )
     full = found.where("node is not null").join(per_node, "node").select(
-        "doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("links").alias("n_links")
+        "doc_id", "n_shingles", F.col("component").alias("component_id"), F.col("links").alias("n_links"), "node", "group"
     )
     bare = found.where("node is null").select(
-        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")
-    )
+        "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"),
+        "node", F.col("node").alias("group"),
+    )
     return full.unionByName(bare)
 
 
 def representatives(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
-    """`docs` without those whose component has a smaller id."""
-    keep = classes(docs, percent, width).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """`docs` with one row of each component, and the rows without words.
+
+    It is the row with the smallest id (null is last), then fingerprint, then text. An id that no other row has names
+    its row; rows of repeated and null ids are told apart by their sets and numbered.
+    """
+    rows = written(grouped(docs, percent, width).select("doc_id", "node", "group"), "grouped")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    chosen = rows.where("node is not null").groupBy("group").agg(first).select("first.doc_id", "first.node")
+    many = written(rows.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "many-ids")
+    own = F.col("doc_id").cast("long")
+    keep = chosen.select("doc_id").unionByName(rows.where("node is null").select("doc_id")).where("doc_id is not null")
+    keep = keep.distinct().join(many, "doc_id", "left_anti").withColumnRenamed("doc_id", "_kept")
+    kept = docs.join(keep, own == F.col("_kept"), "left_semi")
+    if many.isEmpty():
+        return kept
+    shared = docs.join(many.withColumnRenamed("doc_id", "_shared"), own == F.col("_shared"), "left_semi")
+    shared = written(with_node(shared.unionByName(docs.where(own.isNull())), node := fresh(docs, "node"), width), "shared-ids")
+    same = own.eqNullSafe(F.col("_id")) & (F.col(node) == F.col("_node"))
+    ours = shared.join(chosen.select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")), same, "left_semi")
+    number = fresh(shared, "number")
+    numbered = ours.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", node).orderBy("text")))
+    one = numbered.where(F.col(number) == 1).select(*quoted(docs.columns))
+    return kept.unionByName(one).unionByName(shared.where(F.col(node).isNull()).select(*quoted(docs.columns)))
+
+
+def with_node(docs: DataFrame, name: str, width: int) -> DataFrame:
+    """`docs` with the fingerprint of each row's set."""
+    text = fresh(docs, "as_string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, node = _batch_sets(batch.column(batch.num_columns - 1), width)
+            columns = [*batch.columns[:-1], pa.array(node, mask=np.array([not len(s) for s in of], bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], name])
+
+    schema = StructType([*docs.schema.fields]).add(name, LongType())
+    return docs.withColumn(text, F.col("text").cast("string")).mapInArrow(run, schema)

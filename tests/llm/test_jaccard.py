@@ -81,6 +81,25 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert jaccard.classes(docs(spark, [])).collect() == []
 
 
+def test_one_row_of_a_component_stays_whatever_its_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (words(rng, 40, 5000) for _ in range(5))
+    rows = [
+        (1, a), (2, b), (2, b), (2, b),  # repeated rows
+        (5, a), (5, c),  # a copy of a smaller id next to a row that stays
+        (None, a), (None, d), (None, d), (None, e), (None, None), (None, ""),  # null ids, copies among them
+        (7, e.upper()), (8, ""), (9, None), (9, None), (3, d + " end"), (6, c),
+    ]
+    frame = docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])
+    kept = jaccard.representatives(frame, 80, 3)
+    assert kept.columns == frame.columns and kept.schema == frame.schema
+    want = [(1, a), (2, b), (3, d + " end"), (5, c), (7, e.upper()), (8, ""), (9, None), (9, None), (None, None), (None, "")]
+    assert sorted(map(str, want)) == sorted(str((r["doc_id"], r["text"])) for r in kept.collect())
+    nameless = docs(spark, [a, a, a + " end", b], ids=[None] * 4)
+    assert len({r["text"][:20] for r in jaccard.representatives(nameless, 80, 3).collect()}) == 2
+    assert jaccard.representatives(nameless, 80, 3).count() == 2
+
+
 def test_keys_lose_no_link():
     rng = np.random.default_rng(3)
     linked = 0
