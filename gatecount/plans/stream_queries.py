@@ -22,7 +22,7 @@ def _root(spark, name: str) -> str:
 PARTS = 4
 
 
-def _readings(events):
+def _readings(events, *more):
     return events.select(
         F.col("user_id").alias("screening_key"),
         (F.col("user_id") % 5).alias("film_id"),
@@ -30,17 +30,22 @@ def _readings(events):
         F.col("ts").cast("timestamp_ntz").alias("at_ts"),
         F.least(F.floor("value"), F.lit(120)).cast("bigint").alias("sold"),
         F.lit(120).cast("bigint").alias("total"),
+        *more,
     )
 
 
-def _run(spark, sf_dir, root, start):
-    """The events arrive in PARTS parts by event_id; ``start`` is run to the end after each, from its checkpoint."""
+def _run(spark, sf_dir, root, start, arrange=lambda parts: parts, more=()):
+    """The events arrive in PARTS parts by event_id; ``start`` is run to the end after each, from its checkpoint.
+
+    ``arrange`` may change the rows with their ``part``; ``more`` are columns it adds for ``start``.
+    """
     events = V.table(spark, sf_dir, "events")
     after = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    parts = arrange(events.withColumn("part", F.floor(F.col("event_id") * PARTS / after)))
+    schema = parts.drop("part").schema
     for part in range(PARTS):
-        arrived = events.where(F.floor(F.col("event_id") * PARTS / after) == part)
-        arrived.write.mode("append").parquet(f"{root}/in")
-        start(_readings(spark.readStream.schema(events.schema).parquet(f"{root}/in"))).awaitTermination()
+        parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/in")
+        start(_readings(spark.readStream.schema(schema).parquet(f"{root}/in"), *more)).awaitTermination()
 
 
 def stream_sales_ramp(spark, sf_dir):
@@ -64,13 +69,39 @@ def stream_alert(spark, sf_dir):
     return stream.result(spark)
 
 
+def _starts(key: str):
+    """When the show of a user starts."""
+    after = F.expr(f"make_dt_interval(CAST({key} % 40 AS INT), CAST({key} % 7 AS INT))")
+    return F.lit("2024-01-02 20:00:00").cast("timestamp_ntz") + after
+
+
+def arrivals(parts):
+    """`parts` with ``arrived_at``, and with late and far-future rows.
+
+    Every third reading of a show that is not settled before the next part arrives with that part, up to a quarter of
+    all the time late. A part's first reading, if it is on time, comes once more with a clock a year ahead, which no show may count.
+    """
+    at = F.col("ts").cast("timestamp_ntz")
+    begins = parts.groupBy((F.col("part") - 1).alias("part")).agg(F.min(at).alias("next_at"))  # PARTS rows
+    late = (F.col("event_id") % 3 == 0) & (F.col("next_at") <= _starts("user_id"))
+    moved = parts.join(begins, "part", "left").select(
+        *[c for c in parts.columns if c != "part"],
+        F.when(late, F.col("part") + 1).otherwise(F.col("part")).alias("part"),
+        F.when(late, F.col("next_at")).otherwise(at).alias("arrived_at"),
+    )
+    ahead = moved.join(parts.groupBy("part").agg(F.min("event_id").alias("event_id")), ["part", "event_id"])
+    ahead = ahead.withColumn("ts", (at + F.expr("INTERVAL 365 DAYS")).cast(parts.schema["ts"].dataType))
+    return moved.unionByName(ahead)
+
+
 def stream_settle(spark, sf_dir):
-    """Every user is a show with its own start; the stream settles all that are over."""
+    """Every user is a show with its own start; the stream settles all that are over. See `arrivals`."""
     root = _root(spark, "settle")
-    start = F.lit("2024-01-02 20:00:00").cast("timestamp_ntz") + F.expr("make_dt_interval(CAST(screening_key % 40 AS INT), CAST(screening_key % 7 AS INT))")
 
     def begin(readings):
-        rows = readings.select("screening_key", start.alias("starts_at"), F.col("at_ts").alias("event_at"), "seq", "sold", "total")
+        rows = readings.select(
+            "screening_key", _starts("screening_key").alias("starts_at"), F.col("at_ts").alias("event_at"), "seq", "sold", "total", "arrived_at"
+        )
         return (
             settle_stream(rows)
             .writeStream.format("parquet")
@@ -84,7 +115,7 @@ def stream_settle(spark, sf_dir):
     before = spark.conf.get(key)
     spark.conf.set(key, PROVIDER)
     try:
-        _run(spark, sf_dir, root, begin)
+        _run(spark, sf_dir, root, begin, arrivals, ["arrived_at"])
     finally:
         spark.conf.set(key, before)
     out = spark.read.parquet(f"{root}/settled")

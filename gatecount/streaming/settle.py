@@ -90,20 +90,22 @@ class _Settle(StatefulProcessor):
 def settle_stream(
     rows: DataFrame,
     delay: str = "2 hours",
-    clock: str = "event_at",
+    clock: str = "arrived_at",
     grace_minutes: int = rules.SETTLE_GRACE_MINUTES,
     keep_days: int = rules.FOLD_AFTER_DAYS,
 ) -> DataFrame:
-    """Settled rows of a stream with screening_key, starts_at, event_at, seq, sold, total.
+    """Settled rows of a stream with screening_key, starts_at, event_at, seq, sold, total and ``clock``.
 
     ``event_at`` is the reading's time, or for a schedule row (sold null) the time it
     was listed. Readings count in arrival order (``seq``), the newest schedule row says
     when a show starts, and a moved show is settled at its new time.
 
-    ``clock`` names the column that drives the timers. Spark drops rows that are behind
-    it by more than ``delay``, so where readings may come later than that, give the time
-    of arrival: it only grows, and a late reading is then folded like any other. The
-    session must use the RocksDB state store (see ``PROVIDER``).
+    ``clock`` names the column that drives the timers, and them alone: the time of arrival,
+    which only grows. A late reading is then folded like any other while its show is not
+    settled, and one whose own clock is ahead moves nobody's timer. (Spark drops rows whose
+    ``clock`` is behind its newest value by more than ``delay``; with the readings' own
+    times that would be every late reading.) The session must use the RocksDB state store
+    (see ``PROVIDER``).
     """
     timed = rows.select(
         "screening_key",

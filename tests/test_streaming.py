@@ -162,3 +162,16 @@ def test_late_readings_count_and_moved_shows_settle_at_their_new_time(spark, tmp
     ]
     out = settled(spark, tmp_path, batches, clock="arrived_at", delay="0 minutes")
     assert out == {1: (60, 90, "partial"), 2: (60, 90, "partial"), 3: (1, 90, "final")}
+
+
+def test_by_default_only_arrival_moves_the_timers(spark, tmp_path):
+    day = minute(0)
+    batches = [  # key, start, reading at, seq, sold, total, arrived
+        [(1, day, minute(-600), 0, None, None, minute(-600)), (2, day, minute(-600), 1, None, None, minute(-600))],
+        # The clock of key 2 is days ahead; the readings after it are hours late.
+        [(1, day, minute(-500), 2, 10, 90, minute(-500)), (2, day, minute(9000), 3, 90, 90, minute(-499))],
+        [(1, day, minute(-400), 4, 60, 90, minute(-100)), (2, day, minute(-450), 5, 20, 90, minute(-99))],
+        [(1, day, minute(-10), 6, 70, 90, minute(20)), (9, minute(900), minute(30), 7, 1, 90, minute(30))],
+        [(9, minute(900), minute(400), 8, 2, 90, minute(400))],
+    ]
+    assert settled(spark, tmp_path, batches) == {1: (70, 90, "final"), 2: (20, 90, "partial")}
