@@ -1,8 +1,8 @@
 """Personal data: fixed patterns as seeds, and bootstrapped contextual extraction of what they miss.
 
 `base` finds e-mail addresses, IPv4 addresses, card numbers and phone numbers. They are the seeds. A pattern is the two
-words to the left; an instance is a token that looks like an identifier (an at sign, or four digits or more) and that no
-seed covers. Spark scores the graph of patterns and instances in rounds: a pattern is worth the confidence of what
+words left of the word in which an entity starts; an instance is a token between blanks, however long, that looks like an
+identifier (an at sign, or four digits or more) and that no seed touches. Seeds in one word follow its pattern once. Spark scores the graph of patterns and instances in rounds: a pattern is worth the confidence of what
 followed it over everything that followed it in any document, an instance as much as its best pattern, seeds count in
 full. Patterns that end with CONFIDENCE or more and have followed SUPPORT distinct seeds at least
 discover the instances after them, in all documents; the kind is that of most of the pattern's seeds.
@@ -24,6 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatecount.functions.binding import bind
 from gatecount.llm import spans
 from gatecount.llm.common import quoted, text_or_empty, written
 
@@ -34,13 +35,13 @@ IP = r"[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: A token that no blank interrupts and that holds an at sign or four digits.
-TOKEN = r"(?=[^\s]{0,60}?(?:@|(?:[0-9][^\s0-9]{0,2}){4}))[^\s]{4,60}"
+#: A whole token between blanks that holds an at sign or four digits.
+TOKEN = r"(?=[^\s]*?(?:@|(?:[0-9][^\s0-9]{0,2}){4}))[^\s]{4,}+"
 ROUNDS = 3
 CONFIDENCE = 0.8
 SUPPORT = 3
-#: Characters looked at to the left of an entity for its two words.
-LEFT = 120
+#: Characters looked at to the left of an entity for its two words: more if these do not hold them whole, at last all.
+LEFT = (120, 2400, 48_000)
 #: Bits of the table that tells which pairs of words may be patterns: so many per pattern, and at most.
 BITS_EACH, BITS = 16, 1 << 22
 
@@ -70,10 +71,24 @@ def base(text: Column) -> Column:
 
 
 def context(text: Column, span: Column) -> Column:
-    """The two words before a span, in lower case; empty if there are not two."""
-    left = F.substring(text, F.greatest(span["start"] - LEFT + 1, F.lit(1)), F.least(span["start"], F.lit(LEFT)))
-    words = F.regexp_extract(F.lower(left), r"([^\s]+)\s+([^\s]+)\s*$", 0)
-    return F.regexp_replace(F.trim(words), r"\s+", " ")
+    """pattern: the two words before the word in which a span starts, in lower case (empty if there are not two); at:
+    where that word starts."""
+
+    def of(words: Column) -> Column:
+        # The last is what the span's own word has before it, the first may be empty.
+        a, b = (F.coalesce(F.get(words, F.size(words) - k), F.lit("")) for k in (3, 2))
+        pair = F.when((a != "") & (b != ""), F.lower(F.concat_ws(" ", a, b))).otherwise("")
+        own = F.char_length(F.element_at(words, -1))
+        return F.struct(pair.alias("pattern"), (span["start"] - own).alias("at"))
+
+    def within(width: int) -> Column:
+        start = span["start"]
+        left = F.substring(text, F.greatest(start - width + 1, F.lit(1)), F.least(start, F.lit(width)))
+        # The first word may be cut unless the text starts with it.
+        return bind(F.split(left, r"\s+"), lambda w: F.when((start <= width) | (F.size(w) > 3), of(w)))
+
+    whole = bind(F.split(F.substring(text, F.lit(1), span["start"]), r"\s+"), of)
+    return F.coalesce(*[within(width) for width in LEFT], whole)
 
 
 def contexts_of_words(text: Column) -> Column:
@@ -90,7 +105,12 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     with_base = docs.select(*quoted(keep), t.alias("_t")).withColumn("_base", base(F.col("_t")))
     loose = spans.found(F.col("_t"), 0, TOKEN, lambda m: F.lit(True), run=r"\S")
     with_loose = with_base.withColumn("_loose", spans.apart(loose, F.col("_base")))
-    near = lambda found: F.transform(found, lambda s: F.struct(s.alias("span"), context(F.col("_t"), s).alias("pattern")))
+
+    def near(found: Column) -> Column:
+        return F.transform(
+            found, lambda s: bind(context(F.col("_t"), s), lambda c: F.struct(s.alias("span"), c["pattern"].alias("pattern"), c["at"].alias("at")))
+        )
+
     return written(
         with_loose.select(
             F.monotonically_increasing_id().alias("_row"),
@@ -126,15 +146,17 @@ def maybe(patterns: DataFrame) -> Callable[[Column], Column]:
 def patterns(scanned: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """pattern, kind: what the rounds trust in the end."""
     seeds = (
-        scanned.select(F.explode("_seeds").alias("s"))
-        .select("s.pattern", "s.span.kind", F.lower("s.span.value").alias("instance"))
+        scanned.select("_row", F.explode("_seeds").alias("s"))
+        .select("_row", "s.pattern", "s.at", "s.span.kind", F.lower("s.span.value").alias("instance"))
         .where("pattern <> ''")
     )
     per_kind = seeds.groupBy("pattern", "kind").agg(F.count("*").alias("n"))
-    support = seeds.distinct().groupBy("pattern").agg(F.count_distinct("instance").alias("support"))
+    support = seeds.select("pattern", "instance").distinct().groupBy("pattern").agg(F.count("*").alias("support"))
+    in_words = seeds.select("_row", "at", "pattern").distinct().groupBy("pattern").agg(F.count("*").alias("seeds"))
     known = (
         per_kind.groupBy("pattern")
-        .agg(F.sum("n").alias("seeds"), F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
+        .agg(F.max_by("kind", F.struct("n", -F.col("kind"))).alias("kind"))
+        .join(in_words, "pattern")
         .join(support, "pattern")
     )
     known = written(known, "seeded")

@@ -171,6 +171,40 @@ def test_instances_in_documents_without_seeds_vouch_for_patterns(spark):
     assert discovered(spark, texts).keys() == set(range(33, 48))
 
 
+def test_tokens_are_whole_and_contexts_are_not_cut(spark):
+    rng = random.Random(4)
+    seeded = [f"{words(rng, 8)} write to me{i}@mail.example.com {words(rng, 4)}" for i in range(30)]
+    long, late = "u" * 80 + "1234567", "https://" + "p/" * 500 + "1234567"
+    texts = seeded + [f"we write to {long} now", f"we write to {late} now", f"we write to <{'7' * 9}>\n"]
+    assert discovered(spark, texts) == {30: [long], 31: [late], 32: [f"<{'7' * 9}>"]}
+    lead = f"{'x' * 100} {'Y' * 3000}"
+    seeded = [f"so {lead} me{i}@mail.example.com" for i in range(5)]
+    assert discovered(spark, seeded + [f"so {lead} 12345678"]) == {5: ["12345678"]}
+    assert discovered(spark, seeded + [f"so {lead} else"] * 40 + [f"so {lead} 12345678"]) == {}
+
+
+def test_contexts_are_words_that_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LEFT", (3, 9))
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["a", "Bé", "ΟΣ", "😀", " ", " ", "\n", "\t ", "12345", "m@x.org", "(m@x.org)"]) for _ in range(30)) for _ in range(200)]
+    rows = pii.scan(docs(spark, texts), ["doc_id"]).collect()
+    counted = by_id(docs(spark, texts).select("doc_id", pii.contexts_of_words(F.col("text")).alias("c")), "c")
+    n = 0
+    for r in rows:
+        starts = [m.start() for m in re.finditer(r"[^ \n\t]+", texts[r["doc_id"]])]
+        for s in r["_seeds"] + r["_loose"]:
+            word = max(k for k, at in enumerate(starts) if at <= s["span"]["start"])
+            assert s["at"] == starts[word]
+            assert s["pattern"] == (counted[r["doc_id"]][0][word - 2] if word >= 2 else "")
+            n += 1
+    assert n > 500
+
+
+def test_seeds_of_one_word_follow_its_pattern_once(spark):
+    texts = ["we write to a@b.org,c@d.org,e@f.org,g@h.org,i@j.org now", *["we write to nobody now"] * 3, "we write to 12345678 now"]
+    assert discovered(spark, texts) == {}
+
+
 def test_table_of_bits_holds_every_pattern(spark, monkeypatch):
     held = spark.createDataFrame([(f"word {i}",) for i in range(500)], "pattern string")
     others = spark.createDataFrame([(f"other {i}",) for i in range(2000)], "pattern string")
