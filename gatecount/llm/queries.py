@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatecount.llm import bpe, jaccard, packing, pii, quality, secret_scan, sharding, spans, suffixes, topk, urls
+from gatecount.llm import (
+    bpe, fill_middle, jaccard, packing, pii, quality, secret_scan, sharding, spans, suffixes, topk, urls, vector_codes, word_bpe,
+)
 from gatecount.llm.common import documents, written
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -106,6 +108,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    coded, books = vector_codes.compressed(vectors, ["vec_id", "label"])
+    summed = vector_codes.with_sums(coded, "label", "error", "label_error")
+    return summed.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = word_bpe.encode_and_decode(documents(spark, sf_dir), WORD_TOKENIZER, ["doc_id"])
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transformed(documents(spark, sf_dir), F.col("doc_id"), ["doc_id"])
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fill_middle.restored(), 256).alias("restored_sha256"),
+    )
+
+
 OP5_SQL = f"""
 WITH parsed AS (
   SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{urls.CAPITALS}', '{urls.SMALL}') AS host,
@@ -179,6 +207,76 @@ FROM sets LEFT JOIN degree ON x = doc_id
 """
 
 
+OP11_PARTS, OP11_ENTRIES, OP11_ROUNDS = 8, 16, 6
+OP11_START = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v, len(embedding) // {OP11_PARTS} AS width,
+         row_number() OVER (ORDER BY vec_id) AS place
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+components AS MATERIALIZED (
+  SELECT vec_id, place, i // width AS part, i % width AS spot, v[i + 1] AS x FROM (SELECT *, unnest(range(len(v))) AS i FROM kept)
+),
+book0 AS MATERIALIZED (SELECT part, place - 1 AS entry, spot, x FROM components WHERE place <= {OP11_ENTRIES})"""
+OP11_NEAREST = f"""
+nearest{{r}} AS MATERIALIZED (
+  SELECT vec_id, part, min(d * {OP11_ENTRIES} + entry) AS best FROM (
+    SELECT vec_id, part, entry, sum((c.x - b.x) * (c.x - b.x)) AS d
+    FROM components c JOIN book{{r}} b USING (part, spot) GROUP BY vec_id, part, entry
+  ) GROUP BY vec_id, part
+)"""
+OP11_MEANS = f"""
+book{{next}} AS MATERIALIZED (
+  SELECT part, entry, spot, coalesce(mean, x) AS x FROM book{{r}} LEFT JOIN (
+    SELECT part, (best % {OP11_ENTRIES})::BIGINT AS entry, spot, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS mean
+    FROM components JOIN nearest{{r}} USING (vec_id, part) GROUP BY part, best % {OP11_ENTRIES}, spot
+  ) USING (part, entry, spot)
+)"""
+OP11_END = f"""
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', (best % {OP11_ENTRIES})::BIGINT), '' ORDER BY part) AS code,
+         sum(best // {OP11_ENTRIES})::BIGINT AS error
+  FROM nearest{OP11_ROUNDS} GROUP BY vec_id
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, entry, spot)) FROM book{OP11_ROUNDS}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+"""
+OP11_SQL = ",".join(
+    [OP11_START]
+    + [step.format(r=r, next=r + 1) for r in range(OP11_ROUNDS) for step in (OP11_NEAREST, OP11_MEANS)]
+    + [OP11_NEAREST.format(r=OP11_ROUNDS), OP11_END]
+)
+
+OP13_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units
+  FROM documents
+),
+numbered AS (
+  SELECT doc_id, t, units, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS c2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4
+  FROM drawn
+),
+parted AS (
+  SELECT doc_id, t, n, array_to_string(units[:least(c1, c2)], '') AS p, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(units[greatest(c1, c2) + 1:], '') AS s,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+              WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM numbered
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+              ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parted
+"""
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -196,7 +294,12 @@ QUERIES = {
     "op8_jaccard": op8_jaccard,
     "op9_suffixes": op9_suffixes,
     "op10_sharding": op10_sharding,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_word_bpe": op12_word_bpe,
+    "op13_fill_middle": op13_fill_middle,
     "pipeline": pipeline,
 }
-#: SQL says the same for these three; the others are tested against plain loops over small tables.
-ORACLES: dict[str, str] = {"op5_urls": OP5_SQL, "op6_topk": OP6_SQL, "op8_jaccard": OP8_SQL}
+#: SQL says the same for these; the others are tested against plain loops over small tables.
+ORACLES: dict[str, str] = {
+    "op5_urls": OP5_SQL, "op6_topk": OP6_SQL, "op8_jaccard": OP8_SQL, "op11_vector_codes": OP11_SQL, "op13_fill_middle": OP13_SQL,
+}
