@@ -76,7 +76,7 @@ def compare(spark, con, sf_dir, query, sql) -> tuple[bool, str]:
 
 
 def main(argv: list[str]) -> int:
-    from gatecount.plans import registry
+    import __spark_entry__
     from gatecount.session import session
 
     sf = "sf0.01"
@@ -84,7 +84,7 @@ def main(argv: list[str]) -> int:
         sf, argv = argv[0], argv[1:]
     sf_dir = f"/root/testdata/{sf}"
     spark, con = session("oracle", 8), connect(sf_dir)
-    queries, oracles = registry.queries(), registry.oracles()
+    queries, oracles = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     failed = 0
     for name in argv or queries:
         t = time.time()
