@@ -13,6 +13,7 @@ MODULES = (
     "markup_queries",
     "stream_queries",
     "composite_queries",
+    "maintenance_queries",
 )
 
 
