@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gatecount.functions import text as X
 from gatecount.functions import times as T
+from gatecount.operators import arrival
 from gatecount.operators import resolve as E
 from gatecount.operators.ordered import top_per_key
 from gatecount.plans import views as V
@@ -40,6 +41,19 @@ def resolved_catalogue(spark, sf_dir):
     return films.select("film_id", "match_key", "tight_key", "local_key", "original_title")
 
 
+def _in_order(spark, sf_dir):
+    return arrival.resolve_in_order(V.titles(spark, sf_dir), V.catalogue(spark, sf_dir), _aliases(spark, sf_dir))
+
+
+def resolve_in_order(spark, sf_dir):
+    """Every title under its film as a matcher finds it that takes one title after the other."""
+    return _in_order(spark, sf_dir)[0]
+
+
+def catalogue_in_order(spark, sf_dir):
+    return _in_order(spark, sf_dir)[1].select("film_id", "match_key", "tight_key", "local_key", "original_title")
+
+
 def _report_lines(spark, sf_dir):
     """Stored report lines under both spellings; some unlinked, some linked to a wrong film."""
     rows = V.titles(spark, sf_dir)
@@ -276,6 +290,8 @@ QUERIES = {
         film_identity,
         resolve_entities,
         resolved_catalogue,
+        resolve_in_order,
+        catalogue_in_order,
         relink,
         first_wins_lookup,
         duplicate_map,
@@ -329,6 +345,35 @@ def _resolve(tail: str) -> str:
     return with_views("vt", "vc", recursive=True, body=_RESOLVE + tail)
 
 
+# One title after the other: the films so far are lists in the order of their ids, and each step looks one title up.
+_IN_ORDER = """, al AS (
+  SELECT 'a:' || p_partkey AS alias_key, vc.film_id FROM part JOIN vc ON vc.local_key = lower(p_name || ' ' || p_size) WHERE p_type = 'ECONOMY'),
+known AS (SELECT list(film_id ORDER BY film_id) AS films FROM vc),
+queue AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY position) AS n, * FROM vti WHERE alias_key NOT IN (SELECT alias_key FROM al)),
+run(k, n, m, t, l, o, ids) USING KEY (k) AS (
+  SELECT 1, 0::BIGINT, list(match_key ORDER BY film_id), list(tight_key ORDER BY film_id), list(local_key ORDER BY film_id),
+         list(coalesce(original_title, '') ORDER BY film_id), []::BIGINT[] FROM vc
+  UNION
+  SELECT 1, n,
+         CASE WHEN i IS NULL THEN list_append(m, match_key) WHEN teach THEN m[:i - 1] || [match_key] || m[i + 1:] ELSE m END,
+         CASE WHEN i IS NULL THEN list_append(t, tight_key) WHEN teach THEN t[:i - 1] || [tight_key] || t[i + 1:] ELSE t END,
+         CASE WHEN i IS NULL THEN list_append(l, local_key) ELSE l END,
+         CASE WHEN i IS NULL THEN list_append(o, coalesce(original_title, '')) WHEN teach THEN o[:i - 1] || [original_title] || o[i + 1:] ELSE o END,
+         list_append(ids, coalesce(i, len(m) + 1))
+  FROM (SELECT *, o[i] = '' AND original_title IS NOT NULL AS teach FROM (
+    SELECT q.n, q.match_key, q.tight_key, q.local_key, q.original_title, r.m, r.t, r.l, r.o, r.ids,
+           coalesce(nullif(list_position(m, match_key), 0), nullif(list_position(t, tight_key), 0), nullif(list_position(l, local_key), 0)) AS i
+    FROM run r JOIN queue q ON q.n = r.n + 1))
+),
+found AS (SELECT unnest(range(1, len(ids) + 1)) AS n, unnest(ids) AS i FROM run),
+numbered AS (SELECT n, CASE WHEN i <= len(films) THEN films[i] ELSE films[-1] + i - len(films) END AS film_id FROM found, known)"""
+
+
+def _in_order_sql(tail: str) -> str:
+    return with_views("vt", "vc", recursive=True, body=_IN_ORDER + tail)
+
+
 _LOCAL = "lower(p_name) || ' ' || (p_size % 10)"
 _ORIGINAL = "CASE WHEN p_partkey % 4 = 3 THEN 'The ' || p_name END"
 _INIT = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
@@ -342,6 +387,14 @@ dm AS (SELECT film_id, min(film_id) OVER (PARTITION BY local_key) AS survivor_id
 _CHANGED = "o_orderdate + INTERVAL 20 HOUR + to_minutes(o_orderkey % 2 * 600)"
 
 ORACLES = {
+    "resolve_in_order": _in_order_sql(
+        " SELECT position, alias_key, coalesce(al.film_id, numbered.film_id) AS film_id"
+        " FROM vti LEFT JOIN al USING (alias_key) LEFT JOIN queue USING (position, alias_key) LEFT JOIN numbered USING (n)"
+    ),
+    "catalogue_in_order": _in_order_sql(
+        " SELECT CASE WHEN i <= len(films) THEN films[i] ELSE films[-1] + i - len(films) END AS film_id, m[i] AS match_key, t[i] AS tight_key,"
+        " l[i] AS local_key, nullif(o[i], '') AS original_title FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM run), known"
+    ),
     "normalize_title": with_views("vt", body=" SELECT position, local_key AS normalized FROM vti"),
     "film_identity": with_views("vt", body=" SELECT position, match_key, tight_key, local_key, title, original_title FROM vti"),
     "resolve_entities": _resolve(
