@@ -15,21 +15,18 @@ def sales_ramp(spark, sf_dir):
 
 
 def hold_confirm(spark, sf_dir):
-    return R.hold_confirm(V.readings(spark, sf_dir)).select(
-        "seq", "screening_key", "sold", "outcome"
-    )
+    rows = V.readings(spark, sf_dir).select("seq", "screening_key", "sold", "total")
+    return R.hold_confirm(rows).drop("total")
 
 
 def closed_guard(spark, sf_dir):
-    return R.closed_guard(V.readings(spark, sf_dir)).select(
-        "seq", "screening_key", "sold", "outcome"
-    )
+    rows = V.readings(spark, sf_dir).select("seq", "screening_key", "sold", "total")
+    return R.closed_guard(rows).drop("total")
 
 
 def confirmed_ramp(spark, sf_dir):
     """Increments over recorded readings only: the held ones never enter the ramp."""
-    kept = R.hold_confirm(V.readings(spark, sf_dir)).where("outcome = 'recorded'")
-    return R.sales_ramp(kept.drop("outcome"))
+    return R.confirmed_ramp(V.readings(spark, sf_dir))
 
 
 def ramp_totals(spark, sf_dir):
