@@ -8,7 +8,8 @@ is between the list's end and its frontier. Reading goes deeper, round by round,
 above what any candidate outside a short list can still reach; the short list's scores are then resolved. Bounds for
 all queries of a group are two matrix products per round.
 
-Scores are sums of integers and exact: in double precision while they stay below 2**53, in 64-bit integers otherwise.
+Scores are sums of integers and exact: in double precision while they stay below 2**53, in 64-bit integers below 2**63,
+in unbounded integers beyond. A score among the best that does not fit a long is an error.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, as queries or
 candidates; vectors of different length are compared only with their like; rows that share the query's id are not its
@@ -75,7 +76,7 @@ def group_top(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids
             done = (left.sum(axis=1) <= SHORT_LIST * k) | (depth == n)
             q, c = np.nonzero(left & done[:, None])
             if len(q):
-                found = _scores(some[waiting[q]], block[c], exact_float)
+                found = _scores(some[waiting[q]], block[c], big)
                 out.extend(zip(some_ids[waiting[q]].tolist(), ids[c].tolist(), found.tolist()))
             waiting = waiting[~done]
             if not len(waiting):
@@ -83,15 +84,23 @@ def group_top(queries: np.ndarray, query_ids: np.ndarray, block: np.ndarray, ids
     return out
 
 
-def _scores(a: np.ndarray, b: np.ndarray, exact_float: bool) -> np.ndarray:
-    if exact_float:
+def _scores(a: np.ndarray, b: np.ndarray, big: float) -> np.ndarray:
+    """Exact products of rows; `big` is above every score and partial sum."""
+    if big < 2**53:
         return np.einsum("ij,ij->i", a, b).astype(np.int64)
-    return (a.astype(np.int64) * b.astype(np.int64)).sum(axis=1)
+    if big < 2**62:
+        return (a.astype(np.int64) * b.astype(np.int64)).sum(axis=1)
+    found = [sum(int(x) * int(y) for x, y in zip(p, q)) for p, q in zip(a.tolist(), b.tolist())]
+    if any(not -(2**63) <= s < 2**63 for s in found):
+        raise ValueError("a score does not fit a 64-bit integer")
+    return np.array(found, np.int64)
 
 
 def search(vectors: DataFrame, queries: Column, k: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row of `vectors` that `queries` selects, its k best other rows."""
-    scaled = F.transform(F.col(f"`{vector}`"), lambda x: F.floor(x.cast("double") * SCALE).cast("double"))
+    # Beyond 2**53 a double is whole as it is, and floor(), which gives a long, would saturate.
+    whole = lambda y: F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+    scaled = F.transform(F.col(f"`{vector}`"), lambda x: whole(x.cast("double") * SCALE))
     rows = written(
         vectors.where(usable(F.col(f"`{vector}`")) & F.col(f"`{id_col}`").isNotNull()).select(
             F.col(f"`{id_col}`").cast("long").alias("id"), scaled.alias("v"), F.coalesce(queries, F.lit(False)).alias("asks")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from gatecount.llm import topk
@@ -38,11 +39,21 @@ def test_equals_all_scores(spark, monkeypatch):
 def test_few_candidates_large_values_and_none(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0, 4.0]), (5, [-1.0, 0.5])]
     assert search(spark, rows) == plain(rows, lambda q: q % 5 == 0, 5)
-    big = [(i, [float(2**26 + i), -float(2**25)]) for i in range(6)]
-    assert search(spark, big, 2) == plain(big, lambda q: q % 5 == 0, 2)
     assert search(spark, []) == set()
 
 
+def test_large_scores_are_exact_or_an_error(spark):
+    for power in (19, 21, 22):  # scores around 2**54, 2**58 and 2**60
+        big = [(i, [float(2**power + i), -float(2 ** (power - 1)), i / 256]) for i in range(6)]
+        assert search(spark, big, 2) == plain(big, lambda q: q % 5 == 0, 2)
+    # Far above 2**63 term by term, yet the scores fit.
+    far = [(0, [2.0**40, 2.0**40, 1.0]), (1, [2.0**40, -(2.0**40), 3.0]), (2, [-(2.0**40), 2.0**40, 2.0])]
+    assert search(spark, far, 2) == plain(far, lambda q: q % 5 == 0, 2)
+    for x in (2.0**26, 1e30):
+        with pytest.raises(Exception, match="does not fit"):
+            search(spark, [(i, [x, -x / 2]) for i in range(6)], 2)
+
+
 def test_bounds_hold_at_every_depth():
     rng = np.random.default_rng(2)
     block = np.floor(rng.normal(0, 60, (200, 8)))
