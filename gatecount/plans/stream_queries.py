@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from gatecount.plans import views as V
 from gatecount.plans.readings_queries import ORACLES as READINGS
 from gatecount.plans.views import with_views
 from gatecount.session import checkpoint_root
-from gatecount.streaming.ramp import AlertStream, RampStream
+from gatecount.streaming import ramp as S
 from gatecount.streaming.settle import PROVIDER, settle_stream
 
 
@@ -48,25 +49,51 @@ def _run(spark, sf_dir, root, start, arrange=lambda parts: parts, more=()):
         start(_readings(spark.readStream.schema(schema).parquet(f"{root}/in"), *more)).awaitTermination()
 
 
+@contextmanager
+def _state_store(spark):
+    """Keyed state needs the RocksDB store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PROVIDER)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _sales(spark, sf_dir, name: str, confirm: bool):
+    root = _root(spark, name)
+    with _state_store(spark):
+        _run(spark, sf_dir, root, lambda readings: S.write(S.sales_stream(readings, confirm), root, "kind"))
+    return S.ramp(spark, root)
+
+
 def stream_sales_ramp(spark, sf_dir):
-    root = _root(spark, "ramp")
-    stream = RampStream(root, confirm=False, merge_every=3)
-    _run(spark, sf_dir, root, stream.start)
-    return stream.result(spark)
+    return _sales(spark, sf_dir, "ramp", False)
 
 
 def stream_confirmed_ramp(spark, sf_dir):
-    root = _root(spark, "confirmed")
-    stream = RampStream(root, merge_every=3)
-    _run(spark, sf_dir, root, stream.start)
-    return stream.result(spark)
+    return _sales(spark, sf_dir, "confirmed", True)
+
+
+def stream_looks(spark, sf_dir):
+    """Per part and show the newest reading's outcome and the next look; shows long over are read on and never folded."""
+    root = _root(spark, "looks")
+
+    def begin(readings):
+        rows = readings.withColumn("starts_at", _starts("screening_key"))
+        return S.write(S.sales_stream(rows, clock="at_ts", delay="0 seconds", keep_days=10_000), root, "kind")
+
+    with _state_store(spark):
+        _run(spark, sf_dir, root, begin)
+    return S.looks(spark, root)
 
 
 def stream_alert(spark, sf_dir):
     root = _root(spark, "alerts")
-    stream = AlertStream(root, merge_every=3)
-    _run(spark, sf_dir, root, stream.start)
-    return stream.result(spark)
+    with _state_store(spark):
+        _run(spark, sf_dir, root, lambda readings: S.write(S.rings_stream(readings), root))
+    return S.read(spark, root, S.RINGS)
 
 
 def _starts(key: str):
@@ -111,20 +138,15 @@ def stream_settle(spark, sf_dir):
             .start()
         )
 
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key)
-    spark.conf.set(key, PROVIDER)
-    try:
+    with _state_store(spark):
         _run(spark, sf_dir, root, begin, arrivals, ["arrived_at"])
-    finally:
-        spark.conf.set(key, before)
     out = spark.read.parquet(f"{root}/settled")
     return out.select(
         "screening_key", "sold", "total", "confidence", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("captured_at", "settled_at")]
     )
 
 
-QUERIES = {f.__name__: f for f in (stream_sales_ramp, stream_confirmed_ramp, stream_alert, stream_settle)}
+QUERIES = {f.__name__: f for f in (stream_sales_ramp, stream_confirmed_ramp, stream_looks, stream_alert, stream_settle)}
 
 ORACLES = {
     "stream_sales_ramp": READINGS["sales_ramp"],
@@ -146,6 +168,16 @@ ORACLES = {
             FROM fold LEFT JOIN bt ON bt.screening_key = fold.screening_key AND bt.part = fold.part WHERE fold.part < {PARTS}) f)
         SELECT DISTINCT screening_key, ring_at, ring_value FROM fold WHERE ring_at IS NOT NULL""",
     ),
+    "stream_looks": with_views(
+        "vr",
+        body=f""", j AS (
+          SELECT *, seq * {PARTS} // (SELECT max(seq) + 1 FROM vr) AS part, TIMESTAMP '2024-01-02 20:00:00' + to_days(CAST(screening_key % 40 AS INTEGER)) + to_hours(screening_key % 7) AS starts_at,
+                 CASE WHEN sold >= total AND NOT coalesce(lag(sold >= total) OVER (PARTITION BY screening_key ORDER BY seq), false) THEN 'held' ELSE 'recorded' END AS outcome FROM vr),
+        n AS (SELECT *, epoch(starts_at) - epoch(at_ts) AS ahead FROM j QUALIFY row_number() OVER (PARTITION BY screening_key, part ORDER BY seq DESC) = 1),
+        c AS (SELECT *, at_ts + to_minutes(CASE WHEN ahead <= 7200 THEN 10 WHEN ahead <= 43200 THEN 30 WHEN ahead <= 172800 THEN 120 ELSE 720 END) AS candidate, starts_at - INTERVAL 5 MINUTE AS last_chance FROM n),
+        l AS (SELECT *, CASE WHEN ahead > 0 THEN CASE WHEN candidate > last_chance THEN greatest(at_ts, last_chance) ELSE candidate END END AS look FROM c)
+        SELECT screening_key, seq, outcome, CASE WHEN outcome = 'held' AND look IS NOT NULL THEN least(look, at_ts + INTERVAL 5 MINUTE) ELSE look END AS look_at FROM l""",
+    ),
     "stream_settle": with_views(
         "vr",
         body=""", s AS (

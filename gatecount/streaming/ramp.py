@@ -1,160 +1,222 @@
-"""Streaming hourly sales with hold-and-confirm, and streaming alerts.
+"""Streaming hourly sales with hold-and-confirm and looks, and streaming alerts, on Spark's keyed state.
 
-Both run the batch operators on every micro-batch. What has to be remembered per
-key is small: the last reading taken and the last one recorded, or the last ring.
-It joins the batch as ordinary rows, so a hot key is cut into segments inside a
-micro-batch exactly as in batch, and no Python worker takes part.
+What a key has to remember is a handful of numbers in one value state: the last reading taken, whether it was full, the
+last value recorded; or the last ring. Spark's state store keeps it per micro-batch and restores it after a failure, and
+the results go through Spark's file sink, whose commit log lets a repeated micro-batch count once. Readers sum or pick
+from the files (`ramp`, `looks`, `rings`).
 
-Differences are taken in arrival order and booked to the hour of the reading, so
-late readings are never dropped.
+Readings count in arrival order (``seq``, which grows with arrival) and are booked to the hour of the reading, so late
+ones are never dropped; one that was taken before is passed over. A key's readings of one micro-batch are put in order
+in one task: how many that can be is bounded by the source's rows per trigger.
+
+Where shows have a start, an event-time timer on the time of arrival fires when a look is due (and again at the regular
+pace until the start, should no reading follow), and the state of a show goes when it is folded. The session must use
+the RocksDB state store (`gatecount.streaming.settle.PROVIDER`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from gatecount import rules
-from gatecount.functions import times as T
-from gatecount.operators import readings as R
-from gatecount.operators.ordered import SEGMENT_ROWS
-from gatecount.streaming.epochs import EpochTable
 
 ROW = ("screening_key", "film_id", "seq", "at_ts", "sold", "total")
-CARRY = (
-    "screening_key bigint, film_id bigint, seq bigint, at_ts timestamp_ntz, sold bigint, total bigint, "
-    "outcome string"
-)
-RAMP = "hour timestamp_ntz, film_id bigint, sold bigint"
+MINUTE = 60_000_000
+HOUR = 60 * MINUTE
+DAY = 24 * HOUR
+#: kind 'sale': hour, film_id, sold. 'look': the newest reading of a micro-batch, its outcome and the next look.
+#: 'due': a look whose time has come.
+OUTPUT = "kind string, screening_key bigint, film_id bigint, hour timestamp_ntz, sold bigint, seq bigint, outcome string, look_at timestamp_ntz"
+STATE = "seq bigint, full boolean, value bigint, starts_us bigint, look_us bigint"
 RINGS = "screening_key bigint, ring_at timestamp_ntz, ring_value bigint"
 
 
-def _newest_rows(rows: DataFrame) -> DataFrame:
-    """Of each key the rows of its newest version (two at most)."""
-    newest = F.max("_version").over(Window.partitionBy("screening_key"))
-    return rows.withColumn("_newest", newest).where("_version = _newest").drop("_newest", "_version")
+def next_look(starts: int, now: int) -> int | None:
+    """`gatecount.functions.times.next_look` for one show, in microseconds."""
+    ahead = starts - now
+    if ahead <= 0:
+        return None
+    pace = next((step for within, step in rules.LOOK_TIERS if ahead <= within * MINUTE), rules.FAR_LOOK_MINUTES)
+    candidate, last_chance = now + pace * MINUTE, starts - rules.LAST_LOOK_LEAD_MINUTES * MINUTE
+    return max(now, last_chance) if candidate > last_chance else candidate
+
+
+def recheck_look(starts: int, now: int) -> int | None:
+    regular = next_look(starts, now)
+    return None if regular is None else min(regular, now + rules.RECHECK_MINUTES * MINUTE)
+
+
+def _frame(rows: list[tuple], columns: list[str], times: tuple[str, ...]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    for c in times:
+        out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
+    return out
+
+
+def _whole(rows: Iterator[pd.DataFrame], after: int) -> pd.DataFrame:
+    """A key's readings of the micro-batch in arrival order, without those taken before."""
+    read = pd.concat([*rows])
+    return read[read["seq"] > after].drop_duplicates("seq").sort_values("seq")
+
+
+class _Sales(StatefulProcessor):
+    def __init__(self, confirm: bool, keep_us: int):
+        self.confirm, self.keep_us = confirm, keep_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seq, was_full, value, starts, look = self.last.get() if self.last.exists() else (-1, False, None, None, None)
+        read = _whole(rows, seq)
+        if not len(read):
+            return
+        sold, total = read["sold"].to_numpy(np.int64), read["total"].to_numpy(np.int64)
+        full = (total > 0) & (sold >= total)
+        held = full & ~np.concatenate(([was_full], full[:-1])) if self.confirm else np.zeros(len(full), bool)
+        taken = read[~held]
+        counts = sold[~held]
+        if len(counts):
+            before = np.concatenate(([counts[0] if value is None else value], counts[:-1]))
+            rise = np.maximum(counts - before, 0)
+            hours = taken["at_us"].to_numpy(np.int64) // HOUR * HOUR
+            booked = pd.DataFrame({"hour": hours, "film_id": taken["film_id"].to_numpy(), "sold": rise})
+            booked = booked[booked["sold"] > 0].groupby(["hour", "film_id"], as_index=False)["sold"].sum()
+            value = int(counts[-1])
+            if len(booked):
+                out = [("sale", key[0], f, h, s, None, None, None) for h, f, s in booked.itertuples(index=False)]
+                yield self._out(out)
+        newest = read.iloc[-1]
+        told = read["starts_us"].dropna()
+        new_starts = int(told.iloc[-1]) if len(told) else starts
+        at, outcome = int(newest["at_us"]), "held" if held[-1] else "recorded"
+        new_look = None if new_starts is None else (recheck_look if held[-1] else next_look)(new_starts, at)
+        self._timers(starts, look, new_starts, new_look)
+        self.last.update((int(newest["seq"]), bool(full[-1]), value, new_starts, new_look))
+        if new_starts is not None:
+            yield self._out([("look", key[0], int(newest["film_id"]), None, None, int(newest["seq"]), outcome, new_look)])
+
+    def _out(self, rows: list[tuple]) -> pd.DataFrame:
+        columns = ["kind", "screening_key", "film_id", "hour", "sold", "seq", "outcome", "look_at"]
+        out = _frame(rows, columns, ("hour", "look_at"))
+        return out.astype({"film_id": "Int64", "sold": "Int64", "seq": "Int64"})
+
+    def _timers(self, starts, look, new_starts, new_look) -> None:
+        """One timer for the look and one for the fold; both move when what they stand for moves."""
+        for old, new in ((look, new_look), (None if starts is None else starts + self.keep_us, None if new_starts is None else new_starts + self.keep_us)):
+            if old != new:
+                if old is not None:
+                    self.handle.deleteTimer(-(-old // 1000))
+                if new is not None:
+                    self.handle.registerTimer(-(-new // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        fired = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.last.exists():
+            return
+        seq, full, value, starts, look = self.last.get()
+        if fired >= -(-(starts + self.keep_us) // 1000):
+            self.last.clear()
+        elif look is not None and fired == -(-look // 1000):
+            # No reading has come: the next try follows at the regular pace.
+            again = next_look(starts, max(look, timerValues.getCurrentWatermarkInMs() * 1000))
+            self.last.update((seq, full, value, starts, again))
+            if again is not None and again > look:
+                self.handle.registerTimer(-(-again // 1000))
+            yield self._out([("due", key[0], None, None, None, seq, None, look)])
+
+    def close(self) -> None:
+        pass
+
+
+class _Rings(StatefulProcessor):
+    def __init__(self, step: int, quiet_us: int):
+        self.step, self.quiet_us = step, quiet_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getValueState("ring", "seq bigint, at_us bigint, value bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seq, at, value = self.ring.get() if self.ring.exists() else (-1, None, None)
+        # Only the newest reading counts, so chunks need no order.
+        newest = max(((int(c["seq"].iloc[i]), int(c["at_us"].iloc[i]), int(c["sold"].iloc[i])) for c in rows if len(c) for i in [c["seq"].to_numpy().argmax()]))
+        if newest[0] <= seq:
+            return
+        rings = at is None or (newest[2] - value >= self.step and newest[1] - at >= self.quiet_us)
+        self.ring.update(newest if rings else (newest[0], at, value))
+        if rings:
+            yield _frame([(key[0], newest[1], newest[2])], ["screening_key", "ring_at", "ring_value"], ("ring_at",))
+
+    def close(self) -> None:
+        pass
+
+
+def _timed(readings: DataFrame, *columns: str) -> DataFrame:
+    return readings.select(*columns, F.unix_micros(F.col("at_ts").cast("timestamp")).alias("at_us"))
+
+
+def sales_stream(
+    readings: DataFrame, confirm: bool = True, clock: str | None = None, delay: str = "2 hours", keep_days: int = rules.FOLD_AFTER_DAYS
+) -> DataFrame:
+    """Rows of ``OUTPUT`` for a stream of readings with the columns of ``ROW``.
+
+    ``confirm``: a full plan counts when it is seen twice in a row. With ``clock``, the name of the column with the time
+    of arrival, readings also carry ``starts_at`` (null where unknown): looks are then planned and fall due, and a show
+    is forgotten ``keep_days`` after its start.
+    """
+    columns = ["screening_key", "film_id", "seq", "sold", "total"]
+    mode = "None"
+    if clock is None:
+        rows = _timed(readings, *columns).withColumn("starts_us", F.lit(None).cast("bigint"))
+    else:
+        mode = "EventTime"
+        timed = readings.withColumns({"clock": F.col(clock).cast("timestamp"), "starts_us": F.unix_micros(F.col("starts_at").cast("timestamp"))})
+        rows = _timed(timed, *columns, "starts_us", "clock").withWatermark("clock", delay)
+    return rows.groupBy("screening_key").transformWithStateInPandas(
+        statefulProcessor=_Sales(confirm, keep_days * DAY), outputStructType=OUTPUT, outputMode="append", timeMode=mode
+    )
+
+
+def rings_stream(readings: DataFrame, step: int = rules.ALERT_STEP, quiet_minutes: int = rules.ALERT_QUIET_MINUTES) -> DataFrame:
+    """Rings: the first sight, then a rise of ``step`` since the last ring and a quiet time over.
+
+    One check per micro-batch: of each key only its newest reading counts, as for a reader who looks at every refresh.
+    """
+    rows = _timed(readings, "screening_key", "seq", "sold")
+    return rows.groupBy("screening_key").transformWithStateInPandas(
+        statefulProcessor=_Rings(step, quiet_minutes * MINUTE), outputStructType=RINGS, outputMode="append", timeMode="None"
+    )
 
 
-def _summed(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("hour", "film_id").agg(F.sum("sold").cast("bigint").alias("sold"))
+def write(rows: DataFrame, root: str, by: str | None = None, **trigger) -> StreamingQuery:
+    """To Parquet files under ``root``, through Spark's file sink."""
+    writer = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+    return (writer.partitionBy(by) if by else writer).trigger(**(trigger or {"availableNow": True})).start()
 
 
-class RampStream:
-    """Readings in, hourly sales out.
+def read(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """What the stream has written and committed so far."""
+    return spark.read.schema(schema).parquet(f"{root}/out")
 
-    The readings stream has the columns of ``ROW``; ``seq`` grows with arrival. What is
-    remembered of a key stays until the key is folded: ``folded`` returns the folded
-    keys (screening_key), and their rows go at the next merge. No clock takes part, so
-    neither a long pause nor a wrong clock loses a sale.
-    """
 
-    def __init__(
-        self,
-        root: str,
-        confirm: bool = True,
-        folded: Callable[[SparkSession], DataFrame] | None = None,
-        segment_rows: int = SEGMENT_ROWS,
-        merge_every: int = 16,
-    ):
-        self.root, self.confirm, self.folded, self.segment_rows = root, confirm, folded, segment_rows
-        self.carry = EpochTable(root, "carry", CARRY, self._alive, merge_every)
-        self.ramp = EpochTable(root, "ramp", RAMP, _summed, merge_every)
-
-    def _alive(self, rows: DataFrame) -> DataFrame:
-        newest = _newest_rows(rows)
-        if self.folded is None:
-            return newest
-        return newest.join(self.folded(rows.sparkSession).select("screening_key"), "screening_key", "left_anti")
-
-    def start(self, readings: DataFrame, **trigger) -> StreamingQuery:
-        return (
-            readings.select(*ROW)
-            .writeStream.foreachBatch(self._step)
-            .option("checkpointLocation", f"{self.root}/checkpoint")
-            .trigger(**(trigger or {"availableNow": True}))
-            .start()
-        )
-
-    def result(self, spark: SparkSession) -> DataFrame:
-        return self.ramp.latest(spark)
-
-    def _step(self, batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        read = batch.select("screening_key").distinct()
-        known = self.carry.before(spark, epoch).join(read, "screening_key", "left_semi").withColumnRenamed("outcome", "_known")
-        rows = batch.withColumn("_known", F.lit(None).cast("string")).unionByName(known)
-        if self.confirm:
-            judged = R.hold_confirm(rows, segment_rows=self.segment_rows)
-        else:
-            judged = rows.withColumn("outcome", F.lit("recorded"))
-        judged = judged.withColumn("outcome", F.coalesce("_known", "outcome"))
-        judged = judged.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            recorded = judged.where("outcome = 'recorded'")
-            fresh = R.increments(recorded, segment_rows=self.segment_rows).where("_known IS NULL AND delta > 0")
-            self.ramp.write(
-                fresh.groupBy(T.hour_bucket(F.col("at_ts")).alias("hour"), "film_id").agg(
-                    F.sum("delta").cast("bigint").alias("sold")
-                ),
-                epoch,
-            )
-            self.carry.write(self._remember(judged), epoch)
-        finally:
-            judged.unpersist()
-
-    def _remember(self, judged: DataFrame) -> DataFrame:
-        """Per key of the batch the last reading taken and the last one recorded (one row if they agree)."""
-        row = F.struct("seq", *[c for c in ROW if c not in ("screening_key", "seq")], "outcome")
-        last = judged.groupBy("screening_key").agg(
-            F.max(row).alias("_taken"), F.max(F.when(F.col("outcome") == "recorded", row)).alias("_recorded")
-        )
-        kept = F.array_distinct(F.filter(F.array("_taken", "_recorded"), lambda r: r.isNotNull()))
-        rows = last.select("screening_key", F.explode(kept).alias("_r"))
-        return rows.select("screening_key", *[F.col(f"_r.{c}").alias(c) for c in (*ROW[1:], "outcome")])
-
-
-class AlertStream:
-    """One check per micro-batch: rings of items whose value rose enough since their last ring.
-
-    Per item only the newest reading of a micro-batch counts, as for a reader who
-    looks at every refresh.
-    """
+def ramp(spark: SparkSession, root: str) -> DataFrame:
+    """Hourly sales per film: the increments of all micro-batches, summed."""
+    sales = read(spark, root, OUTPUT).where("kind = 'sale'")
+    return sales.groupBy("hour", "film_id").agg(F.sum("sold").cast("bigint").alias("sold"))
+
+
+def looks(spark: SparkSession, root: str) -> DataFrame:
+    """Per micro-batch and show: the newest reading's outcome and when to look again."""
+    return read(spark, root, OUTPUT).where("kind = 'look'").select("screening_key", "seq", "outcome", "look_at")
+
 
-    def __init__(
-        self,
-        root: str,
-        step: int = rules.ALERT_STEP,
-        quiet_minutes: int = rules.ALERT_QUIET_MINUTES,
-        merge_every: int = 16,
-    ):
-        self.root, self.step, self.quiet_minutes = root, step, quiet_minutes
-        self.rings = EpochTable(root, "rings", RINGS, lambda rows: rows.drop("_version"), merge_every)
-
-    def start(self, readings: DataFrame, **trigger) -> StreamingQuery:
-        return (
-            readings.select("screening_key", "seq", "at_ts", "sold")
-            .writeStream.foreachBatch(self._check)
-            .option("checkpointLocation", f"{self.root}/checkpoint")
-            .trigger(**(trigger or {"availableNow": True}))
-            .start()
-        )
-
-    def result(self, spark: SparkSession) -> DataFrame:
-        return self.rings.latest(spark)
-
-    def _check(self, batch: DataFrame, epoch: int) -> None:
-        seen = batch.groupBy("screening_key").agg(
-            F.max_by("at_ts", "seq").alias("_at"), F.max_by("sold", "seq").alias("_value")
-        )
-        last = self.rings.before(batch.sparkSession, epoch).groupBy("screening_key").agg(
-            F.max("ring_at").alias("ring_at"), F.max_by("ring_value", "ring_at").alias("ring_value")
-        )
-        jump = (F.col("_value") - F.col("ring_value") >= self.step) & (
-            F.col("_at") - F.col("ring_at") >= T.minutes(self.quiet_minutes)
-        )
-        rung = seen.join(last, "screening_key", "left").where(F.col("ring_at").isNull() | jump)
-        self.rings.write(rung.select("screening_key", F.col("_at").alias("ring_at"), F.col("_value").alias("ring_value")), epoch)
+def due(spark: SparkSession, root: str) -> DataFrame:
+    """Looks whose time came before another reading did."""
+    return read(spark, root, OUTPUT).where("kind = 'due'").select("screening_key", "seq", "look_at")

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatecount.operators import readings as R
-from gatecount.streaming.ramp import ROW, AlertStream, RampStream
+from gatecount.functions import times as T
+from gatecount.streaming import ramp as S
 from gatecount.streaming.settle import PROVIDER, settle_stream
 
 SCHEMA = "screening_key bigint, film_id bigint, seq bigint, at_ts timestamp_ntz, sold bigint, total bigint"
@@ -39,79 +40,92 @@ def as_set(df):
     return {tuple(r) for r in df.select("hour", "film_id", "sold").collect()}
 
 
+@pytest.fixture
+def state_store(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, PROVIDER)
+    yield
+    spark.conf.set(key, before)
+
+
 @pytest.mark.parametrize("confirm", [False, True])
-def test_ramp_parity(spark, source, tmp_path, confirm):
+def test_ramp_parity(spark, source, tmp_path, state_store, confirm):
     path, batch, _ = source
-    ramp = RampStream(str(tmp_path), confirm=confirm, segment_rows=32, merge_every=2)
-    ramp.start(stream(spark, path)).awaitTermination()
-    expected = R.hold_confirm(batch).where("outcome = 'recorded'") if confirm else batch
-    assert as_set(ramp.result(spark)) == as_set(R.sales_ramp(expected))
+    S.write(S.sales_stream(stream(spark, path), confirm), str(tmp_path), "kind").awaitTermination()
+    expected = R.confirmed_ramp(batch) if confirm else R.sales_ramp(batch)
+    assert as_set(S.ramp(spark, str(tmp_path))) == as_set(expected)
+    assert S.looks(spark, str(tmp_path)).isEmpty()
 
 
-def test_a_repeated_batch_changes_nothing(spark, source, tmp_path):
-    _, batch, _ = source
-    ramp = RampStream(str(tmp_path))
-    halves = [batch.where("seq < 300"), batch.where("seq >= 300")]
-    for epoch, half in enumerate(halves):
-        ramp._step(half.select(*ROW), epoch)
-    before = as_set(ramp.result(spark))
-    ramp._step(halves[1].select(*ROW), 1)
-    assert as_set(ramp.result(spark)) == before == as_set(R.sales_ramp(R.hold_confirm(batch).where("outcome = 'recorded'")))
+def run_batches(spark, root, batches, schema, start):
+    """Each list of rows is one micro-batch; the query starts anew for each, from its checkpoint."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        start(spark.readStream.schema(schema).parquet(f"{root}/in")).awaitTermination()
 
 
-def test_no_clock_and_no_pause_loses_a_sale(spark, tmp_path):
-    ramp = RampStream(str(tmp_path), confirm=False)
+def test_no_clock_and_no_pause_loses_a_sale(spark, tmp_path, state_store):
     row = lambda key, seq, day, sold: (key, 1, seq, START + dt.timedelta(days=day), sold, 90)
-    # The second key's clock is 400 days ahead; the first one is read again after a month.
-    for epoch, rows in enumerate([[row(1, 0, 0, 5), row(2, 1, 400, 5)], [row(2, 2, 400, 6)], [row(1, 3, 30, 50)]]):
-        ramp._step(spark.createDataFrame(rows, SCHEMA), epoch)
-    assert sorted(r["sold"] for r in ramp.result(spark).collect()) == [1, 45]
-
-
-def test_folded_keys_go_at_the_next_merge(spark, tmp_path):
-    gone = spark.createDataFrame([(1,)], "screening_key bigint")
-    ramp = RampStream(str(tmp_path), confirm=False, folded=lambda spark: gone, merge_every=2)
-    row = lambda key, seq, sold: (key, 1, seq, START, sold, 90)
-    for epoch, rows in enumerate([[row(1, 0, 5), row(2, 1, 5)], [row(2, 2, 9)], [row(2, 3, 11)]]):
-        ramp._step(spark.createDataFrame(rows, SCHEMA), epoch)
-    assert [r["sold"] for r in ramp.result(spark).collect()] == [6]
-    assert {r["screening_key"] for r in ramp.carry.latest(spark).collect()} == {2}
-    kept = spark.read.parquet(f"{tmp_path}/carry/base=1")
-    assert [r["screening_key"] for r in kept.collect()] == [2]
-
-
-def test_files_stay_few_and_hold_changes_only(spark, tmp_path):
-    ramp = RampStream(str(tmp_path), confirm=False, merge_every=4)
-    for epoch in range(20):
-        key = epoch % 5
-        ramp._step(spark.createDataFrame([(key, 1, epoch, START, epoch, 90)], SCHEMA), epoch)
-    folders = [p.name for p in (tmp_path / "carry").iterdir() if p.name != "_done"]
-    assert len(folders) <= 2 * 4 + 2
-    assert spark.read.parquet(f"{tmp_path}/carry/version=18").count() == 1
-    assert ramp.carry.latest(spark).count() == 5
-    assert [r["sold"] for r in ramp.result(spark).collect()] == [sum(e - (e - 5) for e in range(5, 20))]
-
-
-def test_unfinished_versions_are_not_read(spark, tmp_path):
-    ramp = RampStream(str(tmp_path), confirm=False)
-    ramp._step(spark.createDataFrame([(1, 1, 0, START, 5, 90)], SCHEMA), 0)
-    ramp._step(spark.createDataFrame([(1, 1, 1, START, 8, 90)], SCHEMA), 1)
-    half = spark.createDataFrame([(START, 1, 1000)], "hour timestamp_ntz, film_id bigint, sold bigint")
-    half.write.parquet(f"{tmp_path}/ramp/version=2")
-    assert [r["sold"] for r in ramp.result(spark).collect()] == [3]
-
-
-def test_alerts_check_once_per_batch(spark, tmp_path):
-    alerts = AlertStream(str(tmp_path))
+    # The second key's clock is 400 days ahead; the first one is read again after a month, and one reading comes twice.
+    batches = [[row(1, 0, 0, 5), row(2, 1, 400, 5)], [row(2, 2, 400, 6), row(2, 2, 400, 6)], [row(2, 2, 400, 6), row(1, 3, 30, 50)]]
+    run_batches(spark, str(tmp_path), batches, SCHEMA, lambda rows: S.write(S.sales_stream(rows, False), str(tmp_path), "kind"))
+    assert sorted(r["sold"] for r in S.ramp(spark, str(tmp_path)).collect()) == [1, 45]
+
+
+SHOWS = SCHEMA + ", starts_at timestamp_ntz, arrived_at timestamp_ntz"
+
+
+def test_looks_fall_due_and_folded_shows_are_forgotten(spark, tmp_path, state_store):
+    begins = minute(0)
+
+    def row(key, seq, m, sold, starts=begins, arrived=None):
+        return (key, 1, seq, minute(m), sold, 90, starts, minute(m if arrived is None else arrived))
+
+    batches = [
+        [row(1, 0, -600, 10), row(2, 1, -600, 90)],
+        # Key 1 is read again before its look at -570; key 2's second look at -595 is missed until the clock has passed.
+        [row(1, 2, -590, 20), row(9, 3, -500, 1, minute(90000))],
+        [row(9, 4, -400, 1, minute(90000))],
+        [row(2, 5, -390, 90), row(9, 6, -389, 2, minute(90000))],
+        # Eleven days later: both shows are folded, so a reading of key 1 is a first sight again.
+        [row(9, 7, 16000, 3, minute(90000))],
+        [row(1, 8, 16100, 90, begins, 16100), row(9, 9, 16200, 3, minute(90000))],
+    ]
+    root = str(tmp_path)
+    run_batches(spark, root, batches, SHOWS, lambda rows: S.write(S.sales_stream(rows, clock="arrived_at", delay="0 seconds"), root, "kind"))
+    at = lambda t: None if t is None else int((t - begins).total_seconds() // 60)
+    looks = {(r.screening_key, r.seq): (r.outcome, at(r.look_at)) for r in S.looks(spark, root).collect()}
+    assert looks[1, 0] == ("recorded", -570) and looks[2, 1] == ("held", -595) and looks[1, 2] == ("recorded", -560)
+    assert looks[2, 5] == ("recorded", -360) and looks[1, 8] == ("held", None)
+    due = {(r.screening_key, at(r.look_at)) for r in S.due(spark, root).collect() if r.screening_key != 9}
+    assert {(2, -595), (1, -560)} <= due and (1, -570) not in due
+    sold = {(at(r.hour), r.sold) for r in S.ramp(spark, root).where("hour < TIMESTAMP_NTZ '2026-08-05 00:00:00'").collect()}
+    assert sold == {(-600, 10), (-420, 1)}
+
+
+def test_look_times_equal_the_columns(spark):
+    rng = random.Random(4)
+    rows = [(minute(0), minute(-rng.choice([rng.randrange(-30, 20), rng.randrange(0, 4000)]))) for _ in range(300)]
+    frame = spark.createDataFrame(rows, "s timestamp_ntz, n timestamp_ntz")
+    us = lambda t: None if t is None else int((t - dt.datetime(1970, 1, 1)) / dt.timedelta(microseconds=1))
+    for r in frame.select("*", T.next_look(F.col("s"), F.col("n")).alias("a"), T.recheck_look(F.col("s"), F.col("n")).alias("b")).collect():
+        assert S.next_look(us(r.s), us(r.n)) == us(r.a) and S.recheck_look(us(r.s), us(r.n)) == us(r.b)
+
+
+def test_alerts_check_once_per_batch(spark, tmp_path, state_store):
     steps = [(0, 10), (3, 130), (11, 130), (30, 200), (45, 235), (60, 500)]
-    for epoch, (minute, value) in enumerate(steps):
-        at = START + dt.timedelta(minutes=minute)
-        rows = [(7, epoch * 2, at - dt.timedelta(seconds=30), value - 1), (7, epoch * 2 + 1, at, value)]
+    batches = []
+    for epoch, (m, value) in enumerate(steps):
+        at = START + dt.timedelta(minutes=m)
+        batches.append([(7, epoch * 2, at - dt.timedelta(seconds=30), value - 1), (7, epoch * 2 + 1, at, value)])
         if epoch == 2:
-            rows.append((8, 99, at, 1))
-        alerts._check(spark.createDataFrame(rows, "screening_key bigint, seq bigint, at_ts timestamp_ntz, sold bigint"), epoch)
-    out = {(r["screening_key"], (r["ring_at"] - START).seconds // 60, r["ring_value"]) for r in alerts.result(spark).collect()}
-    assert out == {(7, 0, 10), (7, 11, 130), (7, 45, 235), (7, 60, 500), (8, 11, 1)}
+            batches[-1].append((8, 99, at, 1))
+    schema = "screening_key bigint, seq bigint, at_ts timestamp_ntz, sold bigint"
+    run_batches(spark, str(tmp_path), batches, schema, lambda rows: S.write(S.rings_stream(rows), str(tmp_path)))
+    rings = S.read(spark, str(tmp_path), S.RINGS).collect()
+    out = {(r["screening_key"], (r["ring_at"] - START).seconds // 60, r["ring_value"]) for r in rings}
+    assert len(rings) == 5 and out == {(7, 0, 10), (7, 11, 130), (7, 45, 235), (7, 60, 500), (8, 11, 1)}
 
 
 SETTLE = "screening_key bigint, starts_at timestamp_ntz, event_at timestamp_ntz, seq bigint, sold bigint, total bigint, arrived_at timestamp_ntz"
