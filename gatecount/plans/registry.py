@@ -14,6 +14,7 @@ MODULES = (
     "stream_queries",
     "composite_queries",
     "maintenance_queries",
+    "store_queries",
 )
 
 

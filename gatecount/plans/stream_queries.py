@@ -13,7 +13,8 @@ from gatecount.plans.readings_queries import ORACLES as READINGS
 from gatecount.plans.views import with_views
 from gatecount.session import checkpoint_root
 from gatecount.streaming import ramp as S
-from gatecount.streaming.settle import PROVIDER, settle_stream
+from gatecount.streaming.fold import daily_stream, ramp_stream
+from gatecount.streaming.settle import OUTPUT, PROVIDER, settle_stream
 
 
 def _root(spark, name: str) -> str:
@@ -124,29 +125,66 @@ def arrivals(parts):
 def stream_settle(spark, sf_dir):
     """Every user is a show with its own start; the stream settles all that are over. See `arrivals`."""
     root = _root(spark, "settle")
-
-    def begin(readings):
-        rows = readings.select(
-            "screening_key", _starts("screening_key").alias("starts_at"), F.col("at_ts").alias("event_at"), "seq", "sold", "total", "arrived_at"
-        )
-        return (
-            settle_stream(rows)
-            .writeStream.format("parquet")
-            .option("path", f"{root}/settled")
-            .option("checkpointLocation", f"{root}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-
     with _state_store(spark):
-        _run(spark, sf_dir, root, begin, arrivals, ["arrived_at"])
+        _run(spark, sf_dir, root, lambda readings: _settling(readings, root), arrivals, ["arrived_at"])
     out = spark.read.parquet(f"{root}/settled")
     return out.select(
         "screening_key", "sold", "total", "confidence", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("captured_at", "settled_at")]
     )
 
 
-QUERIES = {f.__name__: f for f in (stream_sales_ramp, stream_confirmed_ramp, stream_looks, stream_alert, stream_settle)}
+def _settling(readings, root):
+    rows = readings.select(
+        "screening_key", _starts("screening_key").alias("starts_at"), F.col("at_ts").alias("event_at"), "seq", "sold", "total", "arrived_at"
+    )
+    return (
+        settle_stream(rows)
+        .writeStream.format("parquet")
+        .option("path", f"{root}/settled")
+        .option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def stream_daily(spark, sf_dir):
+    """Settled shows of the stream, folded into days by a second stream that follows the first."""
+    root = _root(spark, "daily")
+
+    def begin(readings):
+        _settling(readings, root).awaitTermination()
+        settled = spark.readStream.schema(OUTPUT).parquet(f"{root}/settled")
+        film = F.col("screening_key") % 5
+        price = F.when(film != 0, (film * 10 + 100).cast("double"))
+        return S.write(daily_stream(settled.withColumns({"film_id": film, "price_min": price})), f"{root}/folded")
+
+    with _state_store(spark):
+        _run(spark, sf_dir, root, begin, arrivals, ["arrived_at"])
+    days = "film_id bigint, sold bigint, capacity bigint, screenings bigint, gross double, final bigint, partial bigint, missed bigint, day date"
+    return S.read(spark, f"{root}/folded", days)
+
+
+def stream_old_hours(spark, sf_dir):
+    """Hours of the ramp that are more than three weeks back, summed by a stream that follows the sales."""
+    root = _root(spark, "hours")
+
+    def begin(readings):
+        S.write(S.sales_stream(readings, False), root, "kind").awaitTermination()
+        sales = spark.readStream.schema(S.OUTPUT).parquet(f"{root}/out").where("kind = 'sale'")
+        return S.write(ramp_stream(sales), f"{root}/old")
+
+    with _state_store(spark):
+        _run(spark, sf_dir, root, begin)
+    return S.read(spark, f"{root}/old", "film_id bigint, sold bigint, hour timestamp_ntz")
+
+
+QUERIES = {f.__name__: f for f in (stream_sales_ramp, stream_confirmed_ramp, stream_looks, stream_alert, stream_settle, stream_daily, stream_old_hours)}
+
+_SETTLED = """, s AS (
+          SELECT DISTINCT screening_key, TIMESTAMP '2024-01-02 20:00:00' + to_days(CAST(screening_key % 40 AS INTEGER)) + to_hours(screening_key % 7) AS starts_at FROM vr),
+        o AS (SELECT * FROM s WHERE starts_at + INTERVAL 30 MINUTE < (SELECT max(at_ts) - INTERVAL 2 HOUR FROM vr)),
+        l AS (SELECT o.screening_key, starts_at, arg_max(sold, seq) AS sold, max(at_ts) AS at_ts
+              FROM o LEFT JOIN vr ON vr.screening_key = o.screening_key AND at_ts <= starts_at + INTERVAL 30 MINUTE GROUP BY 1, 2)"""
 
 ORACLES = {
     "stream_sales_ramp": READINGS["sales_ramp"],
@@ -180,14 +218,26 @@ ORACLES = {
     ),
     "stream_settle": with_views(
         "vr",
-        body=""", s AS (
-          SELECT DISTINCT screening_key, TIMESTAMP '2024-01-02 20:00:00' + to_days(CAST(screening_key % 40 AS INTEGER)) + to_hours(screening_key % 7) AS starts_at FROM vr),
-        o AS (SELECT * FROM s WHERE starts_at + INTERVAL 30 MINUTE < (SELECT max(at_ts) - INTERVAL 2 HOUR FROM vr)),
-        l AS (SELECT o.screening_key, starts_at, arg_max(sold, seq) AS sold, max(at_ts) AS at_ts
-              FROM o LEFT JOIN vr ON vr.screening_key = o.screening_key AND at_ts <= starts_at + INTERVAL 30 MINUTE GROUP BY 1, 2)
+        body=_SETTLED
+        + """
         SELECT screening_key, coalesce(sold, 0) AS sold, CASE WHEN at_ts IS NULL THEN 0 ELSE 120 END::BIGINT AS total,
                CASE WHEN at_ts IS NULL THEN 'missed' WHEN starts_at - at_ts <= INTERVAL 15 MINUTE THEN 'final' ELSE 'partial' END AS confidence,
                at_ts AS captured_at, starts_at + INTERVAL 30 MINUTE AS settled_at
         FROM l""",
     ),
+    "stream_daily": with_views(
+        "vr",
+        body=_SETTLED
+        + f""", g AS (
+          SELECT screening_key % 5 AS film_id, coalesce(sold, 0) AS sold, CASE WHEN at_ts IS NULL THEN 0 ELSE 120 END AS total, CAST(starts_at - INTERVAL 5 HOUR AS DATE) AS day,
+                 CASE WHEN screening_key % 5 <> 0 THEN screening_key % 5 * 10.0 + 100 ELSE {rules.DEFAULT_PRICE} END AS price,
+                 CASE WHEN at_ts IS NULL THEN 'missed' WHEN starts_at - at_ts <= INTERVAL 15 MINUTE THEN 'final' ELSE 'partial' END AS c
+          FROM l)
+        SELECT day, film_id, CAST(sum(sold) AS BIGINT) AS sold, CAST(sum(total) AS BIGINT) AS capacity, count(*) AS screenings, CAST(sum(sold * price) AS DOUBLE) AS gross,
+               count(*) FILTER (c = 'final') AS final, count(*) FILTER (c = 'partial') AS partial, count(*) FILTER (c = 'missed') AS missed
+        FROM g WHERE day + INTERVAL 29 HOUR <= (SELECT max(starts_at) - INTERVAL {rules.FOLD_AFTER_DAYS} DAY FROM l) GROUP BY 1, 2""",
+    ),
+    "stream_old_hours": with_views(
+        "ramp", body=f" SELECT * FROM ramp WHERE hour + INTERVAL 1 HOUR <= (SELECT max(hour) - INTERVAL {rules.RAMP_RETENTION_DAYS} DAY FROM ramp)"
+    ),
 }

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gatecount import rules
 
-OUTPUT = "screening_key bigint, sold bigint, total bigint, confidence string, captured_at timestamp, settled_at timestamp"
+OUTPUT = "screening_key bigint, sold bigint, total bigint, confidence string, captured_at timestamp, settled_at timestamp, starts_at timestamp"
 STATE = "starts_us bigint, seq bigint, at_us bigint, sold bigint, total bigint, settled boolean, listed bigint"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -80,6 +80,7 @@ class _Settle(StatefulProcessor):
                 "confidence": [confidence],
                 "captured_at": [pd.NaT if at is None else pd.Timestamp(at, unit="us")],
                 "settled_at": [pd.Timestamp(fired, unit="ms")],
+                "starts_at": [pd.Timestamp(starts, unit="us")],
             }
         )
 

@@ -189,3 +189,22 @@ def test_by_default_only_arrival_moves_the_timers(spark, tmp_path):
         [(9, minute(900), minute(400), 8, 2, 90, minute(400))],
     ]
     assert settled(spark, tmp_path, batches) == {1: (70, 90, "final"), 2: (20, 90, "partial")}
+
+
+def test_folded_days_leave_the_state(spark, tmp_path):
+    """Sixty days, one a micro-batch: the state never holds more than the days that are kept, and each is written once."""
+    from gatecount.streaming.fold import daily_stream
+
+    schema = "screening_key bigint, starts_at timestamp, film_id bigint, sold bigint, total bigint, price_min double, confidence string"
+    for d in range(0, 60, 3):
+        rows = [(d * 10 + i, minute(0) + dt.timedelta(days=d + i // 2), i % 2, i, 9, None, "final") for i in range(6)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = S.write(daily_stream(rows, keep_days=10), str(tmp_path))
+    query.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert held and max(held) <= 2 * (10 + 2 * 3 + 1) < 2 * 60
+    days = "film_id bigint, sold bigint, capacity bigint, screenings bigint, gross double, final bigint, partial bigint, missed bigint, day date"
+    out = S.read(spark, str(tmp_path), days).collect()
+    assert len({(r.day, r.film_id) for r in out}) == len(out) and len(out) >= 2 * 45
+    assert all(r.screenings == r.final == 1 and r.capacity == 9 and r.gross == r.sold * 205.0 for r in out)
