@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatecount.functions import times as T
+from gatecount.operators import alerts as A
 from gatecount.operators import readings as R
 from gatecount.operators.resolve import restrict_to
 from gatecount.plans import views as V
@@ -61,6 +62,11 @@ def threshold_alert(spark, sf_dir):
     return R.threshold_alert(V.readings(spark, sf_dir))
 
 
+def linked_alert(spark, sf_dir):
+    """The same rings found by pointers from tick to tick, no series gathered."""
+    return A.linked_alert(V.readings(spark, sf_dir))
+
+
 def seat_occupancy(spark, sf_dir):
     """Seat plans built from orders: each line is a seat, its part decides the state."""
     states = F.array(*[F.lit(s) for s in ("FREE", "occupied", "RESERVED", "BROKEN", "Free", "BLOCKED", "odd")])
@@ -104,6 +110,7 @@ QUERIES = {
         ramp_retention,
         restrict_series,
         threshold_alert,
+        linked_alert,
         seat_occupancy,
         deferred_capacity,
     )
@@ -209,3 +216,4 @@ ORACLES = {
                CASE WHEN capacity_state = 'readable' THEN CAST(size AS BIGINT) END AS total
         FROM r""",
 }
+ORACLES["linked_alert"] = ORACLES["threshold_alert"]
