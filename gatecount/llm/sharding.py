@@ -7,8 +7,9 @@ the map as of a version. All of it is DataFrame operations; the map and the byte
 however many records there are, which bounds what is broadcast and what one task folds.
 
 Defined cases: a null text has no bytes and the checksum of an empty one; a null id is hashed as null, together with
-the text's checksum; records that are equal in id and checksum share a slot; an empty table gives an empty result and
-a map of version 0.
+the text's checksum; records that are equal in id and checksum share a slot, unless together they are a large part of a
+shard: then they are told apart by a number of their own and spread over the slots; an empty table gives an empty
+result and a map of version 0.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql.window import Window
 from gatecount.llm.common import fresh, written
 
 SLOTS = 8192
+#: Equal records with more than this part of an even share are spread; there are at most shards / HEAVY_PART such groups.
+HEAVY_PART = 1 / 64
 #: Of an even share, what a shard keeps of its own largest slots; the rest is dealt out anew.
 KEPT_SHARE = 0.99
 
@@ -107,8 +110,17 @@ def sharded(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str =
         (F.octet_length(data) + 1).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
     )
-    key = F.xxhash64(F.col(f"`{id_col}`"), "text_crc32")
-    records = written(records.withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int")), "records")
+    records = written(records, "sizes")
+    total = records.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    heavy, other, same = (fresh(records, name) for name in ("heavy", "heavy_id", "heavy_crc32"))
+    groups = records.groupBy(F.col(f"`{id_col}`").alias(other), F.col("text_crc32").alias(same)).agg(F.sum("size").alias(heavy))
+    groups = F.broadcast(groups.where(F.col(heavy) * shards > total * HEAVY_PART))
+    equal = F.col(f"`{id_col}`").eqNullSafe(F.col(other)) & (F.col("text_crc32") == F.col(same))
+    own = F.when(F.col(heavy).isNotNull(), F.monotonically_increasing_id())
+    key = F.when(F.col(heavy).isNull(), F.xxhash64(F.col(f"`{id_col}`"), "text_crc32")).otherwise(F.xxhash64(F.col(f"`{id_col}`"), "text_crc32", own))
+    slotted = records.join(groups, equal, "left").withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int"))
+    # Written at once, so that a record's number is given once.
+    records = written(slotted.drop(heavy, other, same), "records")
     weight = written(weights(records, "virtual_slot", "size"), "slot-bytes")
     first = first_map(spark, shards, slots)
     versions = written(first.unionByName(rebalanced(first, weight, shards, 1)), "slot-map")

@@ -154,6 +154,21 @@ def test_shards_are_even_gapless_and_right(spark):
     assert all(before[s] != to for s, to in edits.items())
 
 
+@pytest.mark.parametrize("equal", [(7, "same text " * 20), (None, None), (7, "")])
+def test_repeated_rows_keep_the_law(spark, equal):
+    rng = random.Random(14)
+    texts = [words(rng, rng.randint(1, 60)) for _ in range(400)] + [equal[1]] * 3600
+    ids = [*range(100, 500)] + [equal[0]] * 3600
+    rows = sharding.sharded(docs(spark, texts, ids=ids), shards=4, slots=512)[0].collect()
+    assert Counter((r["doc_id"], r["size"]) for r in rows) == Counter((i, len((t or "").encode()) + 1) for i, t in zip(ids, texts))
+    loads, places = Counter(), {}
+    for r in rows:
+        loads[r["shard"]] += r["size"]
+        places.setdefault(r["shard"], []).append(r["place"])
+    assert max(loads.values()) < 1.03 * sum(loads.values()) / 4
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
 def test_growing_moves_rows_only_into_the_new_shard(spark):
     rng = random.Random(13)
     placed, versions = sharding.sharded(docs(spark, [words(rng, rng.randint(1, 90)) for _ in range(3000)]), shards=4, slots=512)
