@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 
 from gatecount import rules
 
-NAIVE_PATTERN = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2}))?"
-
 
 def minutes(n: int) -> Column:
     return F.expr(f"INTERVAL '{int(n)}' MINUTE")
@@ -36,17 +34,17 @@ def instant(value: str | dt.datetime) -> Column:
 
 def parse_naive(text: Column) -> Column:
     """Wall clock written without an offset; anything else is an error."""
-    part = [F.regexp_extract(text, NAIVE_PATTERN, i) for i in range(1, 7)]
+    part = [F.regexp_extract(text, rules.WALL_CLOCK_PATTERN, i) for i in range(1, 7)]
     seconds = F.when(part[5] == "", F.lit("00")).otherwise(part[5])
     stamp = F.concat_ws(
         " ",
         F.concat_ws("-", *part[:3]),
         F.concat_ws(":", part[3], part[4], seconds),
     ).cast("timestamp_ntz")
-    failure = F.raise_error(F.concat(F.lit("Unrecognised naive local timestamp: "), text))
+    failure = F.raise_error(F.concat(F.lit("not a date and time of day: "), text))
     return (
         F.when(text.isNull(), F.lit(None).cast("timestamp_ntz"))
-        .when(text.rlike(NAIVE_PATTERN), stamp)
+        .when(text.rlike(rules.WALL_CLOCK_PATTERN), stamp)
         .otherwise(failure.cast("timestamp_ntz"))
     )
 

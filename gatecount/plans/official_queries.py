@@ -164,6 +164,14 @@ def calibrate_spread(spark, sf_dir):
     return out.select("stage", F.round("probability", 1).alias("probability"), "n", F.round("quantile", 6).alias("ratio"))
 
 
+def held_out_accuracy(spark, sf_dir):
+    """Bands from the runs that began before 1996, judged on the runs since."""
+    begun = F.to_date(F.split("run", "/")[1], "yyyy-MM")
+    runs = _runs(spark, sf_dir).withColumn("started", begun)
+    out = M.held_out_accuracy(runs, F.lit("1996-01-01").cast("date"), RUN)
+    return _rounded(out, "within", "covered", "covered_fixed", "low", "high")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -187,6 +195,7 @@ QUERIES = {
         calibrate_hold,
         calibrate_decline,
         calibrate_spread,
+        held_out_accuracy,
     )
 }
 
@@ -395,4 +404,17 @@ ORACLES = {
         SELECT stage, 0.1::DOUBLE AS probability, count(*) AS n, round(quantile_cont(ratio, 0.1), 6) AS ratio FROM q GROUP BY 1
         UNION ALL SELECT stage, 0.9::DOUBLE, count(*), round(quantile_cont(ratio, 0.9), 6) FROM q GROUP BY 1""",
     ),
+    "held_out_accuracy": with_views(
+        "vw",
+        recursive=True,
+        body=_model(_EVERY, _NONE)
+        + """, act AS (SELECT run, max(greatest(total_admissions, weekend_admissions)) AS actual FROM vw GROUP BY 1),
+        q AS (SELECT CAST(least(cut, 5) AS BIGINT) AS stage, total, actual, actual::DOUBLE / total AS ratio, lo, hi,
+                     CAST(split_part(fc.run, '/', 2) || '-01' AS DATE) < DATE '1996-01-01' AS early FROM fc JOIN act ON act.run = fc.run),
+        band AS (SELECT stage, quantile_cont(ratio, 0.1) AS low, quantile_cont(ratio, 0.9) AS high FROM q WHERE early GROUP BY 1)
+        SELECT stage, count(*) AS n, round(avg((abs(total - actual) <= 0.2::DOUBLE * actual)::INT), 6) AS within,
+               round(avg(coalesce(ratio BETWEEN low AND high, false)::INT), 6) AS covered, round(avg((ratio BETWEEN lo AND hi)::INT), 6) AS covered_fixed,
+               round(any_value(low), 6) AS low, round(any_value(high), 6) AS high
+        FROM q LEFT JOIN band USING (stage) WHERE NOT early GROUP BY 1""",
+    ),
 }

@@ -28,6 +28,7 @@ DEFAULT_PRICE = 205.0
 
 # --- fixed values: time -----------------------------------------------------
 LOCAL_ZONE = "Europe/Prague"
+WALL_CLOCK_PATTERN = r"^(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2})(?::(\d{2}))?"
 BUSINESS_DAY_CUTOFF_HOURS = 5
 # (time to start at most, look again after), in minutes; then the far interval.
 LOOK_TIERS = ((120, 10), (720, 30), (2880, 120))
@@ -121,3 +122,6 @@ WEEK_HEADER_ROWS = 12
 ANNUAL_HEADER = ((0, "Poř."), (1, "Titul"))
 ANNUAL_COLUMNS = {"rank": 0, "title": 1, "original_title": 2, "distributor": 3, "premiere": 5, "country": 6}
 ANNUAL_LIFETIME = ("screenings", "admissions", "gross")
+
+# A forecast is good when it is this close to the truth.
+ACCURACY_TOLERANCE = 0.2

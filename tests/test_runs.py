@@ -279,3 +279,27 @@ def test_planned_ratio_needs_enough_past(spark, past, expected):
     rows = [show(f"p{i}", 1, 8, 1) for i in range(past)] + [show(f"n{i}", 1, 20, 1) for i in range(2)]
     out = U.planned_ratio(spark.createDataFrame(rows, SHOWS), now()).first()
     assert (out["past"], out["next"], out["planned_ratio"]) == (past, 2, expected)
+
+
+def test_held_out_accuracy_fits_before_and_scores_after(spark):
+    import datetime as dt
+
+    from gatecount.operators import forecast as M
+
+    schema = "film_id bigint, week_of_run bigint, weekend_admissions bigint, total_admissions bigint, cinemas bigint, origin string, started date"
+    early, late = dt.date(2020, 1, 2), dt.date(2023, 1, 5)
+    weekends = [(1, 10_000), (2, 5_000), (3, 3_000)]
+    rows = [(i, w, a, a, 100, "foreign", early if i < 2 else late) for i in range(4) for w, a in weekends]
+    frame = spark.createDataFrame(rows, schema)
+    runs = M.collect_runs(frame, ("film_id",), keep=("origin", "started"))
+    said = {(r.film_id, r.cut): r.predicted for r in M.forecast_trend(runs).collect()}
+    actual = {i: 10_000 for i in range(4)}
+    out = {r.stage: r for r in M.held_out_accuracy(runs, F.lit("2023-01-01").cast("date")).collect()}
+    assert sorted(out) == [1, 2, 3]
+    for stage, r in out.items():
+        ratios = [actual[i] / said[i, stage] for i in (0, 1)]
+        assert r.n == 2 and abs(r.low - min(ratios)) < 1e-9 and abs(r.high - max(ratios)) < 1e-9
+        assert r.covered == 1.0 and r.within == (abs(said[2, stage] - 10_000) <= 2_000)
+    # Without early runs there is no band, and nothing is covered by it.
+    none = M.held_out_accuracy(runs, F.lit("2010-01-01").cast("date")).collect()
+    assert all(r.n == 4 and r.low is None and r.high is None and r.covered == 0.0 for r in none)
