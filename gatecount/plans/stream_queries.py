@@ -22,6 +22,7 @@ def _root(spark, name: str) -> str:
 
 
 PARTS = 4
+FILES = 8
 
 
 def _readings(events, *more):
@@ -41,15 +42,28 @@ def _run(spark, sf_dir, root, start, arrange=lambda parts: parts, more=()):
 
     ``arrange`` may change the rows with their ``part``; ``more`` are columns it adds for ``start``.
     """
-    events = V.table(spark, sf_dir, "events")
-    after = (events.agg(F.max("event_id")).first()[0] or 0) + 1
-    parts = arrange(events.withColumn("part", F.floor(F.col("event_id") * PARTS / after)))
+    parts = arrange(_parted(spark, sf_dir))
     schema = parts.drop("part").schema
     for part in range(PARTS):
         parts.where(F.col("part") == part).drop("part").write.mode("append").parquet(f"{root}/in")
         start(_readings(spark.readStream.schema(schema).parquet(f"{root}/in"), *more)).awaitTermination()
 
 
+def _parted(spark, sf_dir):
+    events = V.table(spark, sf_dir, "events")
+    after = (events.agg(F.max("event_id")).first()[0] or 0) + 1
+    return events.withColumn("part", F.floor(F.col("event_id") * PARTS / after))
+
+
+def _run_through(spark, sf_dir, root, start):
+    """The same parts as micro-batches of one run: each part is FILES files, and files are taken in the order of their times."""
+    parts = _parted(spark, sf_dir)
+    for part in range(PARTS):
+        parts.where(F.col("part") == part).drop("part").repartition(FILES).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(parts.drop("part").schema).option("maxFilesPerTrigger", FILES)
+    start(_readings(stream.parquet(f"{root}/in"))).awaitTermination()
+
+
 @contextmanager
 def _state_store(spark):
     """Keyed state needs the RocksDB store."""
@@ -65,7 +79,7 @@ def _state_store(spark):
 def _sales(spark, sf_dir, name: str, confirm: bool):
     root = _root(spark, name)
     with _state_store(spark):
-        _run(spark, sf_dir, root, lambda readings: S.write(S.sales_stream(readings, confirm), root, "kind"))
+        _run_through(spark, sf_dir, root, lambda readings: S.write(S.sales_stream(readings, confirm), root, "kind"))
     return S.ramp(spark, root)
 
 
@@ -86,14 +100,14 @@ def stream_looks(spark, sf_dir):
         return S.write(S.sales_stream(rows, clock="at_ts", delay="0 seconds", keep_days=10_000), root, "kind")
 
     with _state_store(spark):
-        _run(spark, sf_dir, root, begin)
+        _run_through(spark, sf_dir, root, begin)
     return S.looks(spark, root)
 
 
 def stream_alert(spark, sf_dir):
     root = _root(spark, "alerts")
     with _state_store(spark):
-        _run(spark, sf_dir, root, lambda readings: S.write(S.rings_stream(readings), root))
+        _run_through(spark, sf_dir, root, lambda readings: S.write(S.rings_stream(readings), root))
     return S.read(spark, root, S.RINGS)
 
 

@@ -53,16 +53,23 @@ def recheck_look(starts: int, now: int) -> int | None:
 
 
 def _frame(rows: list[tuple], columns: list[str], times: tuple[str, ...]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=columns)
-    for c in times:
-        out[c] = pd.to_datetime(out[c].astype("Int64"), unit="us")
-    return out
+    """Rows as a frame; columns of ``times`` hold microseconds. Built by column: a key has few rows, and there are many keys."""
+    made = {}
+    for c, values in zip(columns, zip(*rows)):
+        if c in times:
+            made[c] = np.array(["NaT" if v is None else v for v in values], "datetime64[us]")
+        else:
+            made[c] = np.array(values, object)
+    return pd.DataFrame(made)
 
 
-def _whole(rows: Iterator[pd.DataFrame], after: int) -> pd.DataFrame:
-    """A key's readings of the micro-batch in arrival order, without those taken before."""
-    read = pd.concat([*rows])
-    return read[read["seq"] > after].drop_duplicates("seq").sort_values("seq")
+def _whole(rows: Iterator[pd.DataFrame], after: int, columns: tuple[str, ...]) -> list[np.ndarray]:
+    """A key's readings of the micro-batch, by column, in arrival order, without those taken before."""
+    chunks = [[c[name].to_numpy() for name in columns] for c in rows]
+    arrays = chunks[0] if len(chunks) == 1 else [np.concatenate(parts) for parts in zip(*chunks)]
+    seq, order = np.unique(arrays[0], return_index=True)
+    order = order[seq > after]
+    return [a[order] for a in arrays]
 
 
 class _Sales(StatefulProcessor):
@@ -75,38 +82,36 @@ class _Sales(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seq, was_full, value, starts, look = self.last.get() if self.last.exists() else (-1, False, None, None, None)
-        read = _whole(rows, seq)
-        if not len(read):
+        seqs, at, film, sold, total, told = _whole(rows, seq, ("seq", "at_us", "film_id", "sold", "total", "starts_us"))
+        if not len(seqs):
             return
-        sold, total = read["sold"].to_numpy(np.int64), read["total"].to_numpy(np.int64)
         full = (total > 0) & (sold >= total)
         held = full & ~np.concatenate(([was_full], full[:-1])) if self.confirm else np.zeros(len(full), bool)
-        taken = read[~held]
         counts = sold[~held]
+        booked: dict[tuple[int, int], int] = {}
         if len(counts):
             before = np.concatenate(([counts[0] if value is None else value], counts[:-1]))
-            rise = np.maximum(counts - before, 0)
-            hours = taken["at_us"].to_numpy(np.int64) // HOUR * HOUR
-            booked = pd.DataFrame({"hour": hours, "film_id": taken["film_id"].to_numpy(), "sold": rise})
-            booked = booked[booked["sold"] > 0].groupby(["hour", "film_id"], as_index=False)["sold"].sum()
+            rise = counts - before
+            up = rise > 0
+            for h, f, s in zip((at[~held][up] // HOUR * HOUR).tolist(), film[~held][up].tolist(), rise[up].tolist()):
+                booked[h, f] = booked.get((h, f), 0) + int(s)
             value = int(counts[-1])
-            if len(booked):
-                out = [("sale", key[0], f, h, s, None, None, None) for h, f, s in booked.itertuples(index=False)]
-                yield self._out(out)
-        newest = read.iloc[-1]
-        told = read["starts_us"].dropna()
-        new_starts = int(told.iloc[-1]) if len(told) else starts
-        at, outcome = int(newest["at_us"]), "held" if held[-1] else "recorded"
-        new_look = None if new_starts is None else (recheck_look if held[-1] else next_look)(new_starts, at)
+        out = [("sale", key[0], int(f), h, s, None, None, None) for (h, f), s in booked.items()]
+        # Missing starts come as null or NaN, and make the column floating point.
+        given = told[~pd.isna(told)]
+        new_starts = int(given[-1]) if len(given) else starts
+        now, outcome = int(at[-1]), "held" if held[-1] else "recorded"
+        new_look = None if new_starts is None else (recheck_look if held[-1] else next_look)(new_starts, now)
         self._timers(starts, look, new_starts, new_look)
-        self.last.update((int(newest["seq"]), bool(full[-1]), value, new_starts, new_look))
+        self.last.update((int(seqs[-1]), bool(full[-1]), value, new_starts, new_look))
         if new_starts is not None:
-            yield self._out([("look", key[0], int(newest["film_id"]), None, None, int(newest["seq"]), outcome, new_look)])
+            out.append(("look", key[0], int(film[-1]), None, None, int(seqs[-1]), outcome, new_look))
+        if out:
+            yield self._out(out)
 
     def _out(self, rows: list[tuple]) -> pd.DataFrame:
         columns = ["kind", "screening_key", "film_id", "hour", "sold", "seq", "outcome", "look_at"]
-        out = _frame(rows, columns, ("hour", "look_at"))
-        return out.astype({"film_id": "Int64", "sold": "Int64", "seq": "Int64"})
+        return _frame(rows, columns, ("hour", "look_at"))
 
     def _timers(self, starts, look, new_starts, new_look) -> None:
         """One timer for the look and one for the fold; both move when what they stand for moves."""
