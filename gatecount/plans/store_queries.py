@@ -59,7 +59,7 @@ def chain_feed(spark, sf_dir):
     )
     path = _path(spark, "feed")
     shows.groupBy("l_suppkey", "month").agg(F.collect_list("p").alias("presentations")).select("presentations").write.json(path)
-    out = feeds.presentations(snapshots.read_json(spark, path, feeds.FEED), "cc", "City ")
+    out = feeds.presentations(snapshots.read_json(spark, path, feeds.FEED), "a", "In ")
     return out.select(
         "screening_key", "starts_at", "day", "cinema_key", "cinema", "hall_key", "hall", "alias_key", "title", "original_title", "sold_out", "free_ratio"
     )
@@ -86,10 +86,10 @@ ORACLES = {
              CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'UNKNOWN' END AS segment FROM customer""",
     "chain_feed": f"""
       WITH w AS (SELECT *, l_shipdate + to_hours(9 + l_linenumber * 2) + to_minutes(l_partkey % 60) AS wall FROM lineitem)
-      SELECT 'cc:' || (l_orderkey * 8 + l_linenumber) AS screening_key, (wall AT TIME ZONE '{rules.LOCAL_ZONE}') AT TIME ZONE 'UTC' AS starts_at,
+      SELECT 'a:' || (l_orderkey * 8 + l_linenumber) AS screening_key, (wall AT TIME ZONE '{rules.LOCAL_ZONE}') AT TIME ZONE 'UTC' AS starts_at,
              CASE WHEN l_partkey % 3 = 1 THEN CAST(l_shipdate AS DATE) + 1 ELSE CAST(wall - INTERVAL {rules.BUSINESS_DAY_CUTOFF_HOURS} HOUR AS DATE) END AS day,
-             'cc:' || (l_suppkey % 25) AS cinema_key, 'City Place ' || (l_suppkey % 25) AS cinema, 'cc:' || l_suppkey AS hall_key, 'Hall ' || l_suppkey AS hall,
-             'cc:' || l_partkey AS alias_key, 'Film ' || l_partkey AS title, CASE WHEN l_partkey % 4 = 1 THEN 'Original' END AS original_title,
+             'a:' || (l_suppkey % 25) AS cinema_key, 'In Place ' || (l_suppkey % 25) AS cinema, 'a:' || l_suppkey AS hall_key, 'Hall ' || l_suppkey AS hall,
+             'a:' || l_partkey AS alias_key, 'Film ' || l_partkey AS title, CASE WHEN l_partkey % 4 = 1 THEN 'Original' END AS original_title,
              l_returnflag = 'A' AS sold_out, l_quantity / 64 AS free_ratio
       FROM w""",
     "partition_sink": """
