@@ -3,12 +3,14 @@
 Two documents link when 100 * intersection >= percent * union of their shingle sets.
 
 1. Equal sets become one class, named by a 64-bit fingerprint of the set.
-2. Which classes can link at all? Sizes differ by less than the factor, so size classes are cut such that partners are
-   in the same or the next one. In a size class, linked sets differ in at most k elements; the hash range is cut into
-   k + 2 parts, so linked sets agree on two parts at least, and an equal part is an equal key. (A set with two empty
-   parts or more also has keys for these; other sets do not need them.) Components of "share a key" are disjoint
-   neighbourhoods, and every link is inside one. Keys that many documents share are reduced to one row per batch before
-   they are shuffled, and then read in order, with no group held.
+2. Which classes can link at all? Shingles are put in one order for all sets, rare ones first. Of n shingles, linked sets
+   share all but a few, so the first n - ceil(n * percent / 100) + 1 of each have one in common: these are its keys. Sizes
+   differ by less than the factor, so size classes are cut such that partners are in the same or the next one, and keys
+   meet only there. A passage that many documents share comes last in the order and is no key where a document has
+   enough text of its own. Components of "share a key" are disjoint neighbourhoods, and every link is inside one.
+   Keys that many documents share are reduced to one row per batch before they are shuffled, and then read in order,
+   with no group held. How rare a shingle is, is counted over all documents in a table of 2 ** BITS counters, whatever the
+   size of the corpus; counters that shingles share make the order worse, never wrong: any order gives the same links.
 3. A neighbourhood of up to LEAF sets is one region and joined in one task. A larger one is cut into Voronoi regions:
    pivots are chosen in it, each set goes home to its nearest pivot, and is replicated, as a visitor, to every pivot at
    most 2 * epsilon farther away. If d(x, y) <= epsilon, the triangle inequality puts y into the region where x is at
@@ -25,7 +27,6 @@ component one row stays, also where its rows share an id or have none; a row wit
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,8 +52,11 @@ CHUNK = 1000
 ROUNDS = 5
 #: A region is stuck when pivots make more than so many rows of one, or leave a part with this share of it.
 STUCK_ROWS, STUCK_SHARE = 4.0, 0.7
-#: Keys per shingle in one slice, about.
-SLICE_KEYS = 0.15
+#: Counters of shingles: a byte each where keys are made, four in the tasks that count. They travel in slabs.
+BITS = 22
+SLAB = 4096
+#: Steps of a counter's level per doubling.
+STEPS = 8
 BLOCK = 3072
 COLUMNS = 2048
 
@@ -95,29 +99,24 @@ def differences(end: int, percent: int) -> int:
     return 2 * end * (100 - percent) // (100 + percent)
 
 
-@lru_cache(maxsize=4096)
-def cuts(parts: int) -> np.ndarray:
-    return np.array([-(-(j << 64) // parts) for j in range(1, parts)], np.uint64)
+def counter(of: np.ndarray) -> np.ndarray:
+    """The place of each shingle in the table of counters."""
+    return (mixed(of) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def keys(of: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Keys of which linked, unequal sets share one at least."""
-    if not len(of):
+def keys(of: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Keys of which linked, unequal sets share one at least. `of` is sorted; `levels`: how frequent, per counter."""
+    n = len(of)
+    if not n:
         return np.empty(0, np.uint64)
-    ends = size_classes(percent, 1 << max(4, int(len(of)).bit_length()))
-    first = int(np.searchsorted(ends, len(of)))
-    sums = np.zeros(len(of) + 1, np.uint64)
-    np.cumsum(mixed(of), out=sums[1:])
-    found = []
-    for c in (first, first + 1):
-        k = differences(int(ends[c]), percent)
-        if not k:
-            continue  # only equal sets link
-        parts = k + 2
-        at = np.concatenate(([0], np.searchsorted(of, cuts(parts)), [len(of)]))
-        key = mixed(sums[at[1:]] - sums[at[:-1]] + np.arange(parts, dtype=np.uint64) * _B + np.array([c + 1], np.uint64) * _C)
-        empty = at[1:] == at[:-1]
-        found.append(key if empty.sum() >= 2 else key[~empty])
+    rarest = of[np.argsort(levels[counter(of)], kind="stable")[: n - -(-percent * n // 100) + 1]]
+    ends = size_classes(percent, 1 << max(4, n.bit_length()))
+    first = int(np.searchsorted(ends, n))
+    found = [
+        mixed(rarest + np.array([c + 1], np.uint64) * _C)
+        for c in (first, first + 1)
+        if differences(int(ends[c]), percent)  # otherwise only equal sets link
+    ]
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
@@ -145,23 +144,53 @@ def sets(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
     ).mapInArrow(run, SETS)
 
 
-def slices_of(percent: int) -> int:
-    """In how many slices the keys are shuffled, one after the other: one per SLICE_KEYS keys of a shingle."""
-    per_shingle = 2 * 2 * (100 - percent) / (100 + percent)
-    return max(1, round(per_shingle / SLICE_KEYS))
+def frequencies(docs: DataFrame, width: int, text: str) -> np.ndarray:
+    """A level per counter, one byte each: how many documents have its shingles, on a scale of logarithms.
+
+    A task sends its counters once, compressed, in slabs; slabs are added up as they arrive, so that memory is bounded by
+    the table. What comes to the driver is the table: 2 ** BITS bytes.
+    """
+    slabs = (1 << BITS) // SLAB
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << BITS, np.uint32)
+        for batch in batches:
+            for value in strings(batch.column(0)):
+                np.add.at(counts, counter(shingles(value, width)), np.uint32(1))
+        rows = counts.reshape(slabs, SLAB)
+        used = np.flatnonzero(rows.any(axis=1))
+        packed = [pa.compress(rows[i].tobytes(), codec="zstd", asbytes=True) for i in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed, pa.binary())], names=["slab", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for slab, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                counts = np.frombuffer(pa.decompress(packed.as_buffer(), SLAB * 4, codec="zstd"), np.uint32)
+                sums[slab] = sums.get(slab, 0) + counts.astype(np.uint64)
+        level = [np.minimum(STEPS * np.log2(1.0 + c), 255).astype(np.uint8).tobytes() for c in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(level, pa.binary())], names=["slab", "levels"])
 
-def keyed(docs: DataFrame, width: int, percent: int, text: str, slice_: int = 0, slices: int = 1) -> DataFrame:
-    """key, node, and head where the row is no key but says that node and head met in a batch; the keys of one slice.
+    counted = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(count, "slab long, counts binary")
+    summed = written(counted.repartition("slab").mapInArrow(add, "slab long, levels binary"), "frequencies")
+    levels = np.zeros((slabs, SLAB), np.uint8)
+    for row in summed.toLocalIterator():
+        levels[row["slab"]] = np.frombuffer(row["levels"], np.uint8)
+    return levels.reshape(-1)
+
+
+def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
+    """key, node, and head where the row is no key but says that node and head met in a batch.
 
     Rows of a batch that share keys, directly or through others, are reduced to one: the smallest node has all their
-    keys, the others only name it. The keys, several per shingle at low similarities, are never written.
+    keys, the others only name it. The keys are never written.
     """
+    levels = frequencies(docs, width, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, node = _batch_sets(batch.column(0), width)
-            found = [keys(s, percent) for s in of]
+            found = [keys(s, levels, percent) for s in of]
             key = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
             row = np.repeat(np.arange(len(of)), [len(k) for k in found]).astype(np.int64)
             label = neighbours(node, row, key)
@@ -170,9 +199,7 @@ def keyed(docs: DataFrame, width: int, percent: int, text: str, slice_: int = 0,
             key, head = key[order], head[order]
             new = np.concatenate(([True], (key[1:] != key[:-1]) | (head[1:] != head[:-1]))) if len(key) else np.empty(0, bool)
             key, head = key[new], head[new]
-            mine = key.view(np.uint64) % np.uint64(slices) == slice_
-            key, head = key[mine], head[mine]
-            met = np.unique(np.stack([node, label])[:, (node != label) & (slice_ == 0)], axis=1)
+            met = np.unique(np.stack([node, label])[:, node != label], axis=1)
             # Pairs that met travel with the keys, spread by their node.
             columns = [
                 pa.array(np.concatenate([key, mixed(met[0].view(np.uint64)).view(np.int64)])),
@@ -228,19 +255,6 @@ def candidates(rows: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long").distinct()
 
 
-def met(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
-    """All candidate edges. At low similarities a shingle has several keys; they are shuffled slice by slice, each
-    slice's edges written and its shuffle let go before the next, so that the peak on disk stays that of one slice."""
-    slices, edges = slices_of(percent), None
-    for i in range(slices):
-        more = written(candidates(keyed(docs, width, percent, text, i, slices)), "candidates")
-        edges = more if edges is None else edges.unionByName(more)
-        if i + 1 < slices:
-            gc.collect()
-            docs.sparkSession.sparkContext._jvm.System.gc()  # Spark's cleaner frees shuffles that nothing refers to
-    return edges
-
-
 # ---------------------------------------------------------------- regions
 
 REGION = "region long, node long, home boolean, weight long, shingles binary"
@@ -395,7 +409,7 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str = "doc_id", t
     """What `classes` gives, with node and with group: one number per component (null without a set)."""
     found = written(sets(docs, width, id_col, text), "sets")
     copies = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    hoods = components(met(docs, width, percent, text))
+    hoods = components(written(candidates(keyed(docs, width, percent, text)), "candidates"))
     reps = written(hoods.join(copies, "node").select("node", F.col("label").alias("region"), "rep", "weight"), "members")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
