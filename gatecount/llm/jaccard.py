@@ -52,13 +52,19 @@ CHUNK = 1000
 ROUNDS = 5
 #: A region is stuck when pivots make more than so many rows of one, or leave a part with this share of it.
 STUCK_ROWS, STUCK_SHARE = 4.0, 0.7
-#: Counters of shingles: a byte each where keys are made, four in the tasks that count. They travel in slabs.
-BITS = 22
-SLAB = 4096
+#: Counters of shingles: a byte each where keys are made, two in the tasks that count. They travel in slabs, sent before
+#: a counter of two bytes can overflow by documents alone.
+BITS = 24
+SLAB = 16384
+DOCUMENTS = 32768
+#: Documents whose keys are made at once.
+ROWS = 2048
 #: Steps of a counter's level per doubling.
 STEPS = 8
 BLOCK = 3072
 COLUMNS = 2048
+#: Rows of a region whose products are added at once.
+BAND = 256
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
@@ -147,27 +153,34 @@ def sets(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
 def frequencies(docs: DataFrame, width: int, text: str) -> np.ndarray:
     """A level per counter, one byte each: how many documents have its shingles, on a scale of logarithms.
 
-    A task sends its counters once, compressed, in slabs; slabs are added up as they arrive, so that memory is bounded by
-    the table. What comes to the driver is the table: 2 ** BITS bytes.
+    A task sends its counters compressed, in slabs; slabs are added up as they arrive, so that memory is bounded by the
+    table. What comes to the driver is the table: 2 ** BITS bytes.
     """
     slabs = (1 << BITS) // SLAB
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << BITS, np.uint32)
-        for batch in batches:
-            for value in strings(batch.column(0)):
-                np.add.at(counts, counter(shingles(value, width)), np.uint32(1))
+    def sent(counts: np.ndarray) -> pa.RecordBatch:
         rows = counts.reshape(slabs, SLAB)
         used = np.flatnonzero(rows.any(axis=1))
         packed = [pa.compress(rows[i].tobytes(), codec="zstd", asbytes=True) for i in used]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed, pa.binary())], names=["slab", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(packed, pa.binary())], names=["slab", "counts"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(1 << BITS, np.uint16), 0
+        for batch in batches:
+            for value in strings(batch.column(0)):
+                np.add.at(counts, counter(shingles(value, width)), np.uint16(1))
+                seen += 1
+                if seen == DOCUMENTS:
+                    yield sent(counts)
+                    counts[:], seen = 0, 0
+        yield sent(counts)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for slab, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                counts = np.frombuffer(pa.decompress(packed.as_buffer(), SLAB * 4, codec="zstd"), np.uint32)
-                sums[slab] = sums.get(slab, 0) + counts.astype(np.uint64)
+                counts = np.frombuffer(pa.decompress(packed.as_buffer(), SLAB * 2, codec="zstd"), np.uint16)
+                sums[slab] = sums.get(slab, 0) + counts.astype(np.int64)
         level = [np.minimum(STEPS * np.log2(1.0 + c), 255).astype(np.uint8).tobytes() for c in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(level, pa.binary())], names=["slab", "levels"])
 
@@ -188,7 +201,7 @@ def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
     levels = frequencies(docs, width, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             of, node = _batch_sets(batch.column(0), width)
             found = [keys(s, levels, percent) for s in of]
             key = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
@@ -322,7 +335,8 @@ def links_of(members: pd.DataFrame, percent: int, across: bool = False) -> pd.Da
         a, b = np.searchsorted(column, [at, at + COLUMNS])
         x = np.zeros((len(of), COLUMNS), np.float32)
         x[row[a:b], column[a:b] - at] = 1.0
-        common += x @ x.T
+        for i in range(0, len(of), BAND):
+            common[i : i + BAND] += x[i : i + BAND] @ x.T
     link = np.empty(common.shape, bool)
     for i in range(len(of)):
         both = common[i].astype(np.int64)
@@ -334,11 +348,12 @@ def links_of(members: pd.DataFrame, percent: int, across: bool = False) -> pd.Da
     weight, home, node = members["weight"].to_numpy(), members["home"].to_numpy(bool), members["node"].to_numpy()
     label = node
     while True:
-        lower = np.minimum(label, np.where(link, label[None, :], label[:, None]).min(axis=1))
+        lower = np.array([label[near].min(initial=label[i]) for i, near in enumerate(link)], np.int64)
         if (lower == label).all():
             break
         label = lower
-    return pd.DataFrame({"node": node, "links": np.where(home, link @ weight, 0), "to": label}).astype("int64")
+    links = np.array([weight[near].sum() for near in link], np.int64)
+    return pd.DataFrame({"node": node, "links": np.where(home, links, 0), "to": label}).astype("int64")
 
 
 LINKS = "node long, links long, to long"
