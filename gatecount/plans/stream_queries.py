@@ -14,7 +14,7 @@ from gatecount.plans.views import with_views
 from gatecount.session import checkpoint_root
 from gatecount.streaming import ramp as S
 from gatecount.streaming.fold import daily_stream, ramp_stream
-from gatecount.streaming.settle import OUTPUT, PROVIDER, settle_stream
+from gatecount.streaming.settle import OUTPUT, PROVIDER, settle_fixed_stream, settle_stream
 
 
 def _root(spark, name: str) -> str:
@@ -161,6 +161,33 @@ def _settling(readings, root):
     )
 
 
+def listed(parts):
+    """`arrivals`, and one schedule row per show, which has no number and no reading and comes first, long before the start."""
+    rows = arrivals(parts)
+    shows = rows.select("user_id").distinct()
+    at = _starts("user_id") - F.expr(f"INTERVAL '{rules.DISCOVERY_DAYS}' DAY")
+    given = {"user_id": F.col("user_id"), "event_id": F.lit(-1), "ts": at, "arrived_at": at, "part": F.lit(0)}
+    return rows.unionByName(shows.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema]))
+
+
+def stream_settle_fixed(spark, sf_dir):
+    """The same shows, all listed beforehand, settled by session windows that end when a show is due."""
+    root = _root(spark, "settle-fixed")
+
+    def begin(readings):
+        rows = readings.select(
+            "screening_key", _starts("screening_key").alias("starts_at"), F.col("at_ts").alias("event_at"), "seq",
+            F.when(F.col("seq") >= 0, F.col("sold")).alias("sold"), "total", "arrived_at",
+        )
+        return S.write(settle_fixed_stream(rows), f"{root}/settled")
+
+    _run(spark, sf_dir, root, begin, listed, ["arrived_at"])
+    out = S.read(spark, f"{root}/settled", OUTPUT)
+    return out.select(
+        "screening_key", "sold", "total", "confidence", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("captured_at", "settled_at")]
+    )
+
+
 def stream_daily(spark, sf_dir):
     """Settled shows of the stream, folded into days by a second stream that follows the first."""
     root = _root(spark, "daily")
@@ -192,7 +219,7 @@ def stream_old_hours(spark, sf_dir):
     return S.read(spark, f"{root}/old", "film_id bigint, sold bigint, hour timestamp_ntz")
 
 
-QUERIES = {f.__name__: f for f in (stream_sales_ramp, stream_confirmed_ramp, stream_looks, stream_alert, stream_settle, stream_daily, stream_old_hours)}
+QUERIES = {f.__name__: f for f in (stream_sales_ramp, stream_confirmed_ramp, stream_looks, stream_alert, stream_settle, stream_settle_fixed, stream_daily, stream_old_hours)}
 
 _SETTLED = """, s AS (
           SELECT DISTINCT screening_key, TIMESTAMP '2024-01-02 20:00:00' + to_days(CAST(screening_key % 40 AS INTEGER)) + to_hours(screening_key % 7) AS starts_at FROM vr),
@@ -255,3 +282,4 @@ ORACLES = {
         "ramp", body=f" SELECT * FROM ramp WHERE hour + INTERVAL 1 HOUR <= (SELECT max(hour) - INTERVAL {rules.RAMP_RETENTION_DAYS} DAY FROM ramp)"
     ),
 }
+ORACLES["stream_settle_fixed"] = ORACLES["stream_settle"]

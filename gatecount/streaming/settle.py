@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gatecount import rules
+from gatecount.functions.times import minutes
 
 OUTPUT = "screening_key bigint, sold bigint, total bigint, confidence string, captured_at timestamp, settled_at timestamp, starts_at timestamp"
 STATE = "starts_us bigint, seq bigint, at_us bigint, sold bigint, total bigint, settled boolean, listed bigint"
@@ -121,3 +122,42 @@ def settle_stream(
     return timed.groupBy("screening_key").transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"
     )
+
+
+def settle_fixed_stream(
+    rows: DataFrame, delay_minutes: int = 120, clock: str = "arrived_at", grace_minutes: int = rules.SETTLE_GRACE_MINUTES
+) -> DataFrame:
+    """What `settle_stream` gives for shows whose start never moves, on Spark's own session windows: no Python, no timers.
+
+    A row opens a session from its arrival until the show is due: ``grace_minutes`` after the start and ``delay_minutes``
+    more, in which late readings still arrive. All rows of a show end at the same instant, so they are one session with
+    one state row, and it is written once, when the newest arrival reaches that end. A row that arrives later opens
+    nothing; a show that is never listed or read in time is therefore not settled at all, so list each show beforehand.
+    Rows with a null start or arrival are left out. Where a show is announced with several starts, the latest of them
+    ends its session, and readings are judged by the start they come with; `settle_stream` follows moves.
+    """
+    starts, at = F.col("starts_at").cast("timestamp"), F.col("event_at").cast("timestamp")
+    counts = F.col("sold").isNotNull() & (F.col("seq") >= 0) & (at <= starts + minutes(grace_minutes))
+    timed = rows.select(
+        "screening_key",
+        F.col(clock).cast("timestamp").alias("clock"),
+        starts.alias("starts_at"),
+        (starts + minutes(grace_minutes + delay_minutes)).alias("_due"),
+        F.when(counts, F.col("seq")).alias("_seq"),
+        F.struct(at.alias("captured_at"), "sold", "total").alias("_read"),
+    ).withWatermark("clock", "0 seconds")
+    left = F.concat((F.unix_micros("_due") - F.unix_micros("clock")).cast("string"), F.lit(" microseconds"))
+    last = timed.where("_due > clock").groupBy("screening_key", F.session_window("clock", left)).agg(
+        F.max_by("_read", "_seq").alias("_last"), F.max("starts_at").alias("starts_at")
+    )
+    captured = F.col("_last.captured_at")
+    grade = F.when(captured.isNull(), "missed").when(captured >= F.col("starts_at") - minutes(rules.FINAL_LEAD_MINUTES), "final")
+    return last.select(
+        "screening_key",
+        F.coalesce("_last.sold", F.lit(0)).cast("bigint").alias("sold"),
+        F.coalesce("_last.total", F.lit(0)).cast("bigint").alias("total"),
+        grade.otherwise("partial").alias("confidence"),
+        captured.alias("captured_at"),
+        (F.col("starts_at") + minutes(grace_minutes)).alias("settled_at"),
+        "starts_at",
+    )

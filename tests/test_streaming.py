@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from gatecount.operators import readings as R
 from gatecount.functions import times as T
 from gatecount.streaming import ramp as S
-from gatecount.streaming.settle import PROVIDER, settle_stream
+from gatecount.streaming.settle import PROVIDER, settle_fixed_stream, settle_stream
 
 SCHEMA = "screening_key bigint, film_id bigint, seq bigint, at_ts timestamp_ntz, sold bigint, total bigint"
 START = dt.datetime(2026, 8, 1)
@@ -131,7 +131,7 @@ def test_alerts_check_once_per_batch(spark, tmp_path, state_store):
 SETTLE = "screening_key bigint, starts_at timestamp_ntz, event_at timestamp_ntz, seq bigint, sold bigint, total bigint, arrived_at timestamp_ntz"
 
 
-def settled(spark, tmp_path, batches, **options):
+def settled(spark, tmp_path, batches, settle=settle_stream, **options):
     for rows in batches:
         spark.createDataFrame(rows, SETTLE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
@@ -139,7 +139,7 @@ def settled(spark, tmp_path, batches, **options):
     try:
         rows = spark.readStream.schema(SETTLE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
         query = (
-            settle_stream(rows, **options).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+            settle(rows, **options).writeStream.format("parquet").option("path", str(tmp_path / "out"))
             .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         )
         query.awaitTermination()
@@ -208,3 +208,44 @@ def test_folded_days_leave_the_state(spark, tmp_path):
     out = S.read(spark, str(tmp_path), days).collect()
     assert len({(r.day, r.film_id) for r in out}) == len(out) and len(out) >= 2 * 45
     assert all(r.screenings == r.final == 1 and r.capacity == 9 and r.gross == r.sold * 205.0 for r in out)
+
+
+def test_session_windows_settle_fixed_shows(spark, tmp_path):
+    day = minute(0)
+    batches = [  # key, start, reading at, seq, sold, total, arrived
+        [(k, day, minute(-600), 0, None, None, minute(-600)) for k in (1, 2, 3)] + [(None, day, minute(-600), 0, None, None, minute(-600))],
+        # A clock that is days ahead, a reading after the grace time, a null start.
+        [(1, day, minute(-60), 2, 10, 90, minute(-60)), (2, day, minute(9000), 3, 90, 90, minute(-50)), (7, None, minute(-40), 4, 1, 2, minute(-40))],
+        # Late, and out of order: arrival order (seq) decides.
+        [(1, day, minute(-10), 6, 33, 90, minute(100)), (2, day, minute(-300), 5, 5, 90, minute(20)), (1, day, minute(40), 8, 77, 90, minute(40))],
+        [(5, minute(900), minute(149), 9, 2, 9, minute(149))],
+        [(1, day, minute(-1), 10, 34, 90, minute(148)), (5, minute(900), minute(150), 11, 3, 9, minute(150))],
+        # Due at 150: what comes now is too late, and a show that was never listed is not settled.
+        [(1, day, minute(-1), 12, 35, 90, minute(151)), (4, day, minute(-1), 13, 35, 90, minute(151)), (5, minute(900), minute(500), 14, 4, 9, minute(500))],
+    ]
+    out = settled(spark, tmp_path, batches, settle_fixed_stream)
+    assert out == {1: (34, 90, "final"), 2: (5, 90, "partial"), 3: (0, 0, "missed"), None: (0, 0, "missed")}
+
+
+def test_session_windows_settle_like_the_processor(spark, tmp_path):
+    rng = random.Random(5)
+    starts = {k: minute(rng.randrange(0, 900)) for k in range(12)}
+    rows, now = [[(k, s, minute(-400), 0, None, None, minute(-400)) for k, s in starts.items()]], -300
+    for seq in range(1, 200):
+        key, now = rng.randrange(0, 12) if rng.random() < 0.6 else 0, now + 8
+        at = minute(now - (rng.randrange(0, 100) if rng.random() < 0.3 else 0))
+        if minute(now) < starts[key]:  # read before the start; some of it arrives late
+            rows.append([(key, starts[key], at, seq, rng.randrange(0, 50), 50, minute(now))])
+    rows.append([(99, minute(9000), minute(2000), 500, 1, 1, minute(2000))])
+    batches = [sum(rows[i : i + 30], []) for i in range(0, len(rows), 30)]
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    out = settled(spark, tmp_path / "a", batches, settle_fixed_stream)
+    assert out.keys() == starts.keys() and out == settled(spark, tmp_path / "b", batches)
+
+
+def test_session_windows_need_no_python(spark, tmp_path):
+    spark.createDataFrame([], SETTLE).write.parquet(str(tmp_path / "in"))
+    rows = settle_fixed_stream(spark.readStream.schema(SETTLE).parquet(str(tmp_path / "in")))
+    assert rows.isStreaming
+    plan = settle_fixed_stream(spark.read.schema(SETTLE).parquet(str(tmp_path / "in")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and plan.count("Exchange") <= 1
