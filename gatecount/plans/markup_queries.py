@@ -41,6 +41,45 @@ def markup_count(spark, sf_dir):
     return V.pages(spark, sf_dir).select("page_id", read.alias("r")).select("page_id", "r.sold", "r.total", "r.sellable")
 
 
+def programme(spark, sf_dir):
+    """Programme pages, one per order: a day and a venue per line, rows with lists inside, every other one without its end tag."""
+    line = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    film, number = F.col("l_partkey"), F.col("l_linenumber")
+    put = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    def show(last: int, hour: int, tooltip: str):
+        number_of = F.col("l_orderkey") * 100 + number * 10 + last
+        at = put(F.lit(hour) + number, ":", F.lpad((film % 60).cast("string"), 2, "0"))
+        return put('<div class="item" title="', tooltip, '" onclick="getScreening(', number_of, ', this)" >', at, "</div>")
+
+    first = put(
+        "<li><a href='/filmy/detail/?id=", film, "'>Film ", film, "</a><div Class='location-icon'><i></i> Hall ", F.col("l_suppkey") % 9, "</div>",
+        "<UL class='notes'><li>a note<ol><li/>deep</ol><li>an open note</UL><span style='font-size: 0.8em;'>DAB</span>",
+        show(1, 2, "3D, 90 minut"), show(2, 12, "90 minut"), F.when(number % 2 == 0, F.lit("</li>")).otherwise(F.lit("\n")),
+    )
+    second = put('<li class="row"><a href=\'/filmy/detail/?id=', film + 1, "'>Film &amp; ", film + 1, "</a>", show(3, 14, ""), "</li>")
+    block = put("<div class='tab-item x'><h2 class=\"cinema-name\">Venue ", F.col("l_suppkey"), "</h2><ul>", first, second, "</ul></div>")
+    label = put('<a class="big-date-a">', F.date_format("l_shipdate", "dd.MM.yyyy"), "</a>")
+    lines = line.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", label.alias("label"), block.alias("block")))).alias("lines"))
+    html = F.concat(F.array_join(F.col("lines.label"), ""), F.array_join(F.col("lines.block"), ""))
+    out = markup.programme(lines.select(F.col("l_orderkey").alias("page_id"), html.alias("html")))
+    return out.withColumn("attributes", F.array_join("attributes", "+"))
+
+
+def seat_prices(spark, sf_dir):
+    """Seat plans, one per order: a seat per line at its price, taken where the line was returned, the fifth line's free of charge."""
+    cents = F.when(F.col("l_linenumber") == 5, F.lit(0)).otherwise(F.round(F.col("l_extendedprice") * 100)).cast("bigint")
+    crowns = F.floor(cents / 100)
+    printed = F.concat(
+        F.floor(crowns / 1000).cast("string"), F.lit("\u00a0"), F.lpad((crowns % 1000).cast("string"), 3, "0"),
+        F.lit(","), F.lpad((cents % 100).cast("string"), 2, "0"),
+    )
+    css = F.when(F.col("l_returnflag") == "R", F.lit("vip occupied")).otherwise(F.lit("vip"))
+    seat = F.concat(F.lit('<g class="seat-item '), css, F.lit('"><title>Cena: '), printed, F.lit(" Kč</title></g>\n"))
+    plans = V.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(seat), "").alias("html"))
+    return plans.select(F.col("l_orderkey").alias("page_id"), markup.markup_occupancy(F.col("html")).alias("r")).select("page_id", "r.*")
+
+
 def link_listing_dedup(spark, sf_dir):
     """First link per page and case-folded initial of the path."""
     out = markup.link_listing(
@@ -259,6 +298,8 @@ QUERIES = {
         strip_markup,
         html_nested_extract,
         markup_count,
+        programme,
+        seat_prices,
         link_listing_dedup,
         distinct_links,
         payload_deref,
@@ -292,6 +333,21 @@ ORACLES = {
         WITH l AS (SELECT page_id, regexp_extract_all(html, '<li>.*?</li>') AS l FROM pages),
         c AS (SELECT page_id, CAST(len(list_filter(l, lambda x: regexp_matches(x, 'href="/[a-z]'))) AS BIGINT) AS sold, CAST(len(l) AS BIGINT) AS total FROM l)
         SELECT *, total > 0 AND sold < total AS sellable FROM c""",
+    "programme": f"""
+        WITH w AS (
+          SELECT *, l_orderkey * 100 + l_linenumber * 10 + s AS id, CAST(l_shipdate AS DATE) AS day, l_partkey + CAST(s = 3 AS INTEGER) AS film,
+                 CAST(CAST(l_shipdate AS DATE) AS TIMESTAMP) + to_hours(CAST([2, 12, 14][s] + l_linenumber AS INTEGER)) + to_minutes(CAST(l_partkey % 60 AS INTEGER)) AS wall
+          FROM lineitem, (SELECT unnest([1, 2, 3]) AS s))
+        SELECT l_orderkey AS page_id, CAST(id AS VARCHAR) AS screening_id, day, wall, (wall AT TIME ZONE '{rules.LOCAL_ZONE}') AT TIME ZONE 'UTC' AS starts_at,
+               'Venue ' || l_suppkey AS venue, CASE WHEN s < 3 THEN 'Hall ' || l_suppkey % 9 ELSE 'Venue ' || l_suppkey END AS hall, CAST(film AS VARCHAR) AS film_ext_id,
+               CASE WHEN s < 3 THEN 'Film ' ELSE 'Film & ' END || film AS title, CASE WHEN s < 3 THEN 'DAB' END AS version, CASE WHEN s < 3 THEN 'dabing' END AS lang,
+               CASE WHEN s = 1 THEN '3D' ELSE '' END AS attributes
+        FROM w""",
+    "seat_prices": """
+        WITH p AS (SELECT l_orderkey, l_returnflag = 'R' AS taken, CASE WHEN l_linenumber = 5 THEN 0 ELSE CAST(round(l_extendedprice * 100) AS BIGINT) END AS cents FROM lineitem)
+        SELECT l_orderkey AS page_id, count(*) FILTER (taken) AS sold, count(*) AS total, CAST(min(cents) FILTER (NOT taken AND cents > 0) AS DOUBLE) / 100 AS price_min,
+               CAST(max(cents) FILTER (NOT taken AND cents > 0) AS DOUBLE) / 100 AS price_max, count(*) FILTER (NOT taken) > 0 AS sellable
+        FROM p GROUP BY 1""",
     "link_listing_dedup": """
         WITH l AS (SELECT page_id, generate_subscripts(x, 1) - 1 AS position, unnest(x) AS link
                    FROM (SELECT page_id, regexp_extract_all(html, '(href="/[^"]*">[^<]*)<', 1) AS x FROM pages)),

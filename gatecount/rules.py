@@ -88,7 +88,8 @@ PAYLOAD_SCRIPT = r'(?s)<script type="application/json"[^>]*id="__NUXT_DATA__"[^>
 DAY_LABEL = r'big-date-a">(\d{2}\.\d{2}\.\d{4})<'
 DAY_BLOCK = r"""(?i)<div class=['"]tab-item[^>]*>"""
 VENUE_HEADING = r'cinema-name">([^<]*)<'
-LIST_ITEM = r"(?s)<li>(.*?)</li>"
+LIST_TAGS = ("ul", "ol")
+ITEM_TAG = "li"
 FILM_LINK = r"(?s)href='/filmy/detail/\?id=(\d+)'[^>]*>(.*?)</a>"
 FILM_STRAND = r"(?s)<div class='other-val'>.*?</div>"
 HALL_LABEL = r"(?s)<div Class='location-icon'>(.*?)</div>"

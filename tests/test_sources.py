@@ -126,6 +126,35 @@ def test_programme(spark):
     assert (out["5"]["venue"], out["5"]["hall"], out["5"]["version"]) == ("Malé kino", "Malé kino", None)
 
 
+def test_items_by_nesting(spark):
+    cases = {
+        "plain": ("x<ul><li>a</li> <li class='b'>b</li></ul>", ["a", "b"]),
+        "no list around": ("<li>a</li>z<LI>b</LI>", ["a", "b"]),
+        "lists inside": ("<ul><li>a<ol><li>1</li><li>2<ul><li>3</ul></ol>z</li>gap<li>b</li></ul>", ["a<ol><li>1</li><li>2<ul><li>3</ul></ol>z", "b"]),
+        "no end tags": ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>tail<li>", ["a", "b<ul><li>c</ul>", "d", ""]),
+        "two lists": ("<ul><li>a</ul>gap<ol><li>b</ol>", ["a", "b"]),
+        "stray ends": ("</li></li><ul><li>a</li></li>gap</ul>", ["a"]),
+        "other tags": ("<ul><link><li>a<lié></li><ulx></ul>", ["a<lié>"]),
+        "lines": ("<ul>\n<li\nid='1'>a\nb</li>\n</ul>", ["a\nb"]),
+        "never closed": ("<ul><li>a<ul><li>b</li><li>c", ["a<ul><li>b</li><li>c"]),
+        "empty item": ("<ul><li></li><li/></ul>", ["", ""]),
+        "empty": ("", []),
+        "none": (None, []),
+    }
+    rows = [(name, name, body) for name, (body, _) in cases.items()] + [(None, "plain", "<li>n"), ("plain", "plain", cases["plain"][0])]
+    out = markup.balanced_items(spark.createDataFrame(rows, "item string, tag string, _body string").withColumnRenamed("item", "name"))
+    assert out.columns == ["name", "tag", "item_no", "item"]
+    found = {}
+    for r in out.orderBy("item_no").collect():
+        found.setdefault(r["name"], []).append(r["item"])
+    wanted = {name: items for name, (_, items) in cases.items() if items} | {None: ["n"], "plain": ["a", "a", "b", "b"]}
+    assert found == wanted
+
+
+def test_items_of_no_rows(spark):
+    assert markup.balanced_items(spark.createDataFrame([], "k int, _body string")).collect() == []
+
+
 def test_seat_plan(one):
     seat = lambda css, price: f'<g class="seat-item {css}"><title>Cena: {price} Kč</title></g>'
     read = markup.markup_occupancy(F.col("h"))
