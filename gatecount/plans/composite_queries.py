@@ -51,6 +51,47 @@ def live_report(spark, sf_dir):
     return figures.select("section", "measure", F.round("value", 2).alias("value"))
 
 
+# Of each answer: key columns, numbers, texts.
+_ANSWERS = {
+    "today": ("", "admissions seats_offered screenings screenings_done sellouts gross occupancy", ""),
+    "week": ("", "admissions seats_offered screenings gross presale occupancy", ""),
+    "films": (
+        "film_id",
+        "today_admissions today_seats today_screenings week_admissions week_seats week_screenings sellouts presale today_occupancy week_occupancy",
+        "",
+    ),
+    "by_day": ("film_id day", "admissions", ""),
+    "week_days": ("day", "admissions seats_offered screenings past", ""),
+    "breakdowns": ("film_id breakdown value", "admissions seats_offered", ""),
+    "cinemas": ("film_id", "cinemas", ""),
+    "top_cinemas": ("film_id cinema", "admissions seats_offered", ""),
+    "fullest": ("screening_key", "film_id admissions seats ratio", "cinema"),
+    "upcoming": ("screening_key", "film_id admissions", "hall starts_at"),
+    "today_list": ("screening_key", "film_id admissions seats", "hall starts_at"),
+    "ramp_hours": ("hour", "sold", ""),
+    "ramp_summary": ("", "sold_today sold_last_hour hours_today sold_week", ""),
+    "official": ("film_id", "admissions since_admissions total", "as_of"),
+    "forecast": ("film_id", "weeks total low high screen_trend", ""),
+    "forecast_trend": ("film_id cut", "week predicted", ""),
+    "ranking": ("title_key", "admissions gross year", "title last_seen"),
+    "archive": ("", "weekend_total weeks_stored", "weekend_from archive_from"),
+    "weekend": ("film_id run", "rank weekend_admissions total_admissions", ""),
+    "coverage": ("", "total missed partial", ""),
+}
+
+
+def _digits(measure: str) -> int:
+    return 2 if measure == "gross" else 6
+
+
+def report_answers(spark, sf_dir):
+    """All answers of the report in long form."""
+    parts = {section: tuple(names.split() for names in of) for section, of in _ANSWERS.items()}
+    rows = _report(spark, sf_dir).long_rows(parts)
+    money = F.col("measure") == "gross"
+    return rows.withColumn("value", F.when(money, F.round("value", 2)).otherwise(F.round("value", 6)))
+
+
 def report_forecasts(spark, sf_dir):
     """The log rows the report adds: this week's films, planned screens included."""
     rows = _report(spark, sf_dir).forecast_snapshots()
@@ -118,7 +159,7 @@ def ingest_cycle(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
-QUERIES = {f.__name__: f for f in (live_report, report_forecasts, ingest_cycle)}
+QUERIES = {f.__name__: f for f in (live_report, report_answers, report_forecasts, ingest_cycle)}
 
 _SHIFT = "to_days(CAST(DATE '1998-06-17' - DATE '2024-01-20' AS INTEGER))"
 _RAMP_DAY = "CAST(hour + " + _SHIFT + " AS DATE)"
@@ -200,3 +241,55 @@ ORACLES = {
         UNION ALL SELECT 'ramp sold', CAST(coalesce(sum(delta) FILTER (delta > 0 AND date_trunc('hour', at_ts) >= TIMESTAMP '{V.NOW}' - INTERVAL 21 DAY), 0) AS BIGINT) FROM rc""",
     ),
 }
+
+_PLANNED = "(SELECT CASE WHEN past >= 8 THEN next::DOUBLE / past END FROM pr WHERE pf = p.film_id)"
+_AT_LAST = f"CASE WHEN p.cut = (SELECT max(n) FROM clean c WHERE c.run = p.run) THEN {_PLANNED} END"
+_ROLLUPS = {"today": "day_totals", "week": "week_totals", "films": "film_period", "by_day": "film_by_day", "week_days": "week_spine"} | {
+    "breakdowns": "breakdown_sets", "cinemas": "cinemas_per_film", "top_cinemas": "top_cinemas", "fullest": "fullest",
+    "upcoming": "upcoming", "today_list": "todays_list",
+}
+_OFFICIAL = {"ranking": "all_time_ranking", "archive": "archive_summary", "weekend": "newest_weekend"}
+_SQL = (
+    {section: rollup_queries.ORACLES[name] for section, name in _ROLLUPS.items()}
+    | {section: official_queries.ORACLES[name] for section, name in _OFFICIAL.items()}
+    | {
+        "ramp_hours": with_views("ramp", body=f" SELECT hour + {_SHIFT} AS hour, sum(sold) AS sold FROM ramp GROUP BY 1 HAVING sum(sold) > 0"),
+        "ramp_summary": with_views(
+            "ramp",
+            body=f""", t AS (SELECT hour, sum(sold) AS sold FROM ramp GROUP BY 1),
+            b AS (SELECT *, row_number() OVER (ORDER BY hour DESC) AS back FROM t WHERE {_RAMP_DAY} = DATE '1998-06-17')
+            SELECT (SELECT sum(sold) FROM b) AS sold_today, (SELECT sold FROM b WHERE back = 2) AS sold_last_hour, (SELECT count(*) FROM b) AS hours_today,
+                   (SELECT sum(sold) FROM t WHERE {_RAMP_DAY} >= DATE '1998-06-15') AS sold_week""",
+        ),
+        "official": with_views("vs", "vw", body="")
+        + f""", o AS (
+          SELECT film_id, total_admissions AS admissions, weekend_from AS as_of FROM vw
+          WHERE weekend_from >= CAST(TIMESTAMP '{V.NOW}' - INTERVAL {rules.CURRENT_RUN_DAYS} DAY AS DATE)
+          QUALIFY row_number() OVER (PARTITION BY film_id ORDER BY total_admissions DESC, weekend_from, title) = 1)
+        SELECT o.film_id, admissions, as_of, coalesce(sum(sold) FILTER (day >= as_of + {rules.HANDOVER_DAYS}), 0) AS since_admissions,
+               admissions + coalesce(sum(sold) FILTER (day >= as_of + {rules.HANDOVER_DAYS}), 0) AS total
+        FROM o LEFT JOIN vsb ON vsb.film_id = o.film_id GROUP BY 1, 2, 3""",
+        "forecast": f"SELECT * RENAME (predicted AS total) FROM ({ORACLES['report_forecasts']})",
+        "forecast_trend": ORACLES["report_forecasts"].split(official_queries._model(official_queries._FULL, _PLANNED))[0]
+        + official_queries._model(official_queries._EVERY, _AT_LAST)
+        + official_queries._TREND,
+        "coverage": with_views(
+            "vs",
+            body=f""" SELECT count(*) AS total, count(*) FILTER (confidence = 'missed') AS missed, count(*) FILTER (confidence = 'partial') AS partial
+            FROM vset WHERE confidence IS NOT NULL AND starts_at >= TIMESTAMP '{V.NOW}' - INTERVAL 7 DAY""",
+        ),
+    }
+)
+
+
+def _long(section: str) -> str:
+    keys, numbers, texts = (names.split() for names in _ANSWERS[section])
+    of = lambda items: "[" + ", ".join(items) + "]"
+    key = "concat_ws('|', " + ", ".join(f"CAST({c} AS VARCHAR)" for c in keys) + ")" if keys else "''"
+    value = of([f"round(CAST({c} AS DOUBLE), {_digits(c)})" for c in numbers] + ["CAST(NULL AS DOUBLE)" for _ in texts])
+    text = of(["CAST(NULL AS VARCHAR)" for _ in numbers] + [f"CAST({c} AS VARCHAR)" for c in texts])
+    measure = of([f"'{c}'" for c in (*numbers, *texts)])
+    return f"SELECT '{section}' AS section, {key} AS key, unnest({measure}) AS measure, unnest({value}) AS value, unnest({text}) AS text FROM ({_SQL[section]})"
+
+
+ORACLES["report_answers"] = "\nUNION ALL\n".join(_long(section) for section in _ANSWERS)

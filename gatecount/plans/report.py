@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
 from functools import cached_property, reduce
 
 from pyspark import StorageLevel
@@ -142,6 +143,26 @@ class LiveReport:
             parts.append(df.select(F.lit(section).alias("section"), F.explode(pairs).alias("measure", "value")))
         return reduce(DataFrame.unionByName, parts)
 
+    def long_rows(self, parts: Mapping[str, tuple[Sequence[str], Sequence[str], Sequence[str]]]) -> DataFrame:
+        """Answers as rows (section, key, measure, value, text).
+
+        ``parts`` names of each answer the columns that make the key, those shown as numbers and those shown as text. A
+        null key column is left out of the key; a null measure is a row without value and text.
+        """
+        types = {"value": "double", "text": "string"}
+
+        def cells(names: Sequence[str], kind: str) -> list[Column]:
+            shown = lambda name: [(F.col(name) if k == kind else F.lit(None)).cast(t).alias(k) for k, t in types.items()]
+            return [F.struct(F.lit(name).alias("measure"), *shown(name)) for name in names]
+
+        rows = []
+        for section, (keys, numbers, texts) in parts.items():
+            df = getattr(self, section)()
+            key = F.concat_ws("|", *[F.col(c).cast("string") for c in keys]) if keys else F.lit("")
+            of = F.explode(F.array(*cells(numbers, "value"), *cells(texts, "text"))).alias("_c")
+            rows.append(df.select(F.lit(section).alias("section"), key.alias("key"), of).select("section", "key", "_c.*"))
+        return reduce(DataFrame.unionByName, rows)
+
     def forecast_snapshots(self) -> DataFrame:
         """This run's forecasts as log rows; films without an official total are left out."""
         totals = O.latest_totals(self.weekly, self.now).select("film_id", "as_of")

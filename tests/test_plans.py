@@ -48,3 +48,34 @@ def test_readings_are_shuffled_by_key_and_segment_only(spark, name):
     windows = [line for line in plan.splitlines() if "Window [" in line]
     # Inside a segment, or over the table of one row per (key, segment).
     assert windows and all("_segment" in line for line in windows)
+
+
+def test_the_long_report_holds_every_answer(spark):
+    from gatecount.plans import composite_queries as C
+    from gatecount.plans.report import LiveReport
+
+    assert set(C._ANSWERS) == set(LiveReport.ANSWERS)
+    rows = C.report_answers(spark, "/root/testdata/sf0.001").groupBy("section").count().collect()
+    assert {r["section"] for r in rows} == set(LiveReport.ANSWERS)
+
+
+def test_long_rows_of_odd_values(spark):
+    from gatecount.plans.report import LiveReport
+
+    class Given(LiveReport):
+        def films(self):
+            return spark.createDataFrame([(1, None, True, None), (1, "x", None, "t"), (None, None, False, "")], "a int, b string, n boolean, t string")
+
+        def week(self):
+            return spark.createDataFrame([], "n int")
+
+    report = Given(*[None] * 7)
+    out = report.long_rows({"films": (["a", "b"], ["n"], ["t"]), "week": ([], ["n"], [])})
+    assert out.columns == ["section", "key", "measure", "value", "text"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        [
+            ("films", "1", "n", 1.0, None), ("films", "1", "t", None, None), ("films", "1|x", "n", None, None),
+            ("films", "1|x", "t", None, "t"), ("films", "", "n", 0.0, None), ("films", "", "t", None, ""),
+        ],
+        key=str,
+    )
