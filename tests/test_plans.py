@@ -79,3 +79,10 @@ def test_long_rows_of_odd_values(spark):
         ],
         key=str,
     )
+
+
+@pytest.mark.parametrize("name", ["run_series", "hold_strength", "report_forecasts"])
+def test_no_hash_aggregate_holds_a_row_per_supplier(spark, name):
+    """A film's week has about as many suppliers as lines: one hash entry each would be the whole input."""
+    keyed = [line for line in plan_of(spark, name).splitlines() if "HashAggregate(keys=[" in line]
+    assert keyed and not any("l_suppkey" in line.split("functions=")[0] for line in keyed)
