@@ -90,7 +90,7 @@ def _doubled(spark, sf_dir):
         F.when(F.col("p_partkey") % 5 == 0, "event").alias("kind"),
         F.when(F.col("p_partkey") % 6 == 5, F.col("p_retailprice")).alias("rating"),
     )
-    return E.with_identity(rows)
+    return E.with_identity_by_title(rows)
 
 
 def duplicate_map(spark, sf_dir):

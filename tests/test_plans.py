@@ -86,3 +86,11 @@ def test_no_hash_aggregate_holds_a_row_per_supplier(spark, name):
     """A film's week has about as many suppliers as lines: one hash entry each would be the whole input."""
     keyed = [line for line in plan_of(spark, name).splitlines() if "HashAggregate(keys=[" in line]
     assert keyed and not any("l_suppkey" in line.split("functions=")[0] for line in keyed)
+
+
+@pytest.mark.parametrize("name", ["duplicate_map", "remapped_ramp"])
+def test_titles_are_normalised_once_per_different_title(spark, name):
+    """Nothing that names a column of the table of parts also normalises."""
+    plan = plan_of(spark, name)
+    assert r"\p{M}" in plan
+    assert not any(r"\p{M}" in line and "p_name" in line for line in plan.splitlines())

@@ -196,3 +196,11 @@ def test_restrict_and_only_new(spark):
     listed = spark.createDataFrame([(1,), (1,)], "film_id bigint")
     assert [tuple(r) for r in E.restrict_to(series, listed).collect()] == [(1, 5)]
     assert [tuple(r) for r in E.only_new(series, listed, ["film_id"]).collect()] == [(2, 6)]
+
+
+def test_identity_by_title_is_the_identity_of_each_row(spark):
+    rows = [(1, " Válka 3D ", None), (2, " Válka 3D ", None), (3, None, None), (4, "", ""), (5, "A", " The A "), (6, "A", None), (7, None, "B"), (8, "3D", " ")]
+    films = spark.createDataFrame(rows, "film_id bigint, title string, original_title string")
+    columns = ["film_id", *E.KEYS, "title", "original_title"]
+    made = E.with_identity_by_title(films).select(*columns)
+    assert sorted(made.collect()) == sorted(E.with_identity(films).select(*columns).collect())
