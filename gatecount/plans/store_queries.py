@@ -58,7 +58,9 @@ def chain_feed(spark, sf_dir):
         ).alias("p"),
     )
     path = _path(spark, "feed")
-    shows.groupBy("l_suppkey", "month").agg(F.collect_list("p").alias("presentations")).select("presentations").write.json(path)
+    # Feed documents repeat their field names in every presentation: packed, they take a fraction of the room.
+    documents = shows.groupBy("l_suppkey", "month").agg(F.collect_list("p").alias("presentations")).select("presentations")
+    documents.write.json(path, compression="lz4")
     out = feeds.presentations(snapshots.read_json(spark, path, feeds.FEED), "a", "In ")
     return out.select(
         "screening_key", "starts_at", "day", "cinema_key", "cinema", "hall_key", "hall", "alias_key", "title", "original_title", "sold_out", "free_ratio"

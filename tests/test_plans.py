@@ -94,3 +94,12 @@ def test_titles_are_normalised_once_per_different_title(spark, name):
     plan = plan_of(spark, name)
     assert r"\p{M}" in plan
     assert not any(r"\p{M}" in line and "p_name" in line for line in plan.splitlines())
+
+
+def test_stored_feeds_are_packed(spark, tmp_path, monkeypatch):
+    from gatecount.plans import store_queries as Q
+
+    monkeypatch.setattr(Q, "_path", lambda spark, name: str(tmp_path / name))
+    assert Q.chain_feed(spark, SF).count() == spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    files = [f for f in os.listdir(tmp_path / "feed") if f.startswith("part-")]
+    assert files and all(f.endswith(".json.lz4") for f in files)
