@@ -204,3 +204,23 @@ def test_identity_by_title_is_the_identity_of_each_row(spark):
     columns = ["film_id", *E.KEYS, "title", "original_title"]
     made = E.with_identity_by_title(films).select(*columns)
     assert sorted(made.collect()) == sorted(E.with_identity(films).select(*columns).collect())
+
+
+def test_upsert_moves_every_show_once(spark):
+    """What joins by show after an upsert finds it dealt out by show already."""
+    kind = "screening_key string, starts_at timestamp_ntz, day date, formats array<string>, sold_out boolean, hall string, sold bigint"
+    stored = spark.createDataFrame([("a", None, None, ["2D"], True, "old", 7), ("b", None, None, None, False, None, None)], kind)
+    told = [("a", None, None, ["3D"], False, "new", None, 2), ("a", None, None, None, True, "newer", None, 1), ("c", None, None, None, None, "x", None, 5), ("c", None, None, ["V"], None, None, None, 9)]
+    incoming = spark.createDataFrame(told, kind + ", position bigint").drop("sold")
+    out = E.upsert_screenings(stored, incoming)
+    assert out.columns == stored.columns
+    rows = {r[0]: tuple(r[3:]) for r in out.collect()}
+    assert rows == {"a": (["3D"], False, "old", 7), "b": (None, False, None, None), "c": (["V"], None, "x", None)}
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        read = spark.range(9).select(F.col("id").cast("string").alias("screening_key"), "id").groupBy("screening_key").count()
+        plan = out.join(read, "screening_key", "left")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert plan.count("Exchange hashpartitioning(screening_key") == 2
