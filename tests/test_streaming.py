@@ -58,6 +58,19 @@ def test_ramp_parity(spark, source, tmp_path, state_store, confirm):
     assert S.looks(spark, str(tmp_path)).isEmpty()
 
 
+def test_shows_share_a_state(spark, tmp_path, state_store):
+    """Many shows, few calls: one state row per bucket, and the same hours as the batch operator, null keys and films too."""
+    rng = random.Random(7)
+    rows = [(rng.choice([None, *range(90)]), rng.choice([None, 1]), seq, START + dt.timedelta(minutes=seq), rng.randrange(0, 51), 50) for seq in range(1500)]
+    for i in range(3):
+        spark.createDataFrame(rows[i * 500 : (i + 1) * 500], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = S.write(S.sales_stream(stream(spark, str(tmp_path / "in")), True, buckets=3), str(tmp_path), "kind")
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
+    named = [(90 if r[0] is None else r[0], *r[1:]) for r in rows]  # the batch operator takes no null key
+    assert as_set(S.ramp(spark, str(tmp_path))) == as_set(R.confirmed_ramp(spark.createDataFrame(named, SCHEMA)))
+
+
 def run_batches(spark, root, batches, schema, start):
     """Each list of rows is one micro-batch; the query starts anew for each, from its checkpoint."""
     for rows in batches:
