@@ -151,6 +151,12 @@ def test_items_by_nesting(spark):
     assert found == wanted
 
 
+def test_items_are_cut_within_a_row(spark):
+    rows = spark.createDataFrame([(1, "<ul><li>a<li>b</ul>")], "k int, _body string")
+    plan = markup.balanced_items(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and plan.count("BatchEvalPython") == 1
+
+
 def test_items_of_no_rows(spark):
     assert markup.balanced_items(spark.createDataFrame([], "k int, _body string")).collect() == []
 
