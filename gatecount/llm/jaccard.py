@@ -3,14 +3,20 @@
 Two documents link when 100 * intersection >= percent * union of their shingle sets.
 
 1. Equal sets become one class, named by a 64-bit fingerprint of the set.
-2. Which classes can link at all? Shingles are put in one order for all sets, rare ones first. Of n shingles, linked sets
-   share all but a few, so the first n - ceil(n * percent / 100) + 1 of each have one in common: these are its keys. Sizes
-   differ by less than the factor, so size classes are cut such that partners are in the same or the next one, and keys
-   meet only there. A passage that many documents share comes last in the order and is no key where a document has
-   enough text of its own. Components of "share a key" are disjoint neighbourhoods, and every link is inside one.
-   Keys that many documents share are reduced to one row per batch before they are shuffled, and then read in order,
-   with no group held. How rare a shingle is, is counted over all documents in a table of 2 ** BITS counters, whatever the
-   size of the corpus; counters that shingles share make the order worse, never wrong: any order gives the same links.
+2. Which classes can link at all? Those that share a key. Sizes of linked sets differ by less than the factor, so size
+   classes are cut such that partners are in the same or the next one, and keys meet only there. There are two kinds.
+   From PARTS_FROM percent on, hashing deals all shingles to a few parts more than linked sets of the size class can
+   differ in; some parts are then equal in both, and the content of each part is a key. It takes several equal shingles
+   to share one, so unlike texts hardly ever do, whatever the size of the corpus. Parts may be empty: the spare parts
+   outnumber the empty ones of nearly every set, so that a full part is equal too; only sets with more empty parts have
+   keys for these as well.
+   Below, where parts would hold too few shingles each, they are put in one order for all sets, rare ones first. Of n
+   shingles, linked sets share all but a few, so the first n - ceil(n * percent / 100) + 1 of each have one in common:
+   these are its keys. A passage that many documents share comes last in the order and is no key where a document has
+   enough text of its own. How rare a shingle is, is counted over all documents in a table of 2 ** BITS counters, whatever
+   the size of the corpus; counters that shingles share make the order worse, never wrong: any order gives the same links.
+   Components of "share a key" are disjoint neighbourhoods, and every link is inside one. Keys that many documents share
+   are reduced to one row per batch before they are shuffled, and then read in order, with no group held.
 3. A neighbourhood of up to LEAF sets is one region and joined in one task. A larger one is cut into Voronoi regions:
    pivots are chosen in it, each set goes home to its nearest pivot, and is replicated, as a visitor, to every pivot at
    most 2 * epsilon farther away. If d(x, y) <= epsilon, the triangle inequality puts y into the region where x is at
@@ -27,6 +33,7 @@ component one row stays, also where its rows share an id or have none; a row wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,6 +51,8 @@ from gatecount.llm.graph import components
 
 WIDTH = 3
 PERCENT = 90
+#: From this percentage on a part holds seven shingles or more, and its content is a key.
+PARTS_FROM = 88
 #: Sets, and bytes of their shingles, that one task joins.
 LEAF = 3072
 LEAF_BYTES = 64 << 20
@@ -126,6 +135,63 @@ def keys(of: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarr
     return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
+@lru_cache(maxsize=None)
+def class_parts(percent: int, largest: int) -> np.ndarray:
+    """For each size class the number of parts (0: only equal sets link) and of those that may be empty."""
+    ends = size_classes(percent, largest)
+    found = []
+    for c, end in enumerate(ends.tolist()):
+        differ, smallest = differences(end, percent), int(ends[c - 2]) + 1 if c > 1 else 1
+        best = (2.0, 0)
+        for spare in range(differ + 8 if differ else 0):
+            # The share of the smallest sets that have more empty parts than that.
+            parts = differ + 1 + spare
+            empty = parts * (1 - 1 / parts) ** smallest
+            at_most, term = 0.0, math.exp(-empty)
+            for i in range(spare + 1):
+                at_most, term = at_most + term, term * empty / (i + 1)
+            best = min(best, (1 - at_most, spare))
+            if 1 - at_most < 1e-5:
+                break
+        found.append((differ + 1 + best[1] if differ else 0, best[1]))
+    return np.array(found, np.int64)
+
+
+def part_keys(of: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of which linked, unequal sets share one at least, and whose they are (places in `of`).
+
+    Linked sets agree in more parts than may be empty. If a part that is not empty is among them, its content is their
+    key. Otherwise both have these parts empty; of so many in common, one is among the first of either set, up to the
+    number by which its empty parts exceed those that may be empty.
+    """
+    sizes = np.array([len(s) for s in of], np.int64)
+    if not sizes.any():
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    flat, row = np.concatenate(of), np.repeat(np.arange(len(of)), sizes)
+    share, value = flat >> np.uint64(32), mixed(flat ^ _A)
+    largest = 1 << max(4, int(sizes.max()).bit_length())
+    ends, parts = size_classes(percent, largest), class_parts(percent, largest)
+    rows, keys_ = [], []
+    for later in (0, 1):
+        c = np.searchsorted(ends, sizes) + later
+        many, spare = np.where(sizes > 0, parts[c, 0], 0), parts[c, 1]
+        start, whose = np.cumsum(many) - many, np.repeat(np.arange(len(of)), many)
+        kept = many[row] > 0
+        spot = start[row[kept]] + ((share[kept] * many[row[kept]].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        content, full = np.zeros(len(whose), np.uint64), np.zeros(len(whose), bool)
+        np.add.at(content, spot, value[kept])
+        full[spot] = True
+        before = np.cumsum(~full) - ~full
+        nth = before - np.repeat(before[np.minimum(start, len(before) - 1)] if len(before) else start, many)
+        empty = many - np.bincount(whose[full], minlength=len(of))
+        taken = full | (nth < (empty - spare)[whose])
+        part = (np.arange(len(whose)) - start[whose]).astype(np.uint64)
+        seed = mixed(part * _B + (c[whose].astype(np.uint64) + np.uint64(1)) * _C)
+        rows.append(whose[taken])
+        keys_.append(mixed(np.where(full, content ^ seed, seed))[taken])
+    return np.concatenate(rows), np.concatenate(keys_)
+
+
 SETS = "doc_id long, n_shingles long, node long"
 KEYS = "key long, node long, head long"
 
@@ -198,14 +264,18 @@ def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
     Rows of a batch that share keys, directly or through others, are reduced to one: the smallest node has all their
     keys, the others only name it. The keys are never written.
     """
-    levels = frequencies(docs, width, text)
+    levels = None if percent >= PARTS_FROM else frequencies(docs, width, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             of, node = _batch_sets(batch.column(0), width)
-            found = [keys(s, levels, percent) for s in of]
-            key = np.concatenate([*found, np.empty(0, np.uint64)]).view(np.int64)
-            row = np.repeat(np.arange(len(of)), [len(k) for k in found]).astype(np.int64)
+            if levels is None:
+                row, key = part_keys(of, percent)
+            else:
+                found = [keys(s, levels, percent) for s in of]
+                key = np.concatenate([*found, np.empty(0, np.uint64)])
+                row = np.repeat(np.arange(len(of)), [len(k) for k in found]).astype(np.int64)
+            key = key.view(np.int64)
             label = neighbours(node, row, key)
             head = label[row]
             order = np.lexsort((head, key))

@@ -116,6 +116,43 @@ def test_keys_lose_no_link():
     assert linked > 500
 
 
+@pytest.mark.parametrize("percent", [88, 90, 97])
+def test_part_keys_lose_no_link(monkeypatch, percent):
+    rng = np.random.default_rng(4)
+    # Also with many empty parts in a set: a few parts share all shingles, and no part may be empty for nothing.
+    for spread, spare in ((1 << 63, None), (1 << 60, None), (1 << 63, 0)):
+        jaccard.class_parts.cache_clear()
+        if spare is not None:
+            made = jaccard.class_parts.__wrapped__
+            monkeypatch.setattr(jaccard, "class_parts", lambda p, n: made(p, n) - made(p, n)[:, 1:])
+        linked = 0
+        for _ in range(700):
+            n = int(rng.integers(1, 400))
+            a = np.unique(rng.integers(0, spread, n, dtype=np.uint64) * np.uint64(2))
+            drop, add = rng.integers(0, n * (100 - percent) // 150 + 2, 2)
+            b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, spread, add, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
+            common = len(np.intersect1d(a, b))
+            if len(b) and 100 * common >= percent * (len(a) + len(b) - common) and not np.array_equal(a, b):
+                linked += 1
+                row, key = jaccard.part_keys([a, np.empty(0, np.uint64), b], percent)
+                assert len(np.intersect1d(key[row == 0], key[row == 2])) and not (row == 1).any()
+        assert linked > 150
+
+
+def test_unlike_texts_that_share_much_have_no_key_in_common():
+    """A fifth of each set is common to all: by single shingles, without counters fine enough, they would be one neighbourhood."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(0, 1 << 63, 60, dtype=np.uint64) * np.uint64(2)
+    of = [np.unique(np.concatenate([common, rng.integers(0, 1 << 63, 240, dtype=np.uint64) * np.uint64(2)])) for _ in range(300)]
+    row, key = jaccard.part_keys(of)
+    _, at = np.unique(key, return_inverse=True)
+    shared = np.bincount(at)[at] > 1
+    assert len(np.unique(row[shared])) < 60
+    levels = np.zeros(1 << jaccard.BITS, np.uint8)  # as when shingles outnumber the counters by far
+    single = [jaccard.keys(s, levels) for s in of]
+    assert len(np.unique(np.concatenate(single))) < sum(map(len, single))
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (5, 5)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
