@@ -17,9 +17,11 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +34,7 @@ NODES = 6_000
 FILLINGS = 24
 #: Pieces of one length numbered together.
 NUMBERED_AT_ONCE = 50_000
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 1_500_000
 #: Letters before it stay single letters in lower case.
 FIRST_ODD_LETTER = "\u0130"
 TEXTS_AT_ONCE = 4_000_000
@@ -51,23 +53,47 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        # Chunks met so far, and where their ids lie in one array: (first, how many), by number.
+        self.known: dict[bytes, int] = {}
+        self.ids, self.spans, self.used = np.zeros(1 << 16, np.uint32), np.zeros((1 << 16, 2), np.int64), 0
+        suffix = self.tokenizer.model.end_of_word_suffix
+        ends = [i for t, i in self.tokenizer.get_vocab().items() if suffix and t.endswith(suffix)]
+        self.is_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.is_end[ends] = True
+        self.by_end = len(ends) > 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # The tokenizer lowers case itself; lowering ASCII first lets spellings share an entry.
-        split = [t.encode("utf-8", "replace").lower().split() for t in texts]
-        of = self.known.get
-        ids = [[*map(of, chunks)] for chunks in split]
-        holes = [i for i, found in enumerate(ids) if None in found]
-        if holes:
-            missing = {c for i in holes for c, found in zip(split[i], ids[i]) if found is None}
+        split = pc.ascii_split_whitespace(pa.array([t.encode("utf-8", "replace").lower() for t in texts], pa.large_string()))
+        found = split.values.dictionary_encode()
+        chunks = found.dictionary.cast(pa.large_binary()).to_pylist()
+        number = [*map(self.known.get, chunks)]
+        if None in number:
+            missing = {c for c, n in zip(chunks, number) if n is None}
             if len(self.known) + len(missing) > CACHE_ENTRIES:
                 self.known.clear()
-                missing, holes = set().union(*split), range(len(split))
+                self.used, missing = 0, set(chunks)
             self.learn(missing)
-            for i in holes:
-                ids[i] = map(self.known.__getitem__, split[i])
-        return [b"".join(found) for found in ids]
+            number = [*map(self.known.__getitem__, chunks)]
+        spans = self.spans[np.array(number, np.int64)][np.asarray(found.indices)]
+        first, many = spans[:, 0], spans[:, 1]
+        ends = np.cumsum(many)
+        ids = self.ids[np.repeat(first - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)].astype("<u4").tobytes()
+        at = (np.append(0, ends)[np.asarray(split.offsets)] * 4).tolist()
+        return [ids[i:j] for i, j in zip(at, at[1:])]
+
+    def keep(self, chunks: list[bytes], ids: np.ndarray, many: np.ndarray) -> None:
+        """Number the chunks; `ids`: of one after the other, `many` each."""
+        n, end = len(self.known), self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(end, np.uint32)])
+        if n + len(chunks) > len(self.spans):
+            self.spans = np.concatenate([self.spans[:n], np.zeros((n + len(chunks), 2), np.int64)])
+        self.ids[self.used : end] = ids
+        self.spans[n : n + len(chunks), 0] = self.used + np.cumsum(many) - many
+        self.spans[n : n + len(chunks), 1] = many
+        self.used = end
+        self.known.update(zip(chunks, range(n, n + len(chunks))))
 
     def learn(self, chunks: set[bytes]) -> None:
         """Encode chunks. A word of plain letters is one pre-token, and a run of stops after it another."""
@@ -82,19 +108,29 @@ class WordTokenizer:
                     ended.append((chunk, core, chunk[len(core) :]))
             else:
                 others.add(chunk)
-        listed = [*words]
+        listed = [w for w in words if w.encode() not in self.known]
         for at in range(0, len(listed), 20_000):
             some = listed[at : at + 20_000]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ends = np.searchsorted(found.word_ids, np.arange(len(some) + 1)).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            self.known.update((w.encode(), ids[a * 4 : b * 4]) for w, a, b in zip(some, ends, ends[1:]))
-        listed = [*others]
+            found = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0] if self.by_end else None
+            ids = np.array(found.ids if found else [], np.uint32)
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some) or ends[-1] != len(ids):
+                # Without a mark on the last token of each word, the library says which word a token is of.
+                found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+                ids = np.array(found.ids, np.uint32)
+                ends = np.searchsorted(found.word_ids, np.arange(1, len(some) + 1))
+            self.keep([w.encode() for w in some], ids, np.diff(ends, prepend=0))
+        listed = [c for c in others if c not in self.known]
         for at in range(0, len(listed), 20_000):
             some = listed[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)
-            self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, found))
-        self.known.update((chunk, self.known[core] + self.known[stops]) for chunk, core, stops in ended)
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([c.decode() for c in some], add_special_tokens=False)]
+            self.keep(some, np.array([*chain.from_iterable(found)], np.uint32), np.array([len(e) for e in found], np.int64))
+        parts = np.array([(*self.spans[self.known[core]], *self.spans[self.known[stops]]) for _, core, stops in ended], np.int64)
+        if len(parts):
+            many = parts[:, [1, 3]].ravel()
+            run = np.cumsum(many)
+            ids = self.ids[np.repeat(parts[:, [0, 2]].ravel() - run + many, many) + np.arange(run[-1])]
+            self.keep([chunk for chunk, _, _ in ended], ids, parts[:, 1] + parts[:, 3])
 
 
 _tokenizers: dict[str, WordTokenizer] = {}

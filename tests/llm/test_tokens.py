@@ -143,3 +143,18 @@ def test_dominated():
     assert packing.dominated((3, 4), (7,)) and packing.dominated((), (1,)) and not packing.dominated((5, 5), (9,))
     for a, b in product([(2, 2), (4,), (1, 3)], [(4,), (2, 3)]):
         assert packing.dominated(a, b) == (b == (4,) or (a == (2, 2)) or a == (1, 3))
+
+
+def test_chunks_are_looked_up_once_per_group_and_kept_in_one_array(monkeypatch):
+    library = Tokenizer.from_file(WORDS)
+    library.encode_special_tokens = True
+    rng = random.Random(21)
+    tool = packing.WordTokenizer(WORDS)
+    texts = ["", " ", "A.B, don't. x's", "\u00e9t\u00e9., \u00e9a.\u0301 \u0130x", "1,000.5 !!, ...", "<|endoftext|>.", "q" * 300 + "."]
+    for cap in (1_500_000, 20):
+        monkeypatch.setattr(packing, "CACHE_ENTRIES", cap)
+        for _ in range(6):
+            some = texts + [" ".join(rng.choice(["the", "The.", "of,", "and..", f"w{rng.randrange(40)}"]) for _ in range(50)) for _ in range(5)]
+            want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
+            assert tool.encode(some) == want
+    assert tool.encode([]) == [] and tool.used <= len(tool.ids) and len(tool.known) <= len(tool.spans)
