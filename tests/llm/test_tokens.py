@@ -6,6 +6,7 @@ import zlib
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -158,3 +159,28 @@ def test_chunks_are_looked_up_once_per_group_and_kept_in_one_array(monkeypatch):
             want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in some]
             assert tool.encode(some) == want
     assert tool.encode([]) == [] and tool.used <= len(tool.ids) and len(tool.known) <= len(tool.spans)
+
+
+def test_repeated_pieces_are_encoded_and_decoded_once_and_the_caches_stay_small(monkeypatch):
+    rng = random.Random(22)
+    parts = ["thanedble", "Ndreah.", "Élève!\nretitioning?", "it's", "", "\n", "×x", "é", "q" * 300]
+    same = pa.array([" ".join(rng.choice(parts) for _ in range(200)) for _ in range(50)])
+    tool = reference()
+
+    def exact(codec, texts):
+        ids, spelled = codec.coded(texts)
+        assert ids.to_pylist() == [np.array(tool.encode_ordinary(t), "<u4").tobytes() for t in texts.to_pylist()]
+        assert spelled.to_pylist() == [t.encode() for t in texts.to_pylist()]
+
+    codec, rows = bpe.Codec(RANKS, public_tokenizers.PATTERN), []
+    start = codec._start
+    monkeypatch.setattr(codec, "_start", lambda lengths, ids: (rows.append(len(ids)), start(lengths, ids)))
+    exact(codec, same)
+    met = len(rows)
+    exact(codec, same)
+    assert len(rows) == met and sum(rows) < 5_000
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 20)
+    small = bpe.Codec(RANKS, public_tokenizers.PATTERN)
+    for _ in range(6):
+        exact(small, pa.array([" ".join(rng.choice([*parts, f"w{rng.randrange(40)}x"]) for _ in range(9)) for _ in range(3)]))
+    assert all(len(m.columns[0]) <= 100 for m in (small.pieces, small.chunks))
