@@ -48,6 +48,18 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+def known_steps(content: dict) -> bool:
+    """Whether a tokenizer file normalises and splits as the public format does, so that chunks may be handled apart."""
+    splits, bytes_ = ((content["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}])[:2]
+    steps = (content["normalizer"] or {}).get("normalizers") or []
+    return (
+        (splits.get("pattern"), splits.get("behavior"), splits.get("invert")) == ({"Regex": WORD_PATTERN}, "Removed", True)
+        and (bytes_.get("type"), bytes_.get("add_prefix_space"), bytes_.get("use_regex")) == ("ByteLevel", False, False)
+        and [s["type"] for s in steps] == NORMAL_STEPS
+        and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
+    )
+
+
 class Merges:
     """The merge table and the trees above rows of tokens."""
 
@@ -199,14 +211,7 @@ class Codec:
         longest = sorted(self.added, key=len, reverse=True)
         self.at_added = re.compile("(" + "|".join(map(re.escape, longest)) + ")").split if longest else lambda t: [t]
         self.spelling = {i: t for t, i in self.merges.vocabulary.items()} | {t["id"]: t["content"] for t in added}
-        splits, bytes_ = ((content["pre_tokenizer"] or {}).get("pretokenizers") or [{}, {}])[:2]
-        steps = (content["normalizer"] or {}).get("normalizers") or []
-        self.by_chunk = (
-            (splits.get("pattern"), splits.get("behavior"), splits.get("invert")) == ({"Regex": WORD_PATTERN}, "Removed", True)
-            and (bytes_.get("type"), bytes_.get("add_prefix_space"), bytes_.get("use_regex")) == ("ByteLevel", False, False)
-            and [s["type"] for s in steps] == NORMAL_STEPS
-            and (steps[1]["pattern"], steps[1]["content"]) == ({"Regex": r"\s+"}, " ")
-        )
+        self.by_chunk = known_steps(content)
         self.byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         self.chunks: dict[bytes, bytes] = {}
 

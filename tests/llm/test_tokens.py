@@ -184,3 +184,16 @@ def test_repeated_pieces_are_encoded_and_decoded_once_and_the_caches_stay_small(
     for _ in range(6):
         exact(small, pa.array([" ".join(rng.choice([*parts, f"w{rng.randrange(40)}x"]) for _ in range(9)) for _ in range(3)]))
     assert all(len(m.columns[0]) <= 100 for m in (small.pieces, small.chunks))
+
+
+def test_a_word_met_before_is_not_encoded_again_with_other_signs(monkeypatch):
+    library = Tokenizer.from_file(WORDS)
+    library.encode_special_tokens = True
+    tool, asked = packing.WordTokenizer(WORDS), []
+    learn = tool.learn_words
+    monkeypatch.setattr(tool, "learn_words", lambda words: (asked.extend(words.to_pylist()), learn(words))[1])
+    words = ["thanedble", "Ndreah", "Élève", "straße", "įsakymas", "don't", "ét", "İx"]
+    for signs in ("", ".", "?!", "'", "<|", "_%"):
+        text = " ".join(w + signs for w in words)
+        assert tool.encode([text, ""]) == [np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), b""]
+    assert sorted(w.decode() for w in asked) == sorted(["thanedble", "ndreah", "élève", "straße", "įsakymas", ".", "?!", "'", "<|", "_%"])
