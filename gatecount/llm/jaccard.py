@@ -15,8 +15,11 @@ Two documents link when 100 * intersection >= percent * union of their shingle s
    these are its keys. A passage that many documents share comes last in the order and is no key where a document has
    enough text of its own. How rare a shingle is, is counted over all documents in a table of 2 ** BITS counters, whatever
    the size of the corpus; counters that shingles share make the order worse, never wrong: any order gives the same links.
-   Components of "share a key" are disjoint neighbourhoods, and every link is inside one. Keys that many documents share
-   are reduced to one row per batch before they are shuffled, and then read in order, with no group held.
+   Two sets that share a key are a candidate pair. Each set has a signature of about as many bits as elements; bits in
+   which two signatures differ are elements in which the sets do, so a pair that differs in too many is given up. That
+   keeps sets apart which share a passage only, however many shingles share a counter. Keys of more than PAIRED rows make
+   no pairs: their sets are taken together as they are, those of more than PAIRED sets of a batch before they are shuffled.
+   Components of the pairs that are left are disjoint neighbourhoods, and every link is inside one.
 3. A neighbourhood of up to LEAF sets is one region and joined in one task. A larger one is cut into Voronoi regions:
    pivots are chosen in it, each set goes home to its nearest pivot, and is replicated, as a visitor, to every pivot at
    most 2 * epsilon farther away. If d(x, y) <= epsilon, the triangle inequality puts y into the region where x is at
@@ -36,6 +39,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -68,6 +72,10 @@ SLAB = 16384
 DOCUMENTS = 32768
 #: Documents whose keys are made at once.
 ROWS = 2048
+#: Rows of a key, at most, that are compared in pairs.
+PAIRED = 64
+#: The low bits of a key say its size class.
+CLASS = np.uint64(255)
 #: Steps of a counter's level per doubling.
 STEPS = 8
 BLOCK = 3072
@@ -119,20 +127,33 @@ def counter(of: np.ndarray) -> np.ndarray:
     return (mixed(of) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def size_class(n: int, percent: int) -> int:
+    return int(np.searchsorted(size_classes(percent, 1 << max(4, n.bit_length())), n))
+
+
 def keys(of: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Keys of which linked, unequal sets share one at least. `of` is sorted; `levels`: how frequent, per counter."""
     n = len(of)
-    if not n:
+    # Where sets of the next size class cannot differ either, only equal sets link.
+    if not n or not differences(int(size_classes(percent, 1 << max(4, n.bit_length()))[size_class(n, percent) + 1]), percent):
         return np.empty(0, np.uint64)
-    rarest = of[np.argsort(levels[counter(of)], kind="stable")[: n - -(-percent * n // 100) + 1]]
-    ends = size_classes(percent, 1 << max(4, n.bit_length()))
-    first = int(np.searchsorted(ends, n))
-    found = [
-        mixed(rarest + np.array([c + 1], np.uint64) * _C)
-        for c in (first, first + 1)
-        if differences(int(ends[c]), percent)  # otherwise only equal sets link
-    ]
-    return np.concatenate(found) if found else np.empty(0, np.uint64)
+    return mixed(of[np.argsort(levels[counter(of)], kind="stable")[: n - -(-percent * n // 100) + 1]] + _C)
+
+
+def signature(of: np.ndarray) -> bytes:
+    """A bit per share of the hashes, set where `of` has one: as many bits as elements, or up to twice as many."""
+    bits = max(3, (len(of) - 1).bit_length())
+    marks = np.zeros(1 << bits, bool)
+    marks[(mixed(of ^ _B) >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
+def can_link(a: bytes, b: bytes, elements: int, percent: int) -> bool:
+    """False only if sets with these signatures, of so many elements together, do not link."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if len(x) < len(y):
+        y = np.packbits(np.unpackbits(y).reshape(len(x) * 8, -1).any(axis=1))
+    return int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= elements * (100 - percent)
 
 
 @lru_cache(maxsize=None)
@@ -192,7 +213,7 @@ def part_keys(of: list[np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray,
     return np.concatenate(rows), np.concatenate(keys_)
 
 
-SETS = "doc_id long, n_shingles long, node long"
+SETS = "doc_id long, n_shingles long, node long, signature binary"
 KEYS = "key long, node long, head long"
 
 
@@ -202,14 +223,15 @@ def _batch_sets(texts: pa.Array, width: int) -> tuple[list[np.ndarray], np.ndarr
 
 
 def sets(docs: DataFrame, width: int, id_col: str, text: str) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint of the set, null without one)."""
+    """doc_id, n_shingles, node (fingerprint of the set, null without one), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             of, node = _batch_sets(batch.column(1), width)
             size = np.array([len(s) for s in of], np.int64)
-            columns = [batch.column(0), pa.array(size), pa.array(node, mask=size == 0)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node"])
+            signatures = pa.array([signature(s) if len(s) else None for s in of], pa.binary())
+            columns = [batch.column(0), pa.array(size), pa.array(node, mask=size == 0), signatures]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node", "signature"])
 
     return docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")
@@ -261,8 +283,9 @@ def frequencies(docs: DataFrame, width: int, text: str) -> np.ndarray:
 def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
     """key, node, and head where the row is no key but says that node and head met in a batch.
 
-    Rows of a batch that share keys, directly or through others, are reduced to one: the smallest node has all their
-    keys, the others only name it. The keys are never written.
+    Rows of a batch that share keys of more than PAIRED sets, directly or through others, are reduced to one: the smallest
+    node has all their keys, the others only name it. The low bits of a key are the size class where keys are single
+    shingles, and 0 where they are contents of parts, which have it in them. The keys are never written.
     """
     levels = None if percent >= PARTS_FROM else frequencies(docs, width, text)
 
@@ -271,11 +294,13 @@ def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
             of, node = _batch_sets(batch.column(0), width)
             if levels is None:
                 row, key = part_keys(of, percent)
+                of_class = np.uint64(0)
             else:
                 found = [keys(s, levels, percent) for s in of]
                 key = np.concatenate([*found, np.empty(0, np.uint64)])
                 row = np.repeat(np.arange(len(of)), [len(k) for k in found]).astype(np.int64)
-            key = key.view(np.int64)
+                of_class = np.array([size_class(len(s), percent) for s in of], np.uint64)[row]
+            key = ((key & ~CLASS) | of_class).view(np.int64)
             label = neighbours(node, row, key)
             head = label[row]
             order = np.lexsort((head, key))
@@ -295,13 +320,14 @@ def keyed(docs: DataFrame, width: int, percent: int, text: str) -> DataFrame:
 
 
 def neighbours(node: np.ndarray, row: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """For each row of a batch the smallest node that shared keys lead to. `row` and `key`: who has which key."""
+    """For each row of a batch the smallest node that keys of more than PAIRED sets lead to. `row` and `key`: who has which key."""
     label = node.copy()
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((node[row], key))
     row, key = row[order], key[order]
     new = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
     group = np.cumsum(new) - 1
-    shared = (np.bincount(group) > 1)[group] if len(key) else new
+    other = new | np.concatenate(([True], node[row[1:]] != node[row[:-1]])) if len(key) else new
+    shared = (np.bincount(group, other) > PAIRED)[group] if len(key) else new
     row, new = row[shared], new[shared]
     if not len(row):
         return label
@@ -315,27 +341,103 @@ def neighbours(node: np.ndarray, row: np.ndarray, key: np.ndarray) -> np.ndarray
         label = lower
 
 
+PAIR, STAR, MET = 0, 1, 2
+
+
+def _starred(key: np.ndarray, node: np.ndarray, last: tuple | None) -> tuple[list[np.ndarray], tuple | None]:
+    """Edges of sorted rows of frequent keys: each node with the smallest of its key, and that with the one of the size
+    class before. `last`: the key that the rows before ended with, and its smallest node."""
+    if not len(key):
+        return [], last
+    if last is not None:
+        key, node = np.append(last[0], key), np.append(last[1], node)
+    first = np.concatenate(([True], key[1:] != key[:-1]))
+    smallest = node[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
+    next_class = np.flatnonzero(first[1:] & (key[1:] == key[:-1] + 1)) + 1
+    edges = [np.stack([node, smallest]), np.stack([smallest[next_class], smallest[next_class - 1]])]
+    return edges, (key[-1], smallest[-1])
+
+
+def _paired(key: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+    """All pairs of rows that share a key, in the same or the next size class."""
+    group, of_class = key >> 8, key & 255
+    at, step, pairs = np.arange(len(key)), 1, []
+    while len(at := at[at + step < len(key)]) and len(at := at[group[at] == group[at + step]]):
+        near = at[of_class[at + step] - of_class[at] <= 1]
+        pairs.append(np.stack([node[near], node[near + step]]))
+        step += 1
+    return pairs
+
+
 def candidates(rows: DataFrame) -> DataFrame:
-    """Edges a, b between nodes that share a key (`rows` as `keyed` gives them): each node with the smallest of its key."""
+    """Edges a, b between nodes that share a key (`rows` as `keyed` gives them), and their kind: PAIR of a key of a few
+    rows; STAR of a key of many, each node with the smallest; MET in a batch, and b stands for a."""
+
+    def edges(parts: list[np.ndarray], kind: int) -> pa.RecordBatch:
+        a, b = np.concatenate([*parts, np.empty((2, 0), np.int64)], axis=1)
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = (a != b) & np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[: len(a)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(a[new]), pa.array(b[new]), pa.array(np.full(int(new.sum()), kind, np.int32))], names=["a", "b", "kind"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = head = None  # sorted by key, then node: the first node of a key is its smallest
-        for batch in batches:
-            is_key = batch.column(2).is_null().to_numpy(zero_copy_only=False)
-            met = batch.filter(pa.array(~is_key))
-            yield pa.RecordBatch.from_arrays([met.column(1), met.column(2)], names=["a", "b"])
-            key, node = np.asarray(batch.column(0))[is_key], np.asarray(batch.column(1))[is_key]
+        # Rows are sorted by key, then node. Those of the last key may go on: few are held, many go on as a star.
+        key = node = np.empty(0, np.int64)
+        last = None
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                is_key = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+                met = batch.filter(pa.array(~is_key))
+                kind = pa.array(np.full(met.num_rows, MET, np.int32))
+                yield pa.RecordBatch.from_arrays([met.column(1), met.column(2), kind], names=["a", "b", "kind"])
+                key = np.append(key, np.asarray(batch.column(0))[is_key])
+                node = np.append(node, np.asarray(batch.column(1))[is_key])
             if not len(key):
                 continue
-            first = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-            at = np.maximum.accumulate(np.where(first, np.arange(len(key)), -1))
-            smallest = np.where(at < 0, node[0] if head is None else head, node[at])
-            last_key, head = key[-1], smallest[-1]
-            pairs = np.unique(np.stack([node, smallest])[:, node != smallest], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            group = key >> 8
+            _, of, size = np.unique(group, return_inverse=True, return_counts=True)
+            many = size[of] > PAIRED
+            if last is not None:
+                many |= group == last[0] >> 8
+            held = ~many & (group == group[-1]) if batch is not None else np.zeros(len(key), bool)
+            stars, last = _starred(key[many], node[many], last)
+            yield edges(stars, STAR)
+            yield edges(_paired(key[~many & ~held], node[~many & ~held]), PAIR)
+            key, node = key[held], node[held]
+
+    sorted_ = rows.repartition(F.shiftright("key", 8)).sortWithinPartitions("key", "node")
+    return sorted_.mapInArrow(run, "a long, b long, kind int").distinct()
 
-    sorted_ = rows.repartition("key").sortWithinPartitions("key", "node")
-    return sorted_.mapInArrow(run, "a long, b long").distinct()
+
+def neighbourhoods(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Edges a, b whose components are the neighbourhoods: candidates (of `keyed` rows) without the pairs that cannot link.
+
+    A node that stands for others has no signature of its own, and its pairs stay.
+    """
+    edges = written(candidates(rows), "candidates")
+    pairs = edges.where(F.col("kind") == PAIR).select("a", "b")
+    heads = edges.where(F.col("kind") == MET).select(F.col("b").alias("node")).distinct()
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(heads, "node", "left_anti")
+    known = found.join(asked, "node", "left_semi").groupBy("node").agg(F.first(F.struct("n_shingles", "signature")).alias("of"))
+    known = written(known.select("node", "of.*"), "signatures")
+    for end in ("a", "b"):
+        side = known.select(F.col("node").alias(end), F.col("n_shingles").alias(f"n_{end}"), F.col("signature").alias(f"of_{end}"))
+        pairs = pairs.join(side, end, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, a, b = (batch.column(i) for i in (2, 3, 4))
+            stays = [
+                not x.is_valid or not y.is_valid or can_link(x.as_buffer(), y.as_buffer(), elements, percent)
+                for x, y, elements in zip(a, b, n.to_pylist())
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
+
+    left = pairs.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return written(left.unionByName(edges.where(F.col("kind") != PAIR).select("a", "b")), "pairs")
 
 
 # ---------------------------------------------------------------- regions
@@ -494,7 +596,7 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str = "doc_id", t
     """What `classes` gives, with node and with group: one number per component (null without a set)."""
     found = written(sets(docs, width, id_col, text), "sets")
     copies = found.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"))
-    hoods = components(written(candidates(keyed(docs, width, percent, text)), "candidates"))
+    hoods = components(neighbourhoods(found, keyed(docs, width, percent, text), percent))
     reps = written(hoods.join(copies, "node").select("node", F.col("label").alias("region"), "rep", "weight"), "members")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -516,9 +618,21 @@ def grouped(docs: DataFrame, percent: int, width: int, id_col: str = "doc_id", t
 
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
     wanted = reps.select(F.col("rep").alias("_rep"), "node", "region", "weight")
-    # What is wanted grows with the corpus: no broadcast, however small it is here.
-    with_text = wanted.hint("merge").join(texts, F.col("_rep").eqNullSafe(F.col("rep"))).select("node", "region", "weight", "text")
-    members = written(with_text.mapInArrow(read, REGION).dropDuplicates(["node"]), "regions")
+    many = written(found.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "repeated-ids")
+    is_many = F.col("_rep").eqNullSafe(F.col("doc_id"))
+
+    def members_of(wanted: DataFrame) -> DataFrame:
+        # What is wanted grows with the corpus: no broadcast, however small it is here.
+        with_text = wanted.hint("merge").join(texts, F.col("_rep").eqNullSafe(F.col("rep"))).select("node", "region", "weight", "text")
+        return with_text.mapInArrow(read, REGION)
+
+    if many.isEmpty():
+        members = members_of(wanted)
+    else:
+        # Only rows that share an id can give a set twice; the others' sets do not move for it.
+        again = members_of(wanted.join(many, is_many, "left_semi")).dropDuplicates(["node"])
+        members = members_of(wanted.join(many, is_many, "left_anti")).unionByName(again)
+    members = written(members, "regions")
     links = written(joined(members, percent), "all-links")
     linked = components(links.select(F.col("node").alias("a"), F.col("to").alias("b")))
     lowest = linked.join(reps, "node").groupBy("label").agg(F.min("rep").alias("component"))

@@ -153,6 +153,58 @@ def test_unlike_texts_that_share_much_have_no_key_in_common():
     assert len(np.unique(np.concatenate(single))) < sum(map(len, single))
 
 
+def test_texts_that_share_a_passage_are_no_neighbours(spark, monkeypatch):
+    """Also where the counters do not tell its shingles from others, as in a corpus with far more shingles than counters."""
+    monkeypatch.setattr(jaccard, "frequencies", lambda docs, width, text: np.zeros(1 << jaccard.BITS, np.uint8))
+    rows, write = {}, jaccard.written
+
+    def written(df, name):
+        out = write(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", written)
+    rng = random.Random(11)
+    passage = words(rng, 40, 5000)
+    texts = [f"{words(rng, 60, 5000)} {passage} {words(rng, 60, 5000)}" for _ in range(50)]
+    texts += [f"{t} end" for t in texts[:3]]
+    got = by_id(jaccard.classes(docs(spark, texts), 80, 5), "n_shingles", "component_id", "n_links")
+    assert got == plain(list(enumerate(texts)), 80, 5)
+    assert rows["members"] == 6
+
+
+@pytest.mark.parametrize("paired,batch", [(2, 10000), (5, 3), (64, 1)])
+def test_keys_of_few_and_of_many_rows_lose_no_link(spark, monkeypatch, paired, batch):
+    """Few rows are compared in pairs and many taken together, also where they go on over several batches."""
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        rng = random.Random(12)
+        texts = near_copies(rng, 10, 9) + odd_texts(rng)
+        got = by_id(jaccard.classes(docs(spark, texts), 80, 5), "n_shingles", "component_id", "n_links")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == plain(list(enumerate(texts)), 80, 5)
+
+
+def test_signatures_give_up_no_link():
+    rng = np.random.default_rng(6)
+    linked = unlike = 0
+    for _ in range(2000):
+        n, percent = int(rng.integers(1, 400)), int(rng.integers(60, 100))
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+        drop, add = rng.integers(0, n * (100 - percent) // 60 + 2, 2)
+        b = np.unique(np.concatenate([rng.permutation(a)[drop:], rng.integers(0, 1 << 63, add, dtype=np.uint64) * np.uint64(2) + np.uint64(1)]))
+        a, common = np.unique(a), len(np.intersect1d(a, b))
+        if len(b) and 100 * common >= percent * (len(a) + len(b) - common):
+            linked += 1
+            assert jaccard.can_link(jaccard.signature(a), jaccard.signature(b), len(a) + len(b), percent)
+        other = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        unlike += not jaccard.can_link(jaccard.signature(a), jaccard.signature(other), 3 * n, percent)
+    assert linked > 400 and unlike > 1500
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 200), (5, 5)]
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
