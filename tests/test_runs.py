@@ -14,6 +14,8 @@ from gatecount.operators import official as O
 from gatecount.operators import rollup as U
 from gatecount.operators import settle as S
 from gatecount.operators.quantiles import grouped_quantiles
+from gatecount.plans import cycle
+from gatecount.sources import snapshots
 
 D = dt.date
 WEEKLY = (
@@ -274,6 +276,25 @@ def test_fold_moves_every_old_row_once(spark):
     assert tuple(total) == (3, 3, 0)
 
 
+def test_of_folded_rows_only_what_they_count_by_is_kept(spark):
+    shows = spark.createDataFrame([show("a", 1, 8, 100), show("b", 1, 9, 50, price=10.0), show("c", 2, 8, 5, day=14)], SHOWS)
+    later = T.instant("2026-08-14 12:00:00")
+    settled = S.settle(shows, later)
+    kept = cycle.lean(settled, later)
+    assert sorted((r["screening_key"] or "", r["cinema"] or "") for r in kept.collect()) == [("", ""), ("", ""), ("c", "C")]
+    for fold in (S.fold_daily, S.fold_coverage, S.working_set):
+        assert sorted(fold(kept, later).collect()) == sorted(fold(settled, later).collect())
+    assert S.settle_counts(kept).collect() == S.settle_counts(settled).collect()
+
+
+def test_kept_tables_are_compressed(spark, tmp_path):
+    shows = spark.createDataFrame([show("a", 1, 8, 100), show("b", 1, 9, 50, price=10.0), (None,) * 13], SHOWS)
+    kept = snapshots.kept(shows, "shows")
+    assert kept.schema == shows.schema and sorted(map(str, kept.collect())) == sorted(map(str, shows.collect()))
+    assert all(f.endswith(".zstd.parquet") for f in kept.inputFiles())
+    assert snapshots.kept(shows.where("false"), "shows").count() == 0
+
+
 @pytest.mark.parametrize("past, expected", [(7, None), (8, 0.25)])
 def test_planned_ratio_needs_enough_past(spark, past, expected):
     rows = [show(f"p{i}", 1, 8, 1) for i in range(past)] + [show(f"n{i}", 1, 20, 1) for i in range(2)]
