@@ -73,7 +73,7 @@ DOCUMENTS = 32768
 #: Documents whose keys are made at once.
 ROWS = 2048
 #: Rows of a key, at most, that are compared in pairs.
-PAIRED = 64
+PAIRED = 16
 #: The low bits of a key say its size class.
 CLASS = np.uint64(255)
 #: Steps of a counter's level per doubling.
@@ -412,6 +412,23 @@ def candidates(rows: DataFrame) -> DataFrame:
     return sorted_.mapInArrow(run, "a long, b long, kind int").distinct()
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges with the components of the edges a, b: each node but the smallest of its component, and that one."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(node))
+    while True:
+        lower, lowest = label.copy(), np.minimum(label[x], label[y])
+        np.minimum.at(lower, x, lowest)
+        np.minimum.at(lower, y, lowest)
+        lower = lower[lower]
+        if (lower == label).all():
+            break
+        label = lower
+    moved = label != np.arange(len(node))
+    return node[moved], node[label[moved]]
+
+
 def neighbourhoods(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Edges a, b whose components are the neighbourhoods: candidates (of `keyed` rows) without the pairs that cannot link.
 
@@ -434,7 +451,9 @@ def neighbourhoods(found: DataFrame, rows: DataFrame, percent: int) -> DataFrame
                 not x.is_valid or not y.is_valid or can_link(x.as_buffer(), y.as_buffer(), elements, percent)
                 for x, y, elements in zip(a, b, n.to_pylist())
             ]
-            yield batch.select(["a", "b"]).filter(pa.array(stays, pa.bool_()))
+            ab = batch.filter(pa.array(stays, pa.bool_()))
+            # Like texts are linked all to all: an edge per node says as much.
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in _forest(np.asarray(ab.column(0)), np.asarray(ab.column(1)))], names=["a", "b"])
 
     left = pairs.select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "of_a", "of_b").mapInArrow(run, "a long, b long")
     return written(left.unionByName(edges.where(F.col("kind") != PAIR).select("a", "b")), "pairs")

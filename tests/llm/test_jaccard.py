@@ -166,7 +166,7 @@ def test_texts_that_share_a_passage_are_no_neighbours(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "written", written)
     rng = random.Random(11)
     passage = words(rng, 40, 5000)
-    texts = [f"{words(rng, 60, 5000)} {passage} {words(rng, 60, 5000)}" for _ in range(50)]
+    texts = [f"{words(rng, 60, 5000)} {passage} {words(rng, 60, 5000)}" for _ in range(10)]
     texts += [f"{t} end" for t in texts[:3]]
     got = by_id(jaccard.classes(docs(spark, texts), 80, 5), "n_shingles", "component_id", "n_links")
     assert got == plain(list(enumerate(texts)), 80, 5)
@@ -188,6 +188,12 @@ def test_keys_of_few_and_of_many_rows_lose_no_link(spark, monkeypatch, paired, b
     assert got == plain(list(enumerate(texts)), 80, 5)
 
 
+def test_a_forest_has_the_components_of_its_edges():
+    a, b = (np.array(x, np.int64) for x in zip((5, 3), (3, 9), (9, 5), (1, 2), (7, 8), (8, 6), (6, 2)))
+    assert sorted(zip(*(x.tolist() for x in jaccard._forest(a, b)))) == [(2, 1), (5, 3), (6, 1), (7, 1), (8, 1), (9, 3)]
+    assert [len(x) for x in jaccard._forest(a[:0], b[:0])] == [0, 0]
+
+
 def test_signatures_give_up_no_link():
     rng = np.random.default_rng(6)
     linked = unlike = 0
